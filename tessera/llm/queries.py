@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from tessera.llm.line_rules import op5_line_frequency
 from tessera.llm.quality_knn import op10_quality_knn
+from tessera.llm.secret_index import _oracle as secrets_sql
+from tessera.llm.secret_index import op4_trigram_secrets
 from tessera.llm.token_orc import op3_token_orc
 from tessera.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_token_orc": op3_token_orc,
+    "op4_trigram_secrets": op4_trigram_secrets,
     "op5_line_frequency": op5_line_frequency,
     "op10_quality_knn": op10_quality_knn,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_trigram_secrets": secrets_sql()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.line_rules import op5_line_frequency
+from tessera.llm.minhash_join import op7_minhash_join
 from tessera.llm.mixing import op9_pivotal_mix
 from tessera.llm.quality_knn import op10_quality_knn
 from tessera.llm.secret_index import _oracle as secrets_sql
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_token_orc": op3_token_orc,
     "op4_trigram_secrets": op4_trigram_secrets,
     "op5_line_frequency": op5_line_frequency,
+    "op7_minhash_join": op7_minhash_join,
     "op9_pivotal_mix": op9_pivotal_mix,
     "op10_quality_knn": op10_quality_knn,
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tessera.llm.line_dedup import ORACLE as sites_sql
+from tessera.llm.line_dedup import op6_site_spread
 from tessera.llm.line_rules import op5_line_frequency
 from tessera.llm.minhash_join import op7_minhash_join
 from tessera.llm.mixing import op9_pivotal_mix
@@ -16,9 +18,10 @@ QUERIES = {
     "op3_token_orc": op3_token_orc,
     "op4_trigram_secrets": op4_trigram_secrets,
     "op5_line_frequency": op5_line_frequency,
+    "op6_site_spread": op6_site_spread,
     "op7_minhash_join": op7_minhash_join,
     "op9_pivotal_mix": op9_pivotal_mix,
     "op10_quality_knn": op10_quality_knn,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_trigram_secrets": secrets_sql()}
+ORACLE_SQL: dict[str, str] = {"op4_trigram_secrets": secrets_sql(), "op6_site_spread": sites_sql}

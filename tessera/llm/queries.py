@@ -12,6 +12,7 @@ from tessera.llm.secret_index import _oracle as secrets_sql
 from tessera.llm.secret_index import op4_trigram_secrets
 from tessera.llm.token_orc import op3_token_orc
 from tessera.llm.toxicity import op2_toxicity
+from tessera.llm.webp import op8_webp_pixels
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_line_frequency": op5_line_frequency,
     "op6_site_spread": op6_site_spread,
     "op7_minhash_join": op7_minhash_join,
+    "op8_webp_pixels": op8_webp_pixels,
     "op9_pivotal_mix": op9_pivotal_mix,
     "op10_quality_knn": op10_quality_knn,
 }

@@ -192,7 +192,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, reca
     members = cut(members.join(sizes.where("c_n > 1").select("comp", parts.alias("parts")), "comp"))
     picked = members.select("k1", "m", "comp", "parts", F.pmod(F.xxhash64("k1", F.lit("block")), F.col("parts")).cast("int").alias("block"), F.col("rep").alias("r_id"), F.col("rep_hash").alias("r_hash"))
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    with_text = texts.join(picked, texts["doc_id"].eqNullSafe(picked["r_id"]) & (texts["text_hash"] == picked["r_hash"])).select("comp", "k1", "m", "parts", "block", "text")
+    # never broadcast: the members grow with the input, and a text then moves at most once
+    with_text = texts.join(picked.hint("shuffle_hash"), texts["doc_id"].eqNullSafe(picked["r_id"]) & (texts["text_hash"] == picked["r_hash"])).select("comp", "k1", "m", "parts", "block", "text")
     # block i meets all blocks, as (lesser, greater); equal rows of a representative meet once, below
     dealt = with_text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "k1", "m", "text"

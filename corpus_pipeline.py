@@ -1,23 +1,62 @@
-"""A training-data pipeline over documents; see STAGES."""
+"""From raw documents to encoded training text, in five stages.
+
+Each stage takes what the one before it kept, and all but the last return the columns of
+documents. Between stages the rows are written to the folder that all executors share, so a lost
+executor costs the tasks of one stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import cut, table
+from tessera.llm.line_dedup import dedup_lines
+from tessera.llm.minhash_join import drop_near_duplicates
+from tessera.llm.mixing import mix
+from tessera.llm.nbest_pieces import default_model, encode_documents
 from tessera.llm.quality_knn import fit, score_documents
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on labelled rows of these, predicts as good."""
     return score_documents(docs, fit(docs, table(spark, sf_dir, "labels")), keep=True)
 
 
-STAGES = [("quality classifier", keep_good)]
-ORACLE_SQL = None
+def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that many sites share; every document stays, its n_chars follow."""
+    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return drop_near_duplicates(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The best segmentations of every document."""
+    return encode_documents(docs, default_model())
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("line dedup", remove_boilerplate),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding and decoding", encode),
+]
+
+ORACLE_SQL = None  #: a fitted classifier, random rounding and a lattice search are beyond SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The encoded documents of STAGES over the documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

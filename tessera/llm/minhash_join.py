@@ -171,10 +171,10 @@ def forest(linked: np.ndarray) -> np.ndarray:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall: float = 0.999) -> DataFrame:
-    """doc_id, class_id, n_links, n_text_links, is_first for each row of ``docs`` (doc_id, text),
-    with k1 and k2. class_id is the least doc_id of all that are connected by links; n_links counts
-    the other documents at the threshold or above, n_text_links the other n-gram sets; is_first
-    marks the classes of copies that hold the class id."""
+    """doc_id, text_hash, class_id, n_links, n_text_links, is_kept for each row of ``docs``
+    (doc_id, text). class_id is the least doc_id of all that are connected by links; n_links counts
+    the other documents at the threshold or above, n_text_links the other n-gram sets; is_kept
+    marks the class's own document and whatever has no n-grams."""
     bands, rows = plan_bands(threshold, recall)
     signed = signatures(docs, bands, rows, size)
     some = signed.where("n > 0")
@@ -216,16 +216,26 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, reca
     known = cut(known)
     heads = known.groupBy("label").agg(F.min("rep").alias("class_id"))
     facts = known.join(heads, "label").select(
-        "k1", "k2", "class_id", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).cast("bigint").alias("n_text_links"), F.col("rep").eqNullSafe(F.col("class_id")).alias("is_first")
-    )
-    return signed.select("doc_id", "k1", "k2", "n").join(facts, ["k1", "k2"], "left").select(
-        "doc_id", "k1", "k2",
+        "k1", "k2", "class_id", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).cast("bigint").alias("n_text_links"), "rep_hash", F.col("rep").eqNullSafe(F.col("class_id")).alias("is_first"),
+    )
+    own = F.col("is_first") & F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("rep_hash"))
+    return signed.select("doc_id", "text_hash", "k1", "k2", "n").join(facts, ["k1", "k2"], "left").select(
+        "doc_id", "text_hash",
         F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("n_text_links", F.lit(0)).cast("bigint").alias("n_text_links"),
-        F.coalesce("is_first", F.lit(True)).alias("is_first"),
+        ((F.col("n") == 0) | F.coalesce(own, F.lit(False))).alias("is_kept"),
     )
 
 
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """``docs``, one row for each class of near duplicates: that of its least doc_id. Rows without
+    n-grams all stay; of rows that agree in doc_id and text one stays."""
+    kept = near_duplicates(docs, **options).where("is_kept").select(F.col("doc_id").alias("near_id"), F.col("text_hash").alias("near_hash")).distinct()
+    keyed = docs.withColumn("near_text", F.xxhash64("text"))
+    found = keyed.join(cut(kept).hint("shuffle_hash"), keyed["doc_id"].eqNullSafe(F.col("near_id")) & (F.col("near_text") == F.col("near_hash")), "left_semi")
+    return found.dropDuplicates(["doc_id", "near_text"]).drop("near_text")
+
+
 def op7_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.common import documents
 

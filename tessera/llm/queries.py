@@ -7,6 +7,7 @@ from tessera.llm.line_dedup import op6_site_spread
 from tessera.llm.line_rules import op5_line_frequency
 from tessera.llm.minhash_join import op7_minhash_join
 from tessera.llm.mixing import op9_pivotal_mix
+from tessera.llm.nbest_pieces import op1_nbest_pieces
 from tessera.llm.quality_knn import op10_quality_knn
 from tessera.llm.secret_index import _oracle as secrets_sql
 from tessera.llm.secret_index import op4_trigram_secrets
@@ -15,6 +16,7 @@ from tessera.llm.toxicity import op2_toxicity
 from tessera.llm.webp import op8_webp_pixels
 
 QUERIES = {
+    "op1_nbest_pieces": op1_nbest_pieces,
     "op2_toxicity": op2_toxicity,
     "op3_token_orc": op3_token_orc,
     "op4_trigram_secrets": op4_trigram_secrets,

@@ -57,8 +57,8 @@ def interval_join(points: DataFrame, at: Column, spans: DataFrame, start: Column
     inside = (at >= start) & (at <= end)
     if width is None:
         return points.join(spans, reduce(and_, keys, inside))
-    p = points.withColumn("bucket_p", F.floor(at.cast("double") / width))
-    s = spans.withColumn("bucket_s", F.explode(F.sequence(F.floor(start.cast("double") / width), F.floor(end.cast("double") / width))))
+    p = points.withColumn("bucket_p", F.floor(at / width))
+    s = spans.withColumn("bucket_s", F.explode(F.sequence(F.floor(start / width), F.floor(end / width))))
     return p.join(s, reduce(and_, [p[a] == s[b] for a, b in on], (F.col("bucket_p") == F.col("bucket_s")) & inside)).drop("bucket_p", "bucket_s")
 
 

@@ -1,17 +1,370 @@
-"""Queries over the driver's tables, with SQL that must give the same rows."""
+"""Queries over the driver's tables, with SQL that must give the same rows.
+
+Each query applies operators of the library to one or more tables. Keys name the operators; the
+docstring says which part of the survey's inventory a query covers.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.predicates import name_match, text_match
+from tessera.operators import aggregates, joins, windows
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(sql: str | None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, source, line_no, line); an empty last line is no line."""
+    parts = F.split("text", "\r?\n")
+    whole = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    return docs.select("doc_id", "lang", "source", F.posexplode(whole).alias("at", "line")).withColumn("line_no", F.col("at") + 1).drop("at")
+
+
+LINES_SQL = """
+parts AS (SELECT doc_id, lang, source, string_split_regex(text, '\\r?\\n') AS p FROM documents),
+whole AS (SELECT doc_id, lang, source, CASE WHEN p[-1] = '' THEN p[1:len(p)-1] ELSE p END AS p FROM parts),
+lines AS (SELECT doc_id, lang, source, unnest(range(1, len(p) + 1)) AS line_no, unnest(p) AS line FROM whole)"""
+
+
+# -- lines and text predicates
+
+
+@query(f"""WITH {LINES_SQL}
+SELECT source, count(*) AS n_lines, count(*) FILTER (WHERE trim(line) = '') AS n_blank,
+ count(*) FILTER (WHERE regexp_matches(trim(line), '^(//|/\\*|\\*)')) AS n_comment,
+ count(*) FILTER (WHERE trim(line) <> '' AND NOT regexp_matches(trim(line), '^(//|/\\*|\\*)')) AS n_code,
+ count(DISTINCT doc_id) AS n_docs FROM lines GROUP BY source""")
+def scan_lines_class(spark, sf_dir):
+    """Line scan and line classes, rolled up by source (SC1, EX44, PR23, AG22)."""
+    own = F.trim("line")
+    comment, blank = own.rlike(r"^(//|/\*|\*)"), own == ""
+    return lines_of(t(spark, sf_dir, "documents")).groupBy("source").agg(
+        F.count("*").alias("n_lines"), F.count_if(blank).alias("n_blank"), F.count_if(comment).alias("n_comment"),
+        F.count_if(~blank & ~comment).alias("n_code"), F.countDistinct("doc_id").alias("n_docs"),
+    )
+
+
+def _word_sql(column: str, word: str) -> str:
+    return f"regexp_matches(lower({column}), '(^|[^\\p{{L}}\\p{{N}}]){word}([^\\p{{L}}\\p{{N}}]|$)')"
+
+
+@query(f"""SELECT 'part' AS origin, p_partkey AS id FROM part WHERE {_word_sql('p_name', 'red')}
+UNION ALL SELECT 'document', doc_id FROM documents WHERE {_word_sql('text', 'the')} AND {_word_sql('text', 'idiot')}""")
+def text_word_boundary(spark, sf_dir):
+    """Names and texts at word boundaries, '_' being one (PR2, PR3, PR5)."""
+    parts = t(spark, sf_dir, "part").where(name_match(F.col("p_name"), "red")).select(F.lit("part").alias("origin"), F.col("p_partkey").alias("id"))
+    docs = t(spark, sf_dir, "documents").where(text_match(F.col("text"), "\\(the!\\&idiot!\\)"))
+    return parts.unionByName(docs.select(F.lit("document").alias("origin"), F.col("doc_id").alias("id")))
+
+
+@query(f"""SELECT p_partkey, p_name, p_type,
+ regexp_matches(lower(p_type), '^eco.*br') AS wildcard, {_word_sql('p_name', 'red')} OR ({_word_sql('p_name', 'large')} AND {_word_sql('p_name', 'box')}) AS either,
+ true AS anything FROM part WHERE regexp_matches(lower(p_type), 'a.*e')""")
+def text_wildcard_and_or(spark, sf_dir):
+    """Wildcards, OR over AND, and the pattern that always matches (PR4, PR6, PR7, PR8)."""
+    name, kind = F.col("p_name"), F.col("p_type")
+    return t(spark, sf_dir, "part").where(name_match(kind, ".*a.*e")).select(
+        "p_partkey", "p_name", "p_type", name_match(kind, "eco.*br").alias("wildcard"),
+        name_match(name, "\\(red\\|large\\&box\\)").alias("either"), name_match(name, "_").alias("anything"),
+    )
+
+
+@query("""WITH o AS (SELECT l_orderkey, list(l_returnflag) AS flags, count(*) AS n, max(l_quantity) AS most, bool_or(l_discount > 0.05) AS cheap FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey, o_orderstatus, n FROM o JOIN orders ON l_orderkey = o_orderkey
+WHERE n >= 2 AND list_contains(flags, 'R') AND list_contains(flags, 'N') AND most > 30 AND cheap AND o_orderpriority LIKE '%URGENT%'""")
+def fn_filter_conjunction(spark, sf_dir):
+    """A conjunction over array and struct members (PR9, PR10: size, contains, exists, text)."""
+    members = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_returnflag", "l_quantity", "l_discount")).alias("members"))
+    flags = F.transform("members", lambda m: m["l_returnflag"])
+    kept = members.where((F.size("members") >= 2) & F.array_contains(flags, "R") & F.array_contains(flags, "N") & F.exists("members", lambda m: m["l_quantity"] > 30) & F.exists("members", lambda m: m["l_discount"] > 0.05))
+    orders = t(spark, sf_dir, "orders").where(text_match(F.col("o_orderpriority"), "urgent"))
+    return kept.join(orders, kept["l_orderkey"] == orders["o_orderkey"]).select("o_orderkey", "o_orderstatus", F.size("members").cast("bigint").alias("n"))
+
+
+@query("""SELECT 'region' AS kind, r_name AS name FROM region WHERE contains(lower(r_name), 'a') UNION ALL SELECT 'nation', n_name FROM nation WHERE contains(lower(n_name), 'a')
+UNION ALL SELECT 'supplier', s_name FROM supplier WHERE contains(lower(s_name), 'a') UNION ALL SELECT 'customer', c_name FROM customer WHERE contains(lower(c_name), 'a')""")
+def def_union(spark, sf_dir):
+    """One name predicate over four tables of definitions (PR14, PR16, SE1)."""
+    out = None
+    for kind in ("region", "nation", "supplier", "customer"):
+        own = t(spark, sf_dir, kind).select(F.lit(kind).alias("kind"), F.col(f"{kind[0]}_name").alias("name")).where(text_match(F.col("name"), "a"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+# -- joins
+
+
+@query("""WITH used AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 45),
+x AS (SELECT p_brand, p_partkey, EXISTS (SELECT 1 FROM used WHERE l_partkey = p_partkey) AS c FROM part)
+SELECT p_brand, count(*) FILTER (WHERE c) AS n_covered, count(*) FILTER (WHERE NOT c) AS n_gap, floor(count(*) FILTER (WHERE c) * 100 / count(*))::BIGINT AS percent FROM x GROUP BY p_brand""")
+def covered_gap_semi_anti(spark, sf_dir):
+    """Covered items and gaps (J1, J2, SE2, SE3, AG5, AG15)."""
+    used = t(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    covered, gaps = joins.covered_and_gaps(t(spark, sf_dir, "part").select("p_partkey", "p_brand"), used, "p_partkey")
+    both = covered.select("p_brand", F.lit(1).alias("c")).unionByName(gaps.select("p_brand", F.lit(0).alias("c")))
+    n, c = F.count("*"), F.sum("c")
+    return both.groupBy("p_brand").agg(c.alias("n_covered"), (n - c).alias("n_gap"), aggregates.percent_floor(c, n).alias("percent"))
+
+
+@query("""SELECT d.doc_id, coalesce(CAST(l.quality AS VARCHAR), CAST(m.quality AS VARCHAR), 'unknown') AS status FROM documents d
+LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN labels m ON m.doc_id = d.doc_id % 100""")
+def lookup_fallback(spark, sf_dir):
+    """A lookup with fallback keys in order."""
+    labels = t(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
+    docs = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    out = joins.fallback_lookup(docs, [F.col("id"), F.col("id") % 100], labels, "doc_id", "quality", F.lit("unknown"))
+    return out.select(F.col("id").alias("doc_id"), "status")
+
+
+@query("""WITH w AS (SELECT DISTINCT right(s_name, 2) AS s FROM supplier WHERE s_nationkey < 5)
+SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM w WHERE c_name LIKE '%' || s)""")
+def suffix_semi(spark, sf_dir):
+    """Existence by suffix through exploded ends, not a nested loop."""
+    w = t(spark, sf_dir, "supplier").where("s_nationkey < 5").select(F.right("s_name", F.lit(2)).alias("s"))
+    return joins.suffix_semi(t(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_name", w, "s", 2, 2).select("c_custkey", "c_name")
+
+
+@query("""WITH m AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages),
+d AS (SELECT DISTINCT split_part(path, '/', 1) AS dep FROM m)
+SELECT dep, count(*) AS n_modules, count(*) FILTER (WHERE page_id % 7 = 0) AS n_holed, count(*) FILTER (WHERE page_id % 7 = 0) = 0 AS clean
+FROM d JOIN m ON path = dep OR starts_with(path, dep || '/') GROUP BY dep""")
+def prefix_join_clean_deps(spark, sf_dir):
+    """Dependencies against modules at or below them, and which have only clean ones (J7, J8, J9, J22, AG1, AG3)."""
+    m = t(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("path"))
+    d = m.select(F.split("path", "/")[0].alias("dep")).distinct()
+    holed = F.count_if(F.col("page_id") % 7 == 0)
+    return joins.prefix_join(d, "dep", m, "path", "/").groupBy("dep").agg(F.count("*").alias("n_modules"), holed.alias("n_holed"), (holed == 0).alias("clean"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT n_nationkey % 7 AS src, (n_nationkey * 3 + 1) % 11 AS dst FROM nation WHERE n_nationkey % 7 <> (n_nationkey * 3 + 1) % 11),
+p AS (SELECT src, dst, 1 AS depth, [src, dst] AS path FROM e UNION ALL SELECT p.src, e.dst, depth + 1, list_append(path, e.dst) FROM p JOIN e ON p.dst = e.src WHERE NOT list_contains(path, e.dst))
+SELECT src::BIGINT AS src, dst::BIGINT AS dst, min(depth)::BIGINT AS depth FROM p GROUP BY src, dst""")
+def closure_paths(spark, sf_dir):
+    """Transitive closure with cycles, least depth."""
+    k = F.col("n_nationkey").cast("bigint")
+    edges = t(spark, sf_dir, "nation").select((k % 7).alias("src"), ((k * 3 + 1) % 11).alias("dst"))
+    return joins.closure(edges).select("src", "dst", F.col("depth").cast("bigint").alias("depth"))
+
+
+@query("""WITH s AS (SELECT user_id, event_id AS span, ts AS a, ts + INTERVAL 6 HOUR AS b FROM events WHERE event_type = 'signup'),
+h AS (SELECT s.user_id, span, e.event_id, e.ts, row_number() OVER (PARTITION BY span ORDER BY e.ts, e.event_id) AS i
+FROM s JOIN events e ON e.user_id = s.user_id AND e.ts BETWEEN s.a AND s.b AND e.event_type <> 'signup')
+SELECT user_id, span, event_id FROM h WHERE i = 1""")
+def interval_containment(spark, sf_dir):
+    """The first point inside each span of the same key, over bucketed intervals."""
+    e = t(spark, sf_dir, "events")
+    spans = e.where("event_type = 'signup'").select(F.col("user_id").alias("u"), F.col("event_id").alias("span"), F.col("ts").alias("a"), (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("b"))
+    points = e.where("event_type <> 'signup'").select("user_id", "event_id", "ts")
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    inside = joins.interval_join(points, seconds("ts"), spans, seconds("a"), seconds("b"), [("user_id", "u")], width=6 * 3600.0)
+    return inside.groupBy("user_id", "span").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+
+
+@query("""SELECT event_id, user_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_signup FROM events""")
+def asof_last_type(spark, sf_dir):
+    """As-of: the last signup up to each event."""
+    return joins.as_of(t(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.when(F.col("event_type") == "signup", F.col("event_id")), "last_signup").select("event_id", "user_id", "last_signup")
+
+
+@query("""SELECT conv_id, turn, string_agg(role, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS snippet FROM conversations""")
+def range_snippet(spark, sf_dir):
+    """The turns around each turn."""
+    return windows.context(t(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], "role").select("conv_id", "turn", "snippet")
+
+
+@query("""SELECT id, min(strength) AS strength FROM (SELECT o_custkey AS id, coalesce(CASE WHEN o_orderstatus = 'O' THEN 'open' END, o_orderpriority) AS strength FROM orders) GROUP BY id""")
+def classification_patch(spark, sf_dir):
+    """Overwriting by id where the patch is not empty."""
+    o = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("old"), "o_orderkey", "o_orderstatus")
+    patch = o.where("o_orderstatus = 'O'").select(F.col("o_orderkey"), F.lit("open").alias("new"))
+    return o.join(patch, "o_orderkey", "left").groupBy("id").agg(F.min(F.coalesce("new", "old")).alias("strength"))
+
+
+# -- aggregates
+
+
+@query("""SELECT user_id, event_type, count(*) AS n, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)::BIGINT AS n_errors, floor(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) * 100 / count(*))::BIGINT AS percent,
+grouping(user_id, event_type)::BIGINT AS level FROM events GROUP BY ROLLUP (user_id, event_type)""")
+def hole_rollup(spark, sf_dir):
+    """Findings from type to owner to all, with counts and cut percentages (AG1-AG5, SO6)."""
+    errors = F.count_if(F.col("event_type") == "error")
+    return t(spark, sf_dir, "events").rollup("user_id", "event_type").agg(
+        F.count("*").alias("n"), errors.alias("n_errors"), aggregates.percent_floor(errors, F.count("*")).alias("percent"), F.grouping_id().alias("level")
+    )
+
+
+@query("""WITH r AS (SELECT user_id, CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 2 ELSE 1 END AS rank, event_type = 'signup' AS trait, event_id, event_id AS a, event_id + 5 AS b FROM events)
+SELECT user_id, max(rank)::BIGINT AS rank, bool_or(trait) AS trait, count(*) AS n, coalesce(arg_max(a, event_id) FILTER (WHERE trait), arg_min(a, event_id)) AS a, coalesce(arg_max(b, event_id) FILTER (WHERE trait), arg_min(b, event_id)) AS b FROM r GROUP BY user_id""")
+def priority_merge(spark, sf_dir):
+    """The strongest of all occurrences, flags joined by OR, the range of the last in a trait (AG8)."""
+    e = t(spark, sf_dir, "events").select("user_id", "event_id", "event_type", (F.col("event_type") == "signup").alias("trait"), F.col("event_id").alias("a"), (F.col("event_id") + 5).alias("b"))
+    rank = F.when(F.col("event_type") == "error", 3).when(F.col("event_type") == "purchase", 2).otherwise(1).cast("bigint")
+    return aggregates.priority_merge(e, ["user_id"], rank, ["trait"], F.col("trait"), "event_id", "a", "b")
+
+
+@query("""SELECT l_returnflag, count(*) AS n, count(*) FILTER (WHERE l_linestatus = 'O') AS n_open, count(*) FILTER (WHERE l_discount > 0.05) AS n_cheap, count(*) FILTER (WHERE l_tax = 0) AS n_untaxed,
+count(*) FILTER (WHERE l_quantity > 25 AND l_discount > 0.05) AS n_both, CASE WHEN count(*) FILTER (WHERE l_tax = 0) = 0 THEN 0.0 ELSE count(*) FILTER (WHERE l_linestatus = 'O')::DOUBLE / count(*) FILTER (WHERE l_tax = 0) END AS ratio FROM lineitem GROUP BY l_returnflag""")
+def cond_counts(spark, sf_dir):
+    """Conditional counts and a ratio guarded against nothing (AG7, AG27-AG29)."""
+    opened, untaxed = F.count_if(F.col("l_linestatus") == "O"), F.count_if(F.col("l_tax") == 0)
+    return t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
+        F.count("*").alias("n"), opened.alias("n_open"), F.count_if(F.col("l_discount") > 0.05).alias("n_cheap"), untaxed.alias("n_untaxed"),
+        F.count_if((F.col("l_quantity") > 25) & (F.col("l_discount") > 0.05)).alias("n_both"), F.when(untaxed == 0, 0.0).otherwise(opened / untaxed).alias("ratio"),
+    )
+
+
+@query("""SELECT p_brand, count(DISTINCT l_suppkey) AS n_suppliers, count(DISTINCT p_partkey) AS n_parts, count(*) AS n_uses, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS types FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand""")
+def usage_distinct(spark, sf_dir):
+    """Distinct projects and methods of each type, and its set of items (AG9-AG11)."""
+    u = t(spark, sf_dir, "lineitem").join(t(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return u.groupBy("p_brand").agg(F.countDistinct("l_suppkey").alias("n_suppliers"), F.countDistinct("p_partkey").alias("n_parts"), F.count("*").alias("n_uses"), F.array_join(F.sort_array(F.collect_set("p_type")), ",").alias("types"))
+
+
+def _usage(spark, sf_dir):
+    return t(spark, sf_dir, "lineitem").where("l_quantity > 48").join(t(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("project"), F.col("p_brand").alias("item")).distinct()
+
+
+@query("""WITH RECURSIVE u AS (SELECT DISTINCT l_suppkey AS project, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 48),
+g AS (SELECT 0 AS rank, ''::VARCHAR AS item, 0::BIGINT AS gain, 0::BIGINT AS cumulative, []::BIGINT[] AS done
+UNION ALL SELECT g.rank + 1, b.item, b.gain, g.cumulative + b.gain, list_concat(g.done, b.ps) FROM g, LATERAL (
+ SELECT u.item, count(*) AS gain, list(u.project) AS ps FROM u WHERE NOT list_contains(g.done, u.project) GROUP BY u.item ORDER BY gain DESC, item DESC LIMIT 1) b)
+SELECT rank::BIGINT AS rank, item, gain, cumulative FROM g WHERE rank > 0""")
+def greedy_touch(spark, sf_dir):
+    """Greedy cover: the item that touches most projects, again and again (AG12, AG14, T10, W5)."""
+    return aggregates.greedy_touch(_usage(spark, sf_dir)).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query(None)
+def greedy_full(spark, sf_dir):
+    """Greedy full support (AG13, AG14, T11); held against a plain recomputation in the tests."""
+    return aggregates.greedy_full(_usage(spark, sf_dir)).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query("""WITH u AS (SELECT p_brand, p_type, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_type) AS rank, count(*) OVER (PARTITION BY p_brand) AS total FROM u)
+SELECT p_brand, p_type, n, rank, greatest(total - 3, 0) AS more, CASE WHEN n > 1000 THEN 'high' WHEN n >= 100 THEN 'middle' ELSE 'low' END AS band FROM r WHERE rank <= 3""")
+def topk_remainder_bands(spark, sf_dir):
+    """The top of each group, how many more there are, and bands (SO1-SO5, W2)."""
+    u = t(spark, sf_dir, "lineitem").join(t(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("p_brand")
+    ranked = u.withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "p_type")).cast("bigint")).withColumn("total", F.count("*").over(w))
+    band = F.when(F.col("n") > 1000, "high").when(F.col("n") >= 100, "middle").otherwise("low")
+    return ranked.where("rank <= 3").select("p_brand", "p_type", "n", "rank", F.greatest(F.col("total") - 3, F.lit(0)).alias("more"), band.alias("band"))
+
+
+@query("""WITH c AS (SELECT c_custkey, count(o_orderkey) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, sum(CASE WHEN o_orderstatus = 'P' THEN 1 END)::BIGINT AS p FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey)
+SELECT c_custkey, n, p, CASE WHEN n = 0 THEN 'Empty' WHEN o > 0 AND f = 0 THEN 'Blocked' WHEN f = n THEN 'Verified' WHEN o = 0 THEN 'Ported' ELSE 'Partial' END AS state FROM c""")
+def state_machine(spark, sf_dir):
+    """A group's state from its counts, missing totals staying missing (AG24, AG25, AG26)."""
+    o = t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("f"), F.count_if(F.col("o_orderstatus") == "O").alias("o"), F.sum(F.when(F.col("o_orderstatus") == "P", 1)).alias("p"))
+    n, f, opened = (F.coalesce(c, F.lit(0)) for c in ("n", "f", "o"))
+    state = F.when(n == 0, "Empty").when((opened > 0) & (f == 0), "Blocked").when(f == n, "Verified").when(opened == 0, "Ported").otherwise("Partial")
+    return t(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", n.alias("n"), "p", state.alias("state"))
+
+
+# -- windows
+
+
+@query("""SELECT o_orderkey, o_custkey, section, max_before FROM (SELECT o_orderkey, o_custkey, CAST(left(o_orderpriority, 1) AS BIGINT) AS section,
+max(CAST(left(o_orderpriority, 1) AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS max_before FROM orders) WHERE section < max_before""")
+def order_violation(spark, sf_dir):
+    """Sections below the greatest one before them."""
+    o = t(spark, sf_dir, "orders").withColumn("section", F.left("o_orderpriority", F.lit(1)).cast("bigint"))
+    return windows.order_violations(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "section").select("o_orderkey", "o_custkey", "section", "max_before")
+
+
+@query("""WITH d AS (SELECT DISTINCT user_id, epoch(ts)::BIGINT // 86400 AS day FROM events), r AS (SELECT *, day - row_number() OVER (PARTITION BY user_id ORDER BY day) AS run FROM d)
+SELECT user_id, min(day) AS first, max(day) AS last, count(*) AS n FROM r GROUP BY user_id, run""")
+def islands(spark, sf_dir):
+    """Runs of consecutive days."""
+    d = t(spark, sf_dir, "events").select("user_id", F.floor(F.unix_timestamp("ts") / 86400).alias("day"))
+    return windows.islands(d.distinct(), ["user_id"], "day")
+
+
+@query(r"""WITH x AS (SELECT page_id, regexp_extract_all(html, '</?[a-zA-Z][a-zA-Z0-9]*') AS tags FROM pages), y AS (SELECT page_id, unnest(range(1, len(tags) + 1)) AS i, unnest(tags) AS tag FROM x),
+z AS (SELECT page_id, i, sum(CASE WHEN starts_with(tag, '</') THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY i) AS depth FROM y)
+SELECT page_id, max(depth)::BIGINT AS deepest, count(*) AS n_tags FROM z GROUP BY page_id""")
+def brace_depth(spark, sf_dir):
+    """Depth as a running sum of what opens and closes."""
+    tags = t(spark, sf_dir, "pages").select("page_id", F.posexplode(F.expr(r"regexp_extract_all(html, r'</?[a-zA-Z][a-zA-Z0-9]*', 0)")).alias("i", "tag"))
+    change = F.when(F.startswith("tag", F.lit("</")), -1).otherwise(1)
+    return windows.running_depth(tags, ["page_id"], ["i"], change).groupBy("page_id").agg(F.max("depth").alias("deepest"), F.count("*").alias("n_tags"))
+
+
+@query("""SELECT event_id, coalesce(max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) = 1, false) AS error_before,
+max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) = 1 AS purchase_ahead FROM events""")
+def lookback_lookahead(spark, sf_dir):
+    """Flags over rows back and ahead: function modes and accepted findings (W9, PR18, T25, T28)."""
+    keys, order = ["user_id"], ["ts", "event_id"]
+    back = windows.window_flag(t(spark, sf_dir, "events"), keys, order, F.col("event_type") == "error", 10, -1, "error_before")
+    return windows.window_flag(back, keys, order, F.col("event_type") == "purchase", 0, 2, "purchase_ahead").select("event_id", "error_before", "purchase_ahead")
+
+
+# -- extraction and scalar functions
+
+
+@query(r"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="?([^"> ]+)', 1)) AS href FROM pages)
+SELECT DISTINCT page_id, href, CASE WHEN contains(href, '/') THEN regexp_replace(href, '/[^/]*$', '') ELSE '' END AS parent, regexp_replace(href, '^.*/', '') AS last FROM h""")
+def dep_regex_extract(spark, sf_dir):
+    """Dependencies by regular expression, their last segment dropped (EX21, EX24, EX25, FN6, SE4)."""
+    h = t(spark, sf_dir, "pages").select("page_id", F.explode(F.expr("""regexp_extract_all(html, r'href="?([^"> ]+)', 1)""")).alias("href"))
+    parent = F.when(F.contains("href", F.lit("/")), F.regexp_replace("href", "/[^/]*$", "")).otherwise("")
+    return h.distinct().select("page_id", "href", parent.alias("parent"), F.element_at(F.split("href", "/"), -1).alias("last"))
+
+
+@query("""SELECT class, count(*) AS n, min(p_name) AS first_name FROM (SELECT p_name, CASE WHEN contains(lower(p_name), 'box') THEN 'sequence' WHEN contains(lower(p_name), 'red') THEN 'set' WHEN contains(lower(p_name), 'e') THEN 'map' ELSE 'other' END AS class FROM part) GROUP BY class""")
+def axiom_class(spark, sf_dir):
+    """Classes by the first keyword that is found, and their counts (FN13, AG20, AG21, T14, T15)."""
+    name = F.lower("p_name")
+    kind = F.when(F.contains(name, F.lit("box")), "sequence").when(F.contains(name, F.lit("red")), "set").when(F.contains(name, F.lit("e")), "map").otherwise("other")
+    return t(spark, sf_dir, "part").select("p_name", kind.alias("class")).groupBy("class").agg(F.count("*").alias("n"), F.min("p_name").alias("first_name"))
+
+
+@query("""SELECT event_type, count(*) AS n, count(json_extract_string(props, '$.k')) AS n_k, min(length(props)) AS shortest FROM events GROUP BY event_type""")
+def json_section_totals(spark, sf_dir):
+    """Totals of JSON members by section (FN24, AG19)."""
+    return t(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count(F.get_json_object("props", "$.k")).alias("n_k"), F.min(F.length("props")).cast("bigint").alias("shortest"))
+
+
+@query(r"""SELECT p_partkey, replace(p_type, ' ', '::') AS module, split_part(p_type, ' ', 1) AS chapter, CASE WHEN length(p_name) > 12 THEN left(p_name, 9) || '...' ELSE p_name END AS snippet, format('{:,}', p_partkey * 1000) AS shown, try_cast(regexp_extract(p_brand, '(\d+)', 1) AS BIGINT) AS number FROM part""")
+def scalar_functions(spark, sf_dir):
+    """Paths to modules, chapters, snippets, separators, numbers in names (FN1, FN4, FN5, FN11, W13)."""
+    return t(spark, sf_dir, "part").select(
+        "p_partkey", F.replace("p_type", F.lit(" "), F.lit("::")).alias("module"), F.split("p_type", " ")[0].alias("chapter"),
+        F.when(F.length("p_name") > 12, F.concat(F.left("p_name", F.lit(9)), F.lit("..."))).otherwise(F.col("p_name")).alias("snippet"),
+        F.format_number(F.col("p_partkey") * 1000, 0).alias("shown"), F.expr(r"try_cast(regexp_extract(p_brand, r'(\d+)', 1) AS bigint)").alias("number"),
+    )
+
+
+@query("""WITH a AS (SELECT s_nationkey AS k FROM supplier), b AS (SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000)
+SELECT 'both' AS side, k::BIGINT AS k FROM (SELECT k FROM a INTERSECT SELECT k FROM b) UNION ALL SELECT 'only suppliers', k FROM (SELECT k FROM a EXCEPT SELECT k FROM b)""")
+def set_operations(spark, sf_dir):
+    """Intersection and difference (SE2, SE3, SE5)."""
+    a = t(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("bigint").alias("k"))
+    b = t(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").cast("bigint").alias("k"))
+    return a.intersect(b).select(F.lit("both").alias("side"), "k").unionByName(a.subtract(b).select(F.lit("only suppliers").alias("side"), "k"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by user and type with subtotals: the audit's file, project and global rollup."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.rollup("user_id", "event_type").agg(F.count("*").alias("n"))
+    """Events by user and type with subtotals: the audit's finding, project and global rollup."""
+    return hole_rollup(spark, sf_dir)

@@ -91,7 +91,7 @@ def settle(chances: list[float], sizes: list[int], draw: random.Random) -> tuple
     return out, held
 
 
-def copies(docs: DataFrame, seed: int = 0, leaf: int = 20_000, fan: int = 64, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
+def copies(docs: DataFrame, seed: int = 0, leaf: int = 2_000, fan: int = 64, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text, source): ``key`` (a hash of the row), doc_id,
     source, size, source_size, target, copies. Leaves hold about ``leaf`` documents."""
     rows = docs.select("doc_id", "source", size_in_words().alias("size"), F.xxhash64("doc_id", "source", "text", F.lit(seed)).alias("key"))

@@ -105,7 +105,10 @@ def fn_filter(p: Pattern) -> Column:
 
 
 def _members(p: Pattern) -> list[Column]:
-    parts = [F.exists("body_types", lambda t, x=x: name_match(t, x)) for x in p.body_type_patterns]
+    def has_type(pattern: str) -> Column:
+        return F.exists("body_types", lambda t: name_match(t, pattern))
+
+    parts = [has_type(x) for x in p.body_type_patterns]
     if p.body_fn_name or p.body_fn_args or p.body_fn_return:
 
         def one(m: Column) -> Column:

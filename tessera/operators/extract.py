@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tessera.functions.lexer import Lines, Token, blocks, code, match, match_angle, split_top, tokens
 
@@ -411,11 +413,9 @@ def facts(files: DataFrame, kind: str) -> DataFrame:
     schema = SCHEMAS[kind]
     make = EXTRACTORS[kind]
 
-    def run(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
-        arrow = to_arrow_schema(StructType.fromDDL(schema))
+    def run(batches):
         names = arrow.names
         for b in batches:
             rows = []

@@ -26,7 +26,7 @@ def read_files(spark: SparkSession, root: str, pattern: str = "*.rs", exclude: t
     name = F.element_at(F.split("rel_path", "/"), -1)
     return out.where(kept).select(
         F.when(F.contains("rel_path", F.lit("/")), F.split("rel_path", "/")[0]).otherwise("").alias("project"), F.col("clean").alias("path"), "rel_path",
-        F.regexp_replace("rel_path", "/?[^/]*$", "").alias("dir"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.decode("content", F.lit("UTF-8")).alias("content"), F.col("length").alias("n_bytes"),
+        F.regexp_replace("rel_path", "/?[^/]*$", "").alias("dir"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("n_bytes"),
     )
 
 

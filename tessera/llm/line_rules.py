@@ -77,8 +77,11 @@ def documents_facts(docs: DataFrame, host: str) -> DataFrame:
 
 def frequent_lines(known: DataFrame, most_texts: int, most_share: float) -> DataFrame:
     """(host, line) in more distinct texts of the host than its limit allows."""
-    texts = known.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("n_texts"))
-    holds = known.select("host", "content", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.countDistinct("content").alias("n"))
+    # one row for each text of a host, so that lines can be counted plainly: such counts are summed in
+    # each task before they move, and a line that is everywhere stays small
+    own = cut(known.groupBy("host", "content").agg(F.first("lines").alias("lines")))
+    texts = own.groupBy("host").agg(F.count("*").alias("n_texts"))
+    holds = own.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
     limit = F.greatest(F.lit(float(most_texts)), F.col("n_texts") * most_share)
     return holds.where(F.col("n") > most_texts).join(texts, "host").where(F.col("n") > limit).select("host", "line", "n")
 

@@ -4,14 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 #: What separates words everywhere in this subpackage: ASCII space and the control range tab to CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_kept: dict[tuple, object] = {}
+
+
+def per_worker(key: tuple, make: Callable[[], T]) -> T:
+    """What ``make`` returns, made once in each Python worker and used by all its tasks: vocabularies
+    and what was learned of them. Only pure functions of ``key`` may be kept so."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

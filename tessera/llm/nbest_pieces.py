@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import per_worker
+
 MARK = "▁"
 UNKNOWN = 100_000  #: what a character outside the vocabulary loses beyond the rarest piece
 SEGMENTS_KEPT = 400_000  #: segments that a worker remembers before it starts anew
@@ -302,8 +304,8 @@ def encode_documents(docs: DataFrame, model: str, n: int = 4, zipf: bool = True,
     segmentations. One pass without a shuffle; ``model`` must be readable on the executors."""
 
     def encode(batches):
-        vocabulary = Vocabulary(model, zipf)
-        segmenter = Segmenter(vocabulary, n)
+        vocabulary = per_worker(("pieces", model, zipf), lambda: Vocabulary(model, zipf))
+        segmenter = per_worker(("segments", model, zipf, n), lambda: Segmenter(vocabulary, n))
         kind = pa.list_(pa.list_(pa.int32()))
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -335,7 +337,7 @@ def decode_documents(encoded: DataFrame, model: str, ids: str = "ids") -> DataFr
     """``encoded`` (doc_id, ids array<int>) as doc_id, text."""
 
     def decode(batches):
-        vocabulary = Vocabulary(model)
+        vocabulary = per_worker(("pieces", model, True), lambda: Vocabulary(model))
         for b in batches:
             texts = [None if x is None else vocabulary.decode(x) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])

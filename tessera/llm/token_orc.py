@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_folder
+from tessera.llm.common import per_worker, shared_folder
 
 CACHE = 700_000  #: pieces of text whose ids a worker remembers before it starts anew
 #: The letters by which byte-level vocabularies write bytes: printable ones stand for themselves, the
@@ -79,7 +79,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, st
     """Encodes ``docs`` (doc_id, text) and writes ORC to ``path``."""
 
     def encode(batches):
-        encoder, part, first = Encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
+        encoder = per_worker(("tokens", tokenizer, end_id), lambda: Encoder(tokenizer, end_id))
+        part, first = TaskContext.get().partitionId(), 0
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 some = b.slice(at, 256)

@@ -168,12 +168,12 @@ def build_index(docs: DataFrame, grams: list[str] | None = None, text: str = "te
     """Postings (gram, key), each once for a text, written to the shared folder in segments sorted
     by gram, one for each task. With ``grams`` only those are indexed, which is all that a known set
     of rules can ask for; else every trigram of every text."""
-    folded = F.lower(text_or_empty(text))
     if grams is None:
-        found = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(folded) - 2, F.lit(1))), lambda i: F.substring(folded, i, F.lit(3))))
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.length("folded") - 2, F.lit(1))), lambda i: F.substring(F.col("folded"), i, F.lit(3)))
+        found = F.array_distinct(F.filter(every, lambda g: F.length(g) == 3))
     else:
         found = F.array_compact(F.array(*(F.when(F.contains("folded", F.lit(g)), F.lit(g)) for g in grams)))
-    rows = docs.select(F.xxhash64(text_or_empty(text)).alias("key"), folded.alias("folded")).select("key", F.explode(found).alias("gram"))
+    rows = docs.select(F.xxhash64(text_or_empty(text)).alias("key"), F.lower(text_or_empty(text)).alias("folded")).select("key", F.explode(found).alias("gram"))
     return cut(rows.sortWithinPartitions("gram", "key"))
 
 

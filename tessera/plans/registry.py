@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.predicates import name_match, text_match
-from tessera.operators import aggregates, joins, windows
+from tessera.operators import aggregates, edits, joins, windows
+from tessera.operators.extract import facts
+from tessera.plans import coverage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -365,6 +367,42 @@ def set_operations(spark, sf_dir):
     return a.intersect(b).select(F.lit("both").alias("side"), "k").unionByName(a.subtract(b).select(F.lit("only suppliers").alias("side"), "k"))
 
 
+@query("""WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+SELECT doc_id, array_to_string(list_concat(['head: ' || l[1], 'inserted'], CASE WHEN len(l) > 2 THEN list_concat(l[3:len(l)-1], [l[len(l)]]) ELSE [] END), chr(10)) AS content FROM p""")
+def edit_fold(spark, sf_dir):
+    """Edits folded over each text: the first line changed, one inserted, the second deleted (ED1, ED2, W12)."""
+    docs = t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    head = F.concat(F.lit("head: "), F.split("content", "\n")[0])
+    own = docs.select("path", F.explode(F.array(
+        F.struct(F.lit(1).alias("seq"), F.lit("edit").alias("op"), F.lit(1).alias("start"), F.lit(1).alias("end"), head.alias("text")),
+        F.struct(F.lit(2).alias("seq"), F.lit("insert_after").alias("op"), F.lit(1).alias("start"), F.lit(1).alias("end"), F.lit("inserted").alias("text")),
+        F.struct(F.lit(3).alias("seq"), F.lit("delete").alias("op"), F.lit(2).alias("start"), F.lit(2).alias("end"), F.lit(None).cast("string").alias("text")),
+    )).alias("e")).select("path", "e.*", F.lit(None).cast("int").alias("target"))
+    return edits.apply_edits(docs, own).select(F.col("path").cast("bigint").alias("doc_id"), "content")
+
+
+@query("""SELECT page_id, len(regexp_extract_all(html, '[A-Za-z_][A-Za-z0-9_]*')) AS n_words FROM pages WHERE NOT regexp_matches(html, '["'']|//|/[*]|[^\\x00-\\x7f]|[0-9]')
+UNION ALL SELECT item_id, len(regexp_extract_all(text, '[A-Za-z_]+')) FROM benchmark WHERE NOT regexp_matches(text, '["'']|//|/[*]|[^\\x00-\\x7f]|[0-9]')""")
+def lexer_words(spark, sf_dir):
+    """Words that the source lexer finds in texts without quotes, comments and digits (EX43, W3)."""
+    plain = ~F.col("content").rlike(r"[\"']|//|/[*]|[^\x00-\x7f]|[0-9]")
+    pages = t(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("content"))
+    items = t(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id")).alias("path"), F.col("text").alias("content"))
+    both = pages.unionByName(items).where(plain)
+    words = facts(both, "tokens").where("kind = 'word'").groupBy("path").agg(F.count("*").alias("n"))
+    return both.join(words, "path", "left").select(F.regexp_replace("path", "^b", "").cast("bigint").alias("page_id"), F.coalesce("n", F.lit(0)).alias("n_words"))
+
+
+@query("""SELECT p_brand AS owner, count(*) AS n_methods, sum(p_partkey)::BIGINT AS n_uses FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 GROUP BY p_brand HAVING count(*) >= 2""")
+def exclusion_impact(spark, sf_dir):
+    """Impact by type of what is not excluded, types with two methods or more (PR21, PR22, AG16)."""
+    key = F.col("p_partkey")
+    module = F.when(key % 5 == 0, "std::io").otherwise("std::vec")
+    method = F.when(key % 7 == 0, "to_string").otherwise("push")
+    paths = t(spark, sf_dir, "part").select(F.concat_ws("::", module, "p_brand", method).alias("path"), key.alias("n"))
+    return coverage.impact(paths)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by user and type with subtotals: the audit's finding, project and global rollup."""
     return hole_rollup(spark, sf_dir)

@@ -41,7 +41,7 @@ from tessera.llm.common import per_worker
 
 MARK = "▁"
 UNKNOWN = 100_000  #: what a character outside the vocabulary loses beyond the rarest piece
-SEGMENTS_KEPT = 400_000  #: segments that a worker remembers before it starts anew
+SEGMENTS_KEPT = 500_000  #: segments in a generation of what a worker remembers; it has two
 SEGMENTS = re.compile(rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 LONG = 40  #: segments of more characters are scored one by one
 FAR = np.int64(1) << 60
@@ -68,24 +68,30 @@ class Vocabulary:
         self.unknown = min(self.score.values()) - UNKNOWN
         if any(MARK in p.lstrip(MARK) or "\n" in p and len(p) > 1 for p in self.score):
             raise ValueError("a piece crosses the places at which segments are cut")
-        self.byte_text = {i: bytes([b]) for b, i in self.byte_ids.items()}
+        self.texts = [p.encode() for p in self.pieces]
+        for b, i in self.byte_ids.items():
+            self.texts[i] = bytes([b])
         self._table()
 
     def _table(self) -> None:
-        """Pieces by a rolling hash, for lookups of many substrings at once."""
+        """Pieces by a rolling hash, for lookups of many substrings at once; the places in ``order`` are
+        those in ``scores`` and ``order_ids``, whose last entry, -1, is for what is no piece."""
         self.power = np.uint64(0x9E3779B97F4A7C15)
-        keys = {self.hash_of(p): s for p, s in self.score.items()}
-        if len(keys) != len(self.score):
+        order = list(self.score)
+        self.scores = np.array([*self.score.values(), -FAR], np.int64)
+        self.order_ids = np.array([*(self.ids[p] for p in order), -1], np.int32)
+        keys = {self.hash_of(p): i for i, p in enumerate(order)}
+        if len(keys) != len(order):
             raise ValueError("two pieces share a hash")
         slots: dict[int, list] = {}
-        for k, s in keys.items():
-            slots.setdefault(k >> 44, []).append((k, s))
+        for k, i in keys.items():
+            slots.setdefault(k >> 44, []).append((k, i))
         depth = max(map(len, slots.values()))
         self.keys = np.zeros((depth, 1 << 20), np.uint64)
-        self.values = np.zeros((depth, 1 << 20), np.int64)
+        self.places = np.full((depth, 1 << 20), -1, np.int32)
         for at, found in slots.items():
-            for i, (k, s) in enumerate(found):
-                self.keys[i, at], self.values[i, at] = k, s
+            for d, (k, i) in enumerate(found):
+                self.keys[d, at], self.places[d, at] = k, i
 
     def hash_of(self, piece: str) -> int:
         h = 0
@@ -94,12 +100,16 @@ class Vocabulary:
         return ((h ^ (h >> 29)) * MIX) & ((1 << 64) - 1)
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
-        """Scores of substrings by their hashes, -FAR for what is no piece."""
+        """Places of substrings by their hashes, -1 for what is no piece."""
         h = (h ^ (h >> np.uint64(29))) * np.uint64(MIX)
-        at = (h >> np.uint64(44)).astype(np.int64)
-        out = np.full(h.shape, -FAR, np.int64)
-        for keys, values in zip(self.keys, self.values, strict=True):
-            np.copyto(out, values[at], where=(keys[at] == h) & (values[at] != 0))
+        at = (h >> np.uint64(44)).astype(np.int32)
+        out = np.where(self.keys[0][at] == h, self.places[0][at], np.int32(-1))
+        for keys, places in zip(self.keys[1:], self.places[1:], strict=True):
+            found = places[at]
+            some = np.nonzero((found >= 0) & (out < 0))
+            if len(some[0]):
+                same = keys[at[some]] == h[some]
+                out[tuple(x[same] for x in some)] = found[tuple(x[same] for x in some)]
         return out
 
     # -- one segment
@@ -171,20 +181,24 @@ class Vocabulary:
         codes = np.frombuffer("".join([segments[i] for i in members]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n).T.astype(np.uint64) + np.uint64(1)
         m = len(members)
         most = min(self.longest, n)
-        score = {}  # by (start, size)
+        score, place = {}, {}  # by (start, size); where no segment has a piece there is none
         h = np.zeros((n, m), np.uint64)
         for size in range(1, most + 1):
             h = h[: n - size + 1] * self.power + codes[size - 1 :]
             found = self.lookup(h)
+            points = self.scores[found]
             if size == 1:
-                found = np.where(found == -FAR, np.int64(self.unknown), found)
+                points[found < 0] = self.unknown
             for start in range(n - size + 1):
-                score[start, size] = found[start]
+                if (points[start] > -FAR).any():
+                    score[start, size], place[start, size] = points[start], found[start]
         alpha = np.full((n + 1, m), -FAR, np.int64)
         alpha[0] = 0
         back = np.zeros((n + 1, m), np.int8)
         for end in range(1, n + 1):
             for size in range(1, min(most, end) + 1):
+                if (end - size, size) not in score:
+                    continue
                 s = alpha[end - size] + score[end - size, size]
                 better = s > alpha[end]
                 np.copyto(alpha[end], s, where=better)
@@ -193,7 +207,8 @@ class Vocabulary:
         beta[n] = 0
         for start in range(n - 1, -1, -1):
             for size in range(1, min(most, n - start) + 1):
-                np.maximum(beta[start], beta[start + size] + score[start, size], out=beta[start])
+                if (start, size) in score:
+                    np.maximum(beta[start], beta[start + size] + score[start, size], out=beta[start])
         # which edges the best path has, then the best path with an edge that it has not
         on = np.zeros((n + 1, m), bool)
         on[n] = True
@@ -205,69 +220,109 @@ class Vocabulary:
                 on[end - k] |= here
                 cut_at[end - k][here] = k
         second = np.full(m, -FAR, np.int64)
+        chosen = np.full((m, n), -2, np.int32)  # -2 where no piece of the best path begins
         for (start, size), s in score.items():
+            on_path = cut_at[start] == size
             through = alpha[start] + s + beta[start + size]
-            np.maximum(second, np.where(cut_at[start] == size, -FAR, through), out=second)
+            through[on_path] = -FAR
+            np.maximum(second, through, out=second)
+            np.copyto(chosen[:, start], self.order_ids[place[start, size]], where=on_path)
         total = alpha[n]
         loss = np.where(second > -FAR // 2, total - second, FAR)
-        sizes, total, loss = cut_at.T.tolist(), total.tolist(), loss.tolist()
-        get = self.ids.get
-        for row, i in enumerate(members):
-            s, ids, at = segments[i], [], 0
-            steps = sizes[row]
-            while at < n:
-                piece = s[at : at + steps[at]]
-                k = get(piece)
-                if k is None:
-                    ids += [self.byte_ids[b] for b in piece.encode("utf-8", "replace")]
-                else:
-                    ids.append(k)
-                at += steps[at]
-            out[i] = (array("i", ids).tobytes(), len(ids), total[row], loss[row])
+        begins = chosen > -2
+        flat = chosen[begins].astype("<i4").tobytes()
+        ends = np.cumsum(begins.sum(1)).tolist()
+        strange = (chosen == -1).any(1).tolist()  # characters outside the vocabulary
+        at = 0
+        for row, (i, end, score_, loss_) in enumerate(zip(members, ends, total.tolist(), loss.tolist(), strict=True)):
+            if strange[row]:
+                ids = []
+                for start in np.flatnonzero(begins[row]).tolist():
+                    k = int(chosen[row, start])
+                    ids += [k] if k >= 0 else [self.byte_ids[b] for b in segments[i][start].encode("utf-8", "replace")]
+                out[i] = (array("i", ids).tobytes(), len(ids), score_, loss_)
+            else:
+                out[i] = (flat[4 * at : 4 * end], end - at, score_, loss_)
+            at = end
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: pieces and bytes joined, marks as spaces, the mark in front dropped."""
-        text = b"".join([self.byte_text.get(i) or self.pieces[i].encode() for i in ids]).decode("utf-8", "replace")
+        text = b"".join(map(self.texts.__getitem__, ids)).decode("utf-8", "replace")
         return text.replace(MARK, " ")[1:] if text.startswith(MARK) else text.replace(MARK, " ")
 
 
+def segments_of(text: str) -> list[str]:
+    """The segments of a text whose spaces have not become marks yet. Where spaces stand alone the
+    text is cut at line feeds and spaces; else by the general expression."""
+    if "  " in text or text[0] == " " or MARK in text:
+        return SEGMENTS.findall(MARK + text.replace(" ", MARK))
+    lines = text.split("\n")
+    out = [MARK + w for w in lines[0].split(" ")]
+    for line in lines[1:]:
+        out.append("\n")
+        if line:
+            first, *rest = line.split(" ")
+            if first:
+                out.append(first)
+            out += [MARK + w for w in rest]
+    return out
+
+
 class Segmenter:
-    """N best segmentations of whole texts, remembering segments."""
+    """N best segmentations of whole texts, remembering segments: the newest ones, and those of the
+    generation before until they are met again."""
 
     def __init__(self, vocabulary: Vocabulary, n: int):
         self.v, self.n = vocabulary, n
         self.known: dict[str, tuple[bytes, int, int, int]] = {}
+        self.older: dict[str, tuple[bytes, int, int, int]] = {}
         self.searched: dict[str, list] = {}
 
     def _learn(self, texts: list[list[str]]) -> None:
         if len(self.known) > SEGMENTS_KEPT:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         if len(self.searched) > SEGMENTS_KEPT // 20:
             self.searched.clear()
-        known = self.known
-        new = list({s for segments in texts for s in segments if s not in known})
+        met: set[str] = set()
+        for segments in texts:
+            met.update(segments)
+        met -= self.known.keys()
+        if again := met & self.older.keys():
+            older = self.older
+            self.known.update((s, older[s]) for s in again)
+            met -= again
+        new = list(met)
         for at in range(0, len(new), 50_000):
             some = new[at : at + 50_000]
-            known.update(zip(some, self.v.best(some), strict=True))
+            self.known.update(zip(some, self.v.best(some), strict=True))
 
     def batch(self, texts: list[str | None]) -> list[list[tuple[int, bytes]]]:
         """For each text up to n (score, ids as bytes), the best first."""
-        split = [SEGMENTS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        split = [segments_of(t) if t else [] for t in texts]
         self._learn(split)
         return [self._chain(segments) for segments in split]
 
+    def _free(self, losses: tuple[int, ...]) -> list[int]:
+        """The segments with the n - 1 least losses, the earlier ones of equals, in their order."""
+        loss, k = np.array(losses, np.int64), self.n - 1
+        if len(loss) > k:
+            bound = np.partition(loss, k - 1)[k - 1]
+            at = np.flatnonzero(loss <= bound)
+            if len(at) > k:
+                below = loss[at] < bound
+                at = at[below | (np.cumsum(~below) <= k - int(below.sum()))]
+        else:
+            at = np.arange(len(loss))
+        return [i for i in at.tolist() if losses[i] < FAR]
+
     def _chain(self, segments: list[str]) -> list[tuple[int, bytes]]:
         if not segments:
             return [(0, b"")]
-        own = list(map(self.known.__getitem__, segments))
-        ids = [x[0] for x in own]
-        total = sum([x[2] for x in own])
-        out = [(total, b"".join(ids))]
+        ids, _, scores, losses = zip(*map(self.known.__getitem__, segments), strict=True)
+        total = sum(scores)
         if self.n == 1:
-            return out
-        losses = np.array([x[3] for x in own], np.int64)
-        free = np.argsort(losses, kind="stable")[: self.n - 1] if len(losses) > 64 * self.n else sorted(range(len(own)), key=lambda i: (own[i][3], i))[: self.n - 1]
-        free = sorted(i for i in map(int, free) if own[i][3] < FAR)
+            return [(total, b"".join(ids))]
+        free = self._free(losses)
         choices = []
         for i in free:
             found = self.searched.get(segments[i])
@@ -289,11 +344,18 @@ class Segmenter:
             for k, (s, _) in enumerate(choices[at - 1]):
                 heapq.heappush(agenda, (-(score + s + before[at - 1]), tick, at - 1, score + s, (k, *path)))
                 tick += 1
-        for score, path in paths[1:]:
-            changed = list(ids)
-            for i, k, found in zip(free, path, choices, strict=True):
-                changed[i] = found[k][1]
-            out.append((score, b"".join(changed)))
+        # what lies between the free segments is the same in all of them
+        between, at = [], 0
+        for i in free:
+            between.append(b"".join(ids[at:i]))
+            at = i + 1
+        between.append(b"".join(ids[at:]))
+        out = []
+        for score, path in paths:
+            parts = [between[0]]
+            for k, found, after in zip(path, choices, between[1:], strict=True):
+                parts += (found[k][1], after)
+            out.append((score, b"".join(parts)))
         return out
 
 

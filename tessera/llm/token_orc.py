@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import per_worker, shared_folder
 
-CACHE = 700_000  #: pieces of text whose ids a worker remembers before it starts anew
+CACHE = 400_000  #: stretches of text in a generation of what a worker remembers; it has two
 #: The letters by which byte-level vocabularies write bytes: printable ones stand for themselves, the
 #: rest follow from 256 on.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -46,12 +46,20 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         super().__init__({"": b""})
+        self.older: dict[str, bytes] = {}
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.pieces = self.library.model.tokenize
         self.end = array("i", [end_id]).tobytes()
 
     def __missing__(self, w: str) -> bytes:
+        ids = self.older.get(w)
+        if ids is None:
+            ids = self._encode(w)
+        self[w] = ids
+        return ids
+
+    def _encode(self, w: str) -> bytes:
         if w[-1] in ".," and w[:-1].isalpha():
             ids = self[w[:-1]] + self[w[-1]]
         elif w.isalpha() and max(w) < "\u0180" and (w.islower() or w.isascii()):
@@ -63,12 +71,12 @@ class Encoder(dict):
                 ids = array("i", [x.id for x in self.pieces(w.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
         else:
             ids = array("i", self.library.encode(w, add_special_tokens=False).ids).tobytes()
-        self[w] = ids
         return ids
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text with the end id."""
-        if len(self) > CACHE:
+        if len(self) > CACHE:  # what is met again comes back from the generation before
+            self.older = dict(self)
             self.clear()
             self[""] = b""
         get, end = self.__getitem__, self.end

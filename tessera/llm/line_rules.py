@@ -111,3 +111,24 @@ def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.common import documents
 
     return judge(documents(spark, sf_dir))
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT n, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM d),
+x AS (SELECT n, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w),
+g AS (SELECT n, i, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o AS gram FROM x WINDOW o AS (PARTITION BY n ORDER BY i)),
+r AS (SELECT n, i FROM (SELECT n, i, count(*) OVER (PARTITION BY n, gram) AS c FROM g WHERE gram IS NOT NULL) WHERE c > 1),
+rep AS (SELECT n, count(DISTINCT i + k) AS n_repeat_words FROM r CROSS JOIN range(0, 5) AS t(k) GROUP BY n),
+l AS (SELECT n, host, text, unnest(string_split(text, chr(10))) AS line FROM d),
+k AS (SELECT n, host, text, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS own FROM l),
+m AS (SELECT n, host, text, line, len(own) AS n_own, lower(array_to_string(own, ' ')) AS norm FROM k WHERE len(own) > 0),
+h AS (SELECT host, count(DISTINCT text) AS n_texts FROM d GROUP BY host),
+f AS (SELECT m.host, norm FROM m JOIN h USING (host) GROUP BY m.host, norm, n_texts HAVING count(DISTINCT text) > greatest(20.0, n_texts * 0.005)),
+s AS (SELECT m.n, count(*) - count(DISTINCT line) AS n_dup_lines, coalesce(sum(CASE WHEN f.norm IS NOT NULL THEN n_own END), 0) AS n_removed_words FROM m LEFT JOIN f ON f.host = m.host AND f.norm = m.norm GROUP BY m.n),
+a AS (SELECT d.n, doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda v: length(v))), 0) AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(n_removed_words, 0) AS BIGINT) AS n_removed_words
+  FROM d JOIN w USING (n) LEFT JOIN rep USING (n) LEFT JOIN s USING (n)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_words - n_removed_words AS n_left FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_words,
+  NOT base_failed AND NOT (n_removed_words > 0 AND (n_left < 5 OR n_left < 0.2 * n_words)) AS kept FROM b"""

@@ -240,3 +240,17 @@ def op7_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.common import documents
 
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links", "n_text_links")
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+x AS (SELECT n, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM d),
+y AS (SELECT n, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o AS gram FROM x WINDOW o AS (PARTITION BY n ORDER BY i)),
+g AS (SELECT n, gram FROM y WHERE gram IS NOT NULL UNION SELECT n, array_to_string(ws, ' ') FROM d WHERE len(ws) BETWEEN 1 AND 4),
+c AS (SELECT n, count(*) AS c, md5(string_agg(gram, chr(10) ORDER BY gram)) AS key FROM g GROUP BY n),
+p AS (SELECT a.n AS n, b.n AS m, count(*) AS k FROM g a JOIN g b ON a.gram = b.gram AND a.n <> b.n GROUP BY a.n, b.n),
+e AS (SELECT p.n, p.m, a.key AS key_n, b.key AS key_m FROM p JOIN c a ON a.n = p.n JOIN c b ON b.n = p.m WHERE k >= 0.8 * (a.c + b.c - k) - 1e-9),
+r(n, m) AS (SELECT n, n FROM d UNION SELECT r.n, e.m FROM r JOIN e ON r.m = e.n),
+h AS (SELECT r.n, min(doc_id) AS class_id FROM r JOIN d ON d.n = r.m GROUP BY r.n),
+l AS (SELECT n, count(*) AS n_links, count(DISTINCT key_m) FILTER (WHERE key_m <> key_n) AS n_text_links FROM e GROUP BY n)
+SELECT doc_id, class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, CAST(coalesce(n_text_links, 0) AS BIGINT) AS n_text_links FROM d JOIN h USING (n) LEFT JOIN l USING (n)"""

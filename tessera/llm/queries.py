@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from tessera.llm.line_dedup import ORACLE as sites_sql
 from tessera.llm.line_dedup import op6_site_spread
+from tessera.llm.line_rules import ORACLE as rules_sql
 from tessera.llm.line_rules import op5_line_frequency
+from tessera.llm.minhash_join import ORACLE as near_sql
 from tessera.llm.minhash_join import op7_minhash_join
 from tessera.llm.mixing import op9_pivotal_mix
 from tessera.llm.nbest_pieces import op1_nbest_pieces
@@ -28,4 +30,4 @@ QUERIES = {
     "op10_quality_knn": op10_quality_knn,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_trigram_secrets": secrets_sql(), "op6_site_spread": sites_sql}
+ORACLE_SQL: dict[str, str] = {"op7_minhash_join": near_sql, "op5_line_frequency": rules_sql, "op4_trigram_secrets": secrets_sql(), "op6_site_spread": sites_sql}

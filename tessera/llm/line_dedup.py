@@ -6,9 +6,13 @@ merge as they are aggregated. An estimate well below ``most_sites`` keeps a line
 above removes it; lines whose estimate is within ``margin`` of the limit get an exact distinct
 count. Lines of more than ``most_sites`` sites are boilerplate and go from all documents.
 
+Copies are no evidence of boilerplate, they are for near-duplicate removal: equal texts count at one
+site only, that of the least hash, and a text that would keep less than ``least_kept`` of its characters is a
+copy of something shared, and stays as it is.
+
 Cases: null texts count as empty and stay null; a null site is one site; lines without a word are
-never removed; a text that loses all lines becomes empty and the row stays; equal rows lose the
-same lines; an empty table gives no rows; all columns are carried, whatever their names.
+never removed; with ``least_kept`` 0 a text may lose all lines and becomes empty, its row stays; equal
+rows lose the same lines; an empty table gives no rows; all columns are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,8 +39,12 @@ def line_hash(line: Column) -> Column:
 def boilerplate(docs: DataFrame, site: str = "source", most_sites: int = 10, margin: float = 0.15) -> DataFrame:
     """(a, b) of the lines on more than ``most_sites`` sites."""
     lines = F.array_distinct(F.transform(F.split(text_or_empty(), "\n"), lambda x: F.when(F.length(normalised(x)) > 0, line_hash(x))))
-    site_hash = F.when(F.col(site).isNull(), F.lit(0).cast("bigint")).otherwise(F.xxhash64(F.col(site).cast("string")))
-    held = docs.select(site_hash.alias("site"), F.explode(F.filter(lines, lambda x: x.isNotNull())).alias("x")).select("site", F.col("x.a").alias("a"), F.col("x.b").alias("b"))
+    # 60 bits of a hash that SQL has too, so that a text's least site is the same there; null is below all
+    digits = F.substring(F.md5(F.col(site).cast("string").cast("binary")), 1, 15)
+    site_hash = F.coalesce(F.conv(digits, 16, 10).cast("bigint"), F.lit(-1))
+    held = docs.select(F.xxhash64("text").alias("content"), site_hash.alias("site"), F.explode(F.filter(lines, lambda x: x.isNotNull())).alias("x"))
+    # each text once for a line, at its least site
+    held = held.select("content", "site", F.col("x.a").alias("a"), F.col("x.b").alias("b")).groupBy("a", "b", "content").agg(F.min("site").alias("site"))
     # each site once for a line, with partial aggregation, so a frequent line is small before it moves
     held = cut(held.groupBy("a", "b", "site").agg(F.lit(1).alias("one")).drop("one"))
     spread = held.groupBy("a", "b").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("s"))
@@ -46,7 +54,7 @@ def boilerplate(docs: DataFrame, site: str = "source", most_sites: int = 10, mar
     return rated.where(F.col("n") > most_sites * (1 + margin) + 1).select("a", "b").union(exact)
 
 
-def remove_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
+def remove_lines(docs: DataFrame, lines: DataFrame, least_kept: float = 0.2) -> DataFrame:
     """``docs`` with ``text`` without the given lines, and line_dedup_total and line_dedup_removed,
     the numbers of lines before and removed. What a text loses depends on the text alone, so texts
     are joined by hash with the lines that go from them."""
@@ -59,7 +67,9 @@ def remove_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     keyed = docs.withColumn("line_dedup_key", F.xxhash64("text")).join(cut(gone).hint("shuffle_hash"), "line_dedup_key", "left")
     whole = F.split(F.col("text"), "\n")
     kept = F.filter(whole, lambda x: ~(F.coalesce(F.array_contains(F.col("line_dedup_gone"), line_hash(x)), F.lit(False)) & (F.length(normalised(x)) > 0)))
-    left = keyed.withColumn("line_dedup_left", F.when(F.col("line_dedup_gone").isNull(), whole).otherwise(kept))
+    cleaned = keyed.withColumn("line_dedup_left", F.when(F.col("line_dedup_gone").isNotNull(), kept))
+    enough = F.length(F.array_join("line_dedup_left", "\n")) >= least_kept * F.length("text")
+    left = cleaned.withColumn("line_dedup_left", F.when(F.col("line_dedup_gone").isNotNull() & enough, F.col("line_dedup_left")).otherwise(whole))
     return left.select(
         *(F.when(F.col("line_dedup_gone").isNull(), F.col("text")).otherwise(F.array_join("line_dedup_left", "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
         F.coalesce(F.size(whole), F.lit(0)).alias("line_dedup_total"),
@@ -67,8 +77,8 @@ def remove_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, site: str = "source", most_sites: int = 10, margin: float = 0.15) -> DataFrame:
-    return remove_lines(docs, boilerplate(docs, site, most_sites, margin))
+def dedup_lines(docs: DataFrame, site: str = "source", most_sites: int = 10, margin: float = 0.15, least_kept: float = 0.2) -> DataFrame:
+    return remove_lines(docs, boilerplate(docs, site, most_sites, margin), least_kept)
 
 
 def op6_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,9 +93,11 @@ def op6_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(source, '(null)') AS site, text FROM documents),
-l AS (SELECT n, doc_id, site, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS line FROM (SELECT n, doc_id, site, string_split(coalesce(text, ''), chr(10)) AS x FROM d)),
-k AS (SELECT n, doc_id, site, i, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS own FROM l),
-b AS (SELECT own FROM k WHERE own <> '' GROUP BY own HAVING count(DISTINCT site) > 10),
+l AS (SELECT n, doc_id, text, site, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS line FROM (SELECT n, doc_id, text, site, string_split(coalesce(text, ''), chr(10)) AS x FROM d)),
+k AS (SELECT n, doc_id, text, site, i, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS own FROM l),
+c AS (SELECT own, text, site, row_number() OVER (PARTITION BY own, text ORDER BY CASE WHEN site = '(null)' THEN '' ELSE md5(site) END) AS first FROM (SELECT DISTINCT own, text, site FROM k WHERE own <> '')),
+b AS (SELECT own FROM c WHERE first = 1 GROUP BY own HAVING count(DISTINCT site) > 10),
 j AS (SELECT k.*, b.own IS NOT NULL AS gone FROM k LEFT JOIN b ON k.own = b.own),
-g AS (SELECT n, doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM j GROUP BY n, doc_id)
-SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, CAST(length(kept) AS BIGINT) AS kept_chars, sha256(kept) AS kept_sha256 FROM g"""
+g AS (SELECT n, doc_id, any_value(text) AS text, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM j GROUP BY n, doc_id),
+f AS (SELECT doc_id, n_lines, CASE WHEN length(kept) >= 0.2 * length(text) THEN n_removed ELSE 0 END AS n_removed, CASE WHEN length(kept) >= 0.2 * length(text) THEN kept ELSE coalesce(text, '') END AS kept FROM g)
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, CAST(length(kept) AS BIGINT) AS kept_chars, sha256(kept) AS kept_sha256 FROM f"""

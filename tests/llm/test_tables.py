@@ -110,7 +110,12 @@ def test_line_dedup(spark, odd, empty):
     rows = [(i, f"Own line {i}\n SHARED  line\nnear {i % 9}\n", f"s{i % 12}") for i in range(48)] + [(90, "shared line", "s1"), (91, None, None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("a", F.lit(1)).withColumn("x", F.lit(2))
     out = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs, most_sites=10).collect()}
-    assert out[5]["text"] == "Own line 5\nnear 5\n" and out[90]["text"] == "" and out[91]["text"] is None and out[5]["a"] == 1
+    assert out[5]["text"] == "Own line 5\nnear 5\n" and out[91]["text"] is None and out[5]["a"] == 1
+    assert out[90]["text"] == "shared line"  # nothing would be left of it
+    bare = line_dedup.remove_lines(docs, line_dedup.boilerplate(docs), least_kept=0)
+    assert {r["text"] for r in bare.where("doc_id = 90").collect()} == {""}
+    copies = spark.createDataFrame([(i, "the same text\nat many sites", f"s{i}") for i in range(30)], "doc_id bigint, text string, source string")
+    assert line_dedup.dedup_lines(copies).where("line_dedup_removed > 0").count() == 0
     assert line_dedup.dedup_lines(docs, most_sites=12).where("line_dedup_removed > 0").count() == 0  # exactly 12 sites
     assert line_dedup.dedup_lines(odd).count() == odd.count() and line_dedup.dedup_lines(empty).count() == 0
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import per_worker, shared_folder
 
-CACHE = 400_000  #: stretches of text in a generation of what a worker remembers; it has two
+CACHE = 300_000  #: stretches of text in a generation of what a worker remembers; it has two
 #: The letters by which byte-level vocabularies write bytes: printable ones stand for themselves, the
 #: rest follow from 256 on.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]

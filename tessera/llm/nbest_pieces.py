@@ -41,7 +41,7 @@ from tessera.llm.common import per_worker
 
 MARK = "▁"
 UNKNOWN = 100_000  #: what a character outside the vocabulary loses beyond the rarest piece
-SEGMENTS_KEPT = 500_000  #: segments in a generation of what a worker remembers; it has two
+SEGMENTS_KEPT = 200_000  #: segments in a generation of what a worker remembers; it has two
 SEGMENTS = re.compile(rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 LONG = 40  #: segments of more characters are scored one by one
 FAR = np.int64(1) << 60

@@ -6,9 +6,11 @@ merge as they are aggregated. An estimate well below ``most_sites`` keeps a line
 above removes it; lines whose estimate is within ``margin`` of the limit get an exact distinct
 count. Lines of more than ``most_sites`` sites are boilerplate and go from all documents.
 
-Copies are no evidence of boilerplate, they are for near-duplicate removal: equal texts count at one
-site only, that of the least hash, and a text that would keep less than ``least_kept`` of its characters is a
-copy of something shared, and stays as it is.
+Two rules of their own stand beside that method, and both can be switched off. ``shield_copies``
+keeps boilerplate whose sites are due to copied texts: a line goes only if it has more than
+``most_sites`` sites with each text at one site, that of the least hash. With ``least_kept`` a text
+that would keep less than this share of its characters stays as it is. ``op6_distinct_sites`` and the
+pipeline use the method alone; ``op6_site_spread`` has both rules, as its SQL says.
 
 Cases: null texts count as empty and stay null; a null site is one site; lines without a word are
 never removed; with ``least_kept`` 0 a text may lose all lines and becomes empty, its row stays; equal
@@ -36,15 +38,16 @@ def line_hash(line: Column) -> Column:
     return F.struct(F.xxhash64(own).alias("a"), F.xxhash64(F.lit("line"), own).alias("b"))
 
 
+def line_hashes() -> Column:
+    """The distinct hashes of the lines of a text that have a word."""
+    lines = F.array_distinct(F.transform(F.split(text_or_empty(), "\n"), lambda x: F.when(F.length(normalised(x)) > 0, line_hash(x))))
+    return F.filter(lines, lambda x: x.isNotNull())
+
+
 def boilerplate(docs: DataFrame, site: str = "source", most_sites: int = 10, margin: float = 0.15) -> DataFrame:
     """(a, b) of the lines on more than ``most_sites`` sites."""
-    lines = F.array_distinct(F.transform(F.split(text_or_empty(), "\n"), lambda x: F.when(F.length(normalised(x)) > 0, line_hash(x))))
-    # 60 bits of a hash that SQL has too, so that a text's least site is the same there; null is below all
-    digits = F.substring(F.md5(F.col(site).cast("string").cast("binary")), 1, 15)
-    site_hash = F.coalesce(F.conv(digits, 16, 10).cast("bigint"), F.lit(-1))
-    held = docs.select(F.xxhash64("text").alias("content"), site_hash.alias("site"), F.explode(F.filter(lines, lambda x: x.isNotNull())).alias("x"))
-    # each text once for a line, at its least site
-    held = held.select("content", "site", F.col("x.a").alias("a"), F.col("x.b").alias("b")).groupBy("a", "b", "content").agg(F.min("site").alias("site"))
+    site_hash = F.when(F.col(site).isNull(), F.lit(0).cast("bigint")).otherwise(F.xxhash64(F.col(site).cast("string")))
+    held = docs.select(site_hash.alias("site"), F.explode(line_hashes()).alias("x")).select("site", F.col("x.a").alias("a"), F.col("x.b").alias("b"))
     # each site once for a line, with partial aggregation, so a frequent line is small before it moves
     held = cut(held.groupBy("a", "b", "site").agg(F.lit(1).alias("one")).drop("one"))
     spread = held.groupBy("a", "b").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("s"))
@@ -54,13 +57,23 @@ def boilerplate(docs: DataFrame, site: str = "source", most_sites: int = 10, mar
     return rated.where(F.col("n") > most_sites * (1 + margin) + 1).select("a", "b").union(exact)
 
 
+def spread_without_copies(docs: DataFrame, lines: DataFrame, site: str = "source", most_sites: int = 10) -> DataFrame:
+    """Those of ``lines`` that are on more than ``most_sites`` sites with each text at its least site only."""
+    # 60 bits of a hash that SQL has too, so that a text's least site is the same there; null is below all
+    digits = F.substring(F.md5(F.col(site).cast("string").cast("binary")), 1, 15)
+    site_hash = F.coalesce(F.conv(digits, 16, 10).cast("bigint"), F.lit(-1))
+    held = docs.select(F.xxhash64("text").alias("content"), site_hash.alias("site"), F.explode(line_hashes()).alias("x"))
+    held = held.select("content", "site", F.col("x.a").alias("a"), F.col("x.b").alias("b")).join(cut(lines), ["a", "b"], "left_semi")
+    held = held.groupBy("a", "b", "content").agg(F.min("site").alias("site"))
+    return held.groupBy("a", "b").agg(F.countDistinct("site").alias("n")).where(F.col("n") > most_sites).select("a", "b")
+
+
 def remove_lines(docs: DataFrame, lines: DataFrame, least_kept: float = 0.2) -> DataFrame:
     """``docs`` with ``text`` without the given lines, and line_dedup_total and line_dedup_removed,
     the numbers of lines before and removed. What a text loses depends on the text alone, so texts
     are joined by hash with the lines that go from them."""
     # a text's key is a hash, as is a line's: what meets a wrong text by chance finds no line there
-    parts = F.transform(F.split(text_or_empty(), "\n"), lambda x: F.when(F.length(normalised(x)) > 0, line_hash(x)))
-    texts = docs.select(F.xxhash64("text").alias("line_dedup_key"), F.explode(F.array_distinct(F.filter(parts, lambda x: x.isNotNull()))).alias("x"))
+    texts = docs.select(F.xxhash64("text").alias("line_dedup_key"), F.explode(line_hashes()).alias("x"))
     # each line of each text once; copies agree
     gone = texts.select("line_dedup_key", F.col("x.a").alias("a"), F.col("x.b").alias("b")).join(cut(lines), ["a", "b"], "left_semi")
     gone = gone.groupBy("line_dedup_key").agg(F.collect_set(F.struct("a", "b")).alias("line_dedup_gone"))
@@ -77,20 +90,31 @@ def remove_lines(docs: DataFrame, lines: DataFrame, least_kept: float = 0.2) ->
     )
 
 
-def dedup_lines(docs: DataFrame, site: str = "source", most_sites: int = 10, margin: float = 0.15, least_kept: float = 0.2) -> DataFrame:
-    return remove_lines(docs, boilerplate(docs, site, most_sites, margin), least_kept)
+def dedup_lines(docs: DataFrame, site: str = "source", most_sites: int = 10, margin: float = 0.15, least_kept: float = 0.2, shield_copies: bool = True) -> DataFrame:
+    lines = boilerplate(docs, site, most_sites, margin)
+    return remove_lines(docs, spread_without_copies(docs, lines, site, most_sites) if shield_copies else lines, least_kept)
 
 
-def op6_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.common import documents
-
-    out = dedup_lines(documents(spark, sf_dir).select("doc_id", "text", "source"))
+def _figures(out: DataFrame) -> DataFrame:
     return out.select(
         "doc_id", F.col("line_dedup_total").cast("bigint").alias("n_lines"), F.col("line_dedup_removed").cast("bigint").alias("n_removed"),
         F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
 
 
+def op6_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.common import documents
+
+    return _figures(dedup_lines(documents(spark, sf_dir).select("doc_id", "text", "source")))
+
+
+def op6_distinct_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The method alone: all distinct (line, site) pairs count, and boilerplate goes from every document."""
+    from tessera.llm.common import documents
+
+    return _figures(dedup_lines(documents(spark, sf_dir).select("doc_id", "text", "source"), least_kept=0, shield_copies=False))
+
+
 ORACLE = r"""
 WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(source, '(null)') AS site, text FROM documents),
 l AS (SELECT n, doc_id, text, site, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS line FROM (SELECT n, doc_id, text, site, string_split(coalesce(text, ''), chr(10)) AS x FROM d)),
@@ -101,3 +125,12 @@ j AS (SELECT k.*, b.own IS NOT NULL AS gone FROM k LEFT JOIN b ON k.own = b.own)
 g AS (SELECT n, doc_id, any_value(text) AS text, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM j GROUP BY n, doc_id),
 f AS (SELECT doc_id, n_lines, CASE WHEN length(kept) >= 0.2 * length(text) THEN n_removed ELSE 0 END AS n_removed, CASE WHEN length(kept) >= 0.2 * length(text) THEN kept ELSE coalesce(text, '') END AS kept FROM g)
 SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, CAST(length(kept) AS BIGINT) AS kept_chars, sha256(kept) AS kept_sha256 FROM f"""
+
+DISTINCT_ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(source, '(null)') AS site, text FROM documents),
+l AS (SELECT n, doc_id, site, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS line FROM (SELECT n, doc_id, site, string_split(coalesce(text, ''), chr(10)) AS x FROM d)),
+k AS (SELECT n, doc_id, site, i, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS own FROM l),
+b AS (SELECT own FROM k WHERE own <> '' GROUP BY own HAVING count(DISTINCT site) > 10),
+j AS (SELECT k.*, b.own IS NOT NULL AS gone FROM k LEFT JOIN b ON k.own = b.own),
+g AS (SELECT n, doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM j GROUP BY n, doc_id)
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, CAST(length(kept) AS BIGINT) AS kept_chars, sha256(kept) AS kept_sha256 FROM g"""

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from tessera.llm.line_dedup import DISTINCT_ORACLE as distinct_sites_sql
 from tessera.llm.line_dedup import ORACLE as sites_sql
-from tessera.llm.line_dedup import op6_site_spread
+from tessera.llm.line_dedup import op6_distinct_sites, op6_site_spread
 from tessera.llm.line_rules import ORACLE as rules_sql
 from tessera.llm.line_rules import op5_line_frequency
 from tessera.llm.minhash_join import ORACLE as near_sql
@@ -24,10 +25,11 @@ QUERIES = {
     "op4_trigram_secrets": op4_trigram_secrets,
     "op5_line_frequency": op5_line_frequency,
     "op6_site_spread": op6_site_spread,
+    "op6_distinct_sites": op6_distinct_sites,
     "op7_minhash_join": op7_minhash_join,
     "op8_webp_pixels": op8_webp_pixels,
     "op9_pivotal_mix": op9_pivotal_mix,
     "op10_quality_knn": op10_quality_knn,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_minhash_join": near_sql, "op5_line_frequency": rules_sql, "op4_trigram_secrets": secrets_sql(), "op6_site_spread": sites_sql}
+ORACLE_SQL: dict[str, str] = {"op7_minhash_join": near_sql, "op5_line_frequency": rules_sql, "op4_trigram_secrets": secrets_sql(), "op6_site_spread": sites_sql, "op6_distinct_sites": distinct_sites_sql}

@@ -120,6 +120,23 @@ def test_line_dedup(spark, odd, empty):
     assert line_dedup.dedup_lines(odd).count() == odd.count() and line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_lines_of_copies_count_at_all_their_sites(spark):
+    own = [(i, f"own {i}\nof one text", f"s{i}") for i in range(10)]
+    rows = [(i, "copied line\nand another", f"s{i}") for i in range(11)] + [(100 + i, f"mixed {i % 3}\nheld widely", f"s{i}") for i in range(15)] + own
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    sites = collections.defaultdict(set)
+    for _, text, site in rows:
+        for line in text.split("\n"):
+            sites[line].add(site)
+    expected = {line for line, s in sites.items() if len(s) > 10}
+    assert expected == {"copied line", "and another", "held widely"}
+    assert line_dedup.boilerplate(docs).count() == 3
+    out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, least_kept=0, shield_copies=False).collect()}
+    assert out == {i: "\n".join(x for x in text.split("\n") if x not in expected) for i, text, _ in rows}
+    # the rule that shields copies is one of its own, and only takes lines from the list
+    assert line_dedup.spread_without_copies(docs, line_dedup.boilerplate(docs)).count() == 0
+
+
 def test_sql_of_queries(spark, sf_dir):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")

@@ -24,8 +24,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that many sites share; every document stays, its n_chars follow."""
-    return dedup_lines(docs, shield_copies=False).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    """Texts without the lines that many sites share; every document stays, if empty, and its n_chars follow."""
+    return dedup_lines(docs, least_kept=0, shield_copies=False).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ count. Lines of more than ``most_sites`` sites are boilerplate and go from all d
 Two rules of their own stand beside that method, and both can be switched off. ``shield_copies``
 keeps boilerplate whose sites are due to copied texts: a line goes only if it has more than
 ``most_sites`` sites with each text at one site, that of the least hash. With ``least_kept`` a text
-that would keep less than this share of its characters stays as it is. ``op6_distinct_sites`` and the
+that would keep less than this share of its characters stays as it is, flagged by line_dedup_whole,
+whether it has copies or not. ``op6_distinct_sites`` and the
 pipeline use the method alone; ``op6_site_spread`` has both rules, as its SQL says.
 
 Cases: null texts count as empty and stay null; a null site is one site; lines without a word are
@@ -70,7 +71,8 @@ def spread_without_copies(docs: DataFrame, lines: DataFrame, site: str = "source
 
 def remove_lines(docs: DataFrame, lines: DataFrame, least_kept: float = 0.2) -> DataFrame:
     """``docs`` with ``text`` without the given lines, and line_dedup_total and line_dedup_removed,
-    the numbers of lines before and removed. What a text loses depends on the text alone, so texts
+    the numbers of lines before and removed, and line_dedup_whole: the text has such lines and
+    ``least_kept`` left them in it. What a text loses depends on the text alone, so texts
     are joined by hash with the lines that go from them."""
     # a text's key is a hash, as is a line's: what meets a wrong text by chance finds no line there
     texts = docs.select(F.xxhash64("text").alias("line_dedup_key"), F.explode(line_hashes()).alias("x"))
@@ -82,11 +84,13 @@ def remove_lines(docs: DataFrame, lines: DataFrame, least_kept: float = 0.2) ->
     kept = F.filter(whole, lambda x: ~(F.coalesce(F.array_contains(F.col("line_dedup_gone"), line_hash(x)), F.lit(False)) & (F.length(normalised(x)) > 0)))
     cleaned = keyed.withColumn("line_dedup_left", F.when(F.col("line_dedup_gone").isNotNull(), kept))
     enough = F.length(F.array_join("line_dedup_left", "\n")) >= least_kept * F.length("text")
-    left = cleaned.withColumn("line_dedup_left", F.when(F.col("line_dedup_gone").isNotNull() & enough, F.col("line_dedup_left")).otherwise(whole))
+    flagged = cleaned.withColumn("line_dedup_whole", F.col("line_dedup_gone").isNotNull() & ~enough)
+    left = flagged.withColumn("line_dedup_left", F.when(F.col("line_dedup_gone").isNotNull() & ~F.col("line_dedup_whole"), F.col("line_dedup_left")).otherwise(whole))
     return left.select(
         *(F.when(F.col("line_dedup_gone").isNull(), F.col("text")).otherwise(F.array_join("line_dedup_left", "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
         F.coalesce(F.size(whole), F.lit(0)).alias("line_dedup_total"),
         F.coalesce(F.size(whole) - F.size("line_dedup_left"), F.lit(0)).alias("line_dedup_removed"),
+        "line_dedup_whole",
     )
 
 

@@ -137,6 +137,19 @@ def test_lines_of_copies_count_at_all_their_sites(spark):
     assert line_dedup.spread_without_copies(docs, line_dedup.boilerplate(docs)).count() == 0
 
 
+def test_mostly_boilerplate(spark, sf_dir):
+    import corpus_pipeline
+
+    rows = [(i, f"own text {i} of this site\na long passage that many sites share", f"s{i}", None) for i in range(12)]
+    rows += [(20, "short\na long passage that many sites share", "s1", None), (21, "a long passage that many sites share", "s2", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint")
+    clean = {r["doc_id"]: r for r in corpus_pipeline.remove_boilerplate(spark, docs, sf_dir).collect()}
+    assert (clean[20]["text"], clean[20]["n_chars"], clean[21]["text"]) == ("short", 5, "") and clean[3]["text"] == "own text 3 of this site"
+    kept = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert {i for i, r in kept.items() if r["line_dedup_whole"]} == {20, 21} and kept[20]["text"] == rows[12][1] and kept[20]["line_dedup_removed"] == 0
+    assert not any(r["line_dedup_whole"] for r in line_dedup.dedup_lines(docs, least_kept=0).collect())
+
+
 def test_sql_of_queries(spark, sf_dir):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")

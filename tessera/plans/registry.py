@@ -393,6 +393,17 @@ def lexer_words(spark, sf_dir):
     return both.join(words, "path", "left").select(F.regexp_replace("path", "^b", "").cast("bigint").alias("page_id"), F.coalesce("n", F.lit(0)).alias("n_words"))
 
 
+@query(None)
+def lexer_tokens(spark, sf_dir):
+    """Tokens by kind, comments left out, that the source lexer finds in every page and benchmark text (EX43, W3)."""
+    pages = t(spark, sf_dir, "pages").select(F.concat(F.lit("pages/"), F.col("page_id")).alias("path"), F.col("html").alias("content"))
+    items = t(spark, sf_dir, "benchmark").select(F.concat(F.lit("benchmark/"), F.col("item_id")).alias("path"), F.col("text").alias("content"))
+    both = pages.unionByName(items)
+    kinds = ("word", "number", "text", "char", "lifetime", "sign")
+    counts = facts(both, "tokens").groupBy("path").agg(*(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds))
+    return both.select("path").join(counts, "path", "left").fillna(0)
+
+
 @query("""SELECT p_brand AS owner, count(*) AS n_methods, sum(p_partkey)::BIGINT AS n_uses FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 GROUP BY p_brand HAVING count(*) >= 2""")
 def exclusion_impact(spark, sf_dir):
     """Impact by type of what is not excluded, types with two methods or more (PR21, PR22, AG16)."""

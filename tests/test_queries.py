@@ -35,6 +35,50 @@ def test_against_sql(spark, duck, sf_dir, name):
     assert plain(got) == plain(expected)
 
 
+def lexed(source: str) -> dict:
+    """Token counts of ASCII text without raw or byte strings, one character after another."""
+    n, at = dict.fromkeys("word number text char lifetime sign comment".split(), 0), 0
+    while at < len(source):
+        c, two = source[at], source[at : at + 2]
+        if c.isspace():
+            at += 1
+            continue
+        if two == "//":
+            kind, end = "comment", (source + "\n").index("\n", at)
+        elif two == "/*":
+            kind, end, depth = "comment", at + 2, 1
+            while depth and end < len(source):
+                step = {"/*": 1, "*/": -1}.get(source[end : end + 2], 0)
+                depth, end = depth + step, end + (2 if step else 1)
+        elif c == '"':
+            kind, end = "text", at + 1
+            while end < len(source) and source[end] != '"':
+                end += 2 if source[end] == "\\" else 1
+            end += 1
+        elif c == "'" and source[at + 2 : at + 3] == "'":
+            kind, end = "char", at + 3
+        elif c.isalnum() or c == "_" or c == "'" and source[at + 1 : at + 2].isalpha():
+            kind, end = "number" if c.isdigit() else "lifetime" if c == "'" else "word", at + 1
+            while end < len(source) and (source[end].isalnum() or source[end] == "_"):
+                end += 1
+        else:
+            kind, end = "sign", at + (2 if two in ("::", "->", "==") else 1)
+        n[kind] += 1
+        at = end
+    return {k: v for k, v in n.items() if k != "comment"}
+
+
+def test_lexer_tokens_of_all_texts(spark, sf_dir, tmp_path):
+    texts = ["plain words only", 'fn f<\'a>(x: &\'a str) -> u8 { g("a \\" // b", \'c\') } // end 1', "a /* b /* \"c\" */ d */ e 42 == x_1::y", "<a href=\"http://x\">9</a>", 'left "open', "/* left open", ""]
+    spark.createDataFrame([(i, "u", x) for i, x in enumerate(texts)], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, x) for i, x in enumerate(reversed(texts))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["path"]: {k[2:]: v for k, v in r.asDict().items() if k != "path"} for r in QUERIES["lexer_tokens"](spark, str(tmp_path)).collect()}
+    assert got == {f"pages/{i}": lexed(x) for i, x in enumerate(texts)} | {f"benchmark/{i}": lexed(x) for i, x in enumerate(reversed(texts))}
+    rows = QUERIES["lexer_tokens"](spark, sf_dir).collect()
+    assert len(rows) == spark.read.parquet(f"{sf_dir}/pages.parquet").count() + spark.read.parquet(f"{sf_dir}/benchmark.parquet").count()
+    assert sum(r["n_text"] for r in rows if r["path"].startswith("pages/"))
+
+
 def test_greedy_full_by_hand(spark):
     rows = [("p", "a"), ("p", "b"), ("q", "a"), ("r", "c"), ("r", "b"), ("s", None)]
     out = aggregates.greedy_full(spark.createDataFrame(rows, "project string, item string")).collect()

@@ -5,8 +5,9 @@ One pass over the texts gives counts for each document and the hashes of its nor
 more texts of a host than its limit count as removed there, and a document that keeps too little
 is rejected as depleted.
 
-The limit of a host is ``most_texts`` or ``most_share`` of its distinct texts, whichever is
-larger. A document is depleted if lines were removed and fewer than ``least_words`` words or less
+The limit is ``most_texts`` for every host, however large. Only if ``most_share`` is given, a host's
+limit is that share of its distinct texts where this is more; the SQL below still has a share of 0.005,
+so it gives the same rows as long as no host has more than 4,000 distinct texts. A document is depleted if lines were removed and fewer than ``least_words`` words or less
 than ``least_share`` of its words are left.
 
 Cases: null texts count as empty and fail the base rule; a null host is a host of its own; exact
@@ -86,7 +87,7 @@ def frequent_lines(known: DataFrame, most_texts: int, most_share: float) -> Data
     return holds.where(F.col("n") > most_texts).join(texts, "host").where(F.col("n") > limit).select("host", "line", "n")
 
 
-def judge(docs: DataFrame, host: str = "source", most_texts: int = 20, most_share: float = 0.005, least_words: int = 5, least_share: float = 0.2) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", most_texts: int = 20, most_share: float = 0.0, least_words: int = 5, least_share: float = 0.2) -> DataFrame:
     """doc_id, the counts, base_failed, n_removed_words and kept for every row."""
     known = documents_facts(docs, host)
     bad = frequent_lines(known, most_texts, most_share)

@@ -106,6 +106,18 @@ def test_line_rules(spark, odd, empty):
     assert line_rules.judge(odd).count() == odd.count() and line_rules.judge(empty).count() == 0
 
 
+def test_frequent_lines_of_a_hot_host(spark):
+    planted = "this line stands in thirty documents of the host"
+    words = "body of a document with words enough to pass the base rule as it stands here"
+    few = spark.range(30).selectExpr("id AS doc_id", f"concat('{planted}\\n{words} ', id) AS text", "'h' AS source")
+    thin = spark.createDataFrame([(50, f"{planted}\nq w", "h")], "doc_id bigint, text string, source string")
+    many = spark.range(1000, 9000).selectExpr("id AS doc_id", f"concat('{words} ', id) AS text", "'h' AS source")
+    for docs in (few.union(thin), few.union(thin).union(many)):  # verdicts do not change as the host grows
+        rows = {r["doc_id"]: r for r in line_rules.judge(docs).where("doc_id < 1000").collect()}
+        assert all(rows[i]["n_removed_words"] == 9 and rows[i]["kept"] for i in range(30))
+        assert rows[50]["n_removed_words"] == 9 and not rows[50]["kept"]
+
+
 def test_line_dedup(spark, odd, empty):
     rows = [(i, f"Own line {i}\n SHARED  line\nnear {i % 9}\n", f"s{i % 12}") for i in range(48)] + [(90, "shared line", "s1"), (91, None, None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("a", F.lit(1)).withColumn("x", F.lit(2))

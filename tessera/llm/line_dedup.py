@@ -1,21 +1,17 @@
 """Line deduplication by distinct-site spread.
 
 Every document's distinct normalised lines (lower case, words with single spaces) are hashed to
-128 bits. For each line the sites that hold it are sketched by HyperLogLog; sketches of a line
-merge as they are aggregated. An estimate well below ``most_sites`` keeps a line and one well
-above removes it; lines whose estimate is within ``margin`` of the limit get an exact distinct
-count. Lines of more than ``most_sites`` sites are boilerplate and go from all documents.
-
-Two rules of their own stand beside that method, and both can be switched off. ``shield_copies``
-keeps boilerplate whose sites are due to copied texts: a line goes only if it has more than
-``most_sites`` sites with each text at one site, that of the least hash. With ``least_kept`` a text
-that would keep less than this share of its characters stays as it is, flagged by line_dedup_whole,
-whether it has copies or not. ``op6_distinct_sites`` and the
-pipeline use the method alone; ``op6_site_spread`` has both rules, as its SQL says.
+128 bits. For each line the sites of all documents that hold it are sketched by HyperLogLog;
+sketches of a line merge as they are aggregated, before and after the shuffle. An estimate well
+below ``most_sites`` keeps a line and one well above removes it; lines whose estimate is within
+``margin`` of the limit get an exact distinct count. Lines of more than ``most_sites`` sites are
+boilerplate and go from all documents, copies and short texts included.
 
 Cases: null texts count as empty and stay null; a null site is one site; lines without a word are
-never removed; with ``least_kept`` 0 a text may lose all lines and becomes empty, its row stays; equal
-rows lose the same lines; an empty table gives no rows; all columns are carried, whatever their names.
+never removed; a text may lose all lines and becomes empty, its row stays; equal rows lose the same
+lines; an empty table gives no rows; all columns of ``docs`` but the text are carried unchanged,
+whatever their names. Three columns are added, line_dedup_total, line_dedup_removed and
+line_dedup_emptied; a caller's column of such a name is replaced.
 """
 
 from __future__ import annotations
@@ -39,99 +35,74 @@ def line_hash(line: Column) -> Column:
     return F.struct(F.xxhash64(own).alias("a"), F.xxhash64(F.lit("line"), own).alias("b"))
 
 
-def line_hashes() -> Column:
+def line_hashes(text: str = "text") -> Column:
     """The distinct hashes of the lines of a text that have a word."""
-    lines = F.array_distinct(F.transform(F.split(text_or_empty(), "\n"), lambda x: F.when(F.length(normalised(x)) > 0, line_hash(x))))
-    return F.filter(lines, lambda x: x.isNotNull())
+    own = F.filter(F.transform(F.split(text_or_empty(text), "\n"), normalised), lambda x: F.length(x) > 0)
+    return F.array_distinct(F.transform(own, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("line"), x).alias("b"))))
 
 
-def boilerplate(docs: DataFrame, site: str = "source", most_sites: int = 10, margin: float = 0.15) -> DataFrame:
-    """(a, b) of the lines on more than ``most_sites`` sites."""
+def hashed_lines(docs: DataFrame, site: str = "source") -> DataFrame:
+    """(key, site, lines) of each row: hashes of its text, of its site and of its lines. Written once,
+    so that texts are split and hashed once for all that follows."""
     site_hash = F.when(F.col(site).isNull(), F.lit(0).cast("bigint")).otherwise(F.xxhash64(F.col(site).cast("string")))
-    held = docs.select(site_hash.alias("site"), F.explode(line_hashes()).alias("x")).select("site", F.col("x.a").alias("a"), F.col("x.b").alias("b"))
-    # each site once for a line, with partial aggregation, so a frequent line is small before it moves
-    held = cut(held.groupBy("a", "b", "site").agg(F.lit(1).alias("one")).drop("one"))
-    spread = held.groupBy("a", "b").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("s"))
-    rated = cut(spread.select("a", "b", F.hll_sketch_estimate("s").alias("n")).where(F.col("n") > most_sites * (1 - margin)))
-    near = rated.where(F.col("n") <= most_sites * (1 + margin) + 1).select("a", "b")
-    exact = held.join(near, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.countDistinct("site").alias("n")).where(F.col("n") > most_sites).select("a", "b")
-    return rated.where(F.col("n") > most_sites * (1 + margin) + 1).select("a", "b").union(exact)
+    return cut(docs.select(F.xxhash64("text").alias("key"), site_hash.alias("site"), line_hashes().alias("lines")))
+
 
+def _each(hashed: DataFrame, *columns: str) -> DataFrame:
+    return hashed.select(*columns, F.explode("lines").alias("x")).select(*columns, F.col("x.a").alias("a"), F.col("x.b").alias("b"))
 
-def spread_without_copies(docs: DataFrame, lines: DataFrame, site: str = "source", most_sites: int = 10) -> DataFrame:
-    """Those of ``lines`` that are on more than ``most_sites`` sites with each text at its least site only."""
-    # 60 bits of a hash that SQL has too, so that a text's least site is the same there; null is below all
-    digits = F.substring(F.md5(F.col(site).cast("string").cast("binary")), 1, 15)
-    site_hash = F.coalesce(F.conv(digits, 16, 10).cast("bigint"), F.lit(-1))
-    held = docs.select(F.xxhash64("text").alias("content"), site_hash.alias("site"), F.explode(line_hashes()).alias("x"))
-    held = held.select("content", "site", F.col("x.a").alias("a"), F.col("x.b").alias("b")).join(cut(lines), ["a", "b"], "left_semi")
-    held = held.groupBy("a", "b", "content").agg(F.min("site").alias("site"))
-    return held.groupBy("a", "b").agg(F.countDistinct("site").alias("n")).where(F.col("n") > most_sites).select("a", "b")
+
+def boilerplate(hashed: DataFrame, most_sites: int = 10, margin: float = 0.15) -> DataFrame:
+    """(a, b) of the lines on more than ``most_sites`` sites, from hashed_lines()."""
+    held = _each(hashed, "site")
+    spread = held.groupBy("a", "b").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("s"))
+    rated = cut(spread.select("a", "b", F.hll_sketch_estimate("s").alias("n")).where(F.col("n") > most_sites * (1 - margin)))
+    sure = F.col("n") > most_sites * (1 + margin) + 1
+    near = held.join(rated.where(~sure).select("a", "b"), ["a", "b"], "left_semi")
+    # each site once for a line before the count, so that a frequent line is small before it moves
+    exact = near.groupBy("a", "b", "site").agg(F.lit(1).alias("one")).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") > most_sites)
+    return cut(rated.where(sure).select("a", "b").union(exact.select("a", "b")))
 
 
-def remove_lines(docs: DataFrame, lines: DataFrame, least_kept: float = 0.2) -> DataFrame:
+def remove_lines(docs: DataFrame, hashed: DataFrame, lines: DataFrame) -> DataFrame:
     """``docs`` with ``text`` without the given lines, and line_dedup_total and line_dedup_removed,
-    the numbers of lines before and removed, and line_dedup_whole: the text has such lines and
-    ``least_kept`` left them in it. What a text loses depends on the text alone, so texts
-    are joined by hash with the lines that go from them."""
+    the numbers of lines before and removed, and line_dedup_emptied, whether no word is left of
+    those that the text had. What a text loses depends on the text alone, so texts are joined by hash
+    with the lines that go from them."""
     # a text's key is a hash, as is a line's: what meets a wrong text by chance finds no line there
-    texts = docs.select(F.xxhash64("text").alias("line_dedup_key"), F.explode(line_hashes()).alias("x"))
-    # each line of each text once; copies agree
-    gone = texts.select("line_dedup_key", F.col("x.a").alias("a"), F.col("x.b").alias("b")).join(cut(lines), ["a", "b"], "left_semi")
-    gone = gone.groupBy("line_dedup_key").agg(F.collect_set(F.struct("a", "b")).alias("line_dedup_gone"))
-    keyed = docs.withColumn("line_dedup_key", F.xxhash64("text")).join(cut(gone).hint("shuffle_hash"), "line_dedup_key", "left")
-    whole = F.split(F.col("text"), "\n")
-    kept = F.filter(whole, lambda x: ~(F.coalesce(F.array_contains(F.col("line_dedup_gone"), line_hash(x)), F.lit(False)) & (F.length(normalised(x)) > 0)))
-    cleaned = keyed.withColumn("line_dedup_left", F.when(F.col("line_dedup_gone").isNotNull(), kept))
-    enough = F.length(F.array_join("line_dedup_left", "\n")) >= least_kept * F.length("text")
-    flagged = cleaned.withColumn("line_dedup_whole", F.col("line_dedup_gone").isNotNull() & ~enough)
-    left = flagged.withColumn("line_dedup_left", F.when(F.col("line_dedup_gone").isNotNull() & ~F.col("line_dedup_whole"), F.col("line_dedup_left")).otherwise(whole))
-    return left.select(
-        *(F.when(F.col("line_dedup_gone").isNull(), F.col("text")).otherwise(F.array_join("line_dedup_left", "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
-        F.coalesce(F.size(whole), F.lit(0)).alias("line_dedup_total"),
-        F.coalesce(F.size(whole) - F.size("line_dedup_left"), F.lit(0)).alias("line_dedup_removed"),
-        "line_dedup_whole",
+    gone = _each(hashed, "key").join(lines, ["a", "b"], "left_semi").groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64("text").alias("key"))
+    whole = F.split(F.col("row.text"), "\n")
+    kept = F.filter(whole, lambda x: ~F.array_contains(F.col("gone"), line_hash(x)))
+    found = rows.join(cut(gone).hint("shuffle_hash"), "key", "left").select("row", "gone", F.when(F.col("gone").isNotNull(), kept).alias("kept"))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join("kept", "\n"))
+    added = {
+        "line_dedup_total": F.coalesce(F.size(whole), F.lit(0)),
+        "line_dedup_removed": F.when(F.col("gone").isNull(), 0).otherwise(F.size(whole) - F.size("kept")),
+        "line_dedup_emptied": F.when(F.col("gone").isNull(), False).otherwise(~F.array_join("kept", "").rlike(r"[^\x20\x09-\x0D]")),
+    }
+    return found.select(
+        *(text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in added),
+        *(of.alias(c) for c, of in added.items()),
     )
 
 
-def dedup_lines(docs: DataFrame, site: str = "source", most_sites: int = 10, margin: float = 0.15, least_kept: float = 0.2, shield_copies: bool = True) -> DataFrame:
-    lines = boilerplate(docs, site, most_sites, margin)
-    return remove_lines(docs, spread_without_copies(docs, lines, site, most_sites) if shield_copies else lines, least_kept)
-
-
-def _figures(out: DataFrame) -> DataFrame:
-    return out.select(
-        "doc_id", F.col("line_dedup_total").cast("bigint").alias("n_lines"), F.col("line_dedup_removed").cast("bigint").alias("n_removed"),
-        F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
-    )
+def dedup_lines(docs: DataFrame, site: str = "source", most_sites: int = 10, margin: float = 0.15) -> DataFrame:
+    hashed = hashed_lines(docs, site)
+    return remove_lines(docs, hashed, boilerplate(hashed, most_sites, margin))
 
 
 def op6_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.common import documents
 
-    return _figures(dedup_lines(documents(spark, sf_dir).select("doc_id", "text", "source")))
-
-
-def op6_distinct_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The method alone: all distinct (line, site) pairs count, and boilerplate goes from every document."""
-    from tessera.llm.common import documents
-
-    return _figures(dedup_lines(documents(spark, sf_dir).select("doc_id", "text", "source"), least_kept=0, shield_copies=False))
+    return dedup_lines(documents(spark, sf_dir).select("doc_id", "text", "source")).select(
+        "doc_id", F.col("line_dedup_total").cast("bigint").alias("n_lines"), F.col("line_dedup_removed").cast("bigint").alias("n_removed"),
+        F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
 
 
 ORACLE = r"""
 WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(source, '(null)') AS site, text FROM documents),
-l AS (SELECT n, doc_id, text, site, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS line FROM (SELECT n, doc_id, text, site, string_split(coalesce(text, ''), chr(10)) AS x FROM d)),
-k AS (SELECT n, doc_id, text, site, i, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS own FROM l),
-c AS (SELECT own, text, site, row_number() OVER (PARTITION BY own, text ORDER BY CASE WHEN site = '(null)' THEN '' ELSE md5(site) END) AS first FROM (SELECT DISTINCT own, text, site FROM k WHERE own <> '')),
-b AS (SELECT own FROM c WHERE first = 1 GROUP BY own HAVING count(DISTINCT site) > 10),
-j AS (SELECT k.*, b.own IS NOT NULL AS gone FROM k LEFT JOIN b ON k.own = b.own),
-g AS (SELECT n, doc_id, any_value(text) AS text, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM j GROUP BY n, doc_id),
-f AS (SELECT doc_id, n_lines, CASE WHEN length(kept) >= 0.2 * length(text) THEN n_removed ELSE 0 END AS n_removed, CASE WHEN length(kept) >= 0.2 * length(text) THEN kept ELSE coalesce(text, '') END AS kept FROM g)
-SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, CAST(length(kept) AS BIGINT) AS kept_chars, sha256(kept) AS kept_sha256 FROM f"""
-
-DISTINCT_ORACLE = r"""
-WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(source, '(null)') AS site, text FROM documents),
 l AS (SELECT n, doc_id, site, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS line FROM (SELECT n, doc_id, site, string_split(coalesce(text, ''), chr(10)) AS x FROM d)),
 k AS (SELECT n, doc_id, site, i, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS own FROM l),
 b AS (SELECT own FROM k WHERE own <> '' GROUP BY own HAVING count(DISTINCT site) > 10),

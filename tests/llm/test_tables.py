@@ -123,33 +123,46 @@ def test_line_dedup(spark, odd, empty):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("a", F.lit(1)).withColumn("x", F.lit(2))
     out = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs, most_sites=10).collect()}
     assert out[5]["text"] == "Own line 5\nnear 5\n" and out[91]["text"] is None and out[5]["a"] == 1
-    assert out[90]["text"] == "shared line"  # nothing would be left of it
-    bare = line_dedup.remove_lines(docs, line_dedup.boilerplate(docs), least_kept=0)
-    assert {r["text"] for r in bare.where("doc_id = 90").collect()} == {""}
-    copies = spark.createDataFrame([(i, "the same text\nat many sites", f"s{i}") for i in range(30)], "doc_id bigint, text string, source string")
-    assert line_dedup.dedup_lines(copies).where("line_dedup_removed > 0").count() == 0
+    assert out[90]["text"] == "" and out[90]["line_dedup_emptied"] and not out[5]["line_dedup_emptied"]
     assert line_dedup.dedup_lines(docs, most_sites=12).where("line_dedup_removed > 0").count() == 0  # exactly 12 sites
     assert line_dedup.dedup_lines(odd).count() == odd.count() and line_dedup.dedup_lines(empty).count() == 0
 
 
-def test_lines_of_copies_count_at_all_their_sites(spark):
+def test_lines_at_all_their_sites(spark):
+    """Copies count at every site; a line of one text at 11 sites goes, and so does all of a short text."""
     own = [(i, f"own {i}\nof one text", f"s{i}") for i in range(10)]
     rows = [(i, "copied line\nand another", f"s{i}") for i in range(11)] + [(100 + i, f"mixed {i % 3}\nheld widely", f"s{i}") for i in range(15)] + own
+    rows += [(200 + i, f"{('first', 'second')[i % 2]} text\non eighteen sites", f"t{i}") for i in range(18)] + [(300, "held widely", None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     sites = collections.defaultdict(set)
     for _, text, site in rows:
         for line in text.split("\n"):
             sites[line].add(site)
     expected = {line for line, s in sites.items() if len(s) > 10}
-    assert expected == {"copied line", "and another", "held widely"}
-    assert line_dedup.boilerplate(docs).count() == 3
-    out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, least_kept=0, shield_copies=False).collect()}
-    assert out == {i: "\n".join(x for x in text.split("\n") if x not in expected) for i, text, _ in rows}
-    # the rule that shields copies is one of its own, and only takes lines from the list
-    assert line_dedup.spread_without_copies(docs, line_dedup.boilerplate(docs)).count() == 0
+    assert expected == {"copied line", "and another", "held widely", "on eighteen sites"}
+    assert line_dedup.boilerplate(line_dedup.hashed_lines(docs)).count() == 4
+    out = collections.Counter((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(docs).collect())
+    assert out == collections.Counter((i, "\n".join(x for x in text.split("\n") if x not in expected)) for i, text, _ in rows)
 
 
-def test_mostly_boilerplate(spark, sf_dir):
+def test_estimates_near_the_limit(spark):
+    """Every number of sites around a limit at which sketches only estimate, against exact counts."""
+    rows = [(0, f"line on {n} sites", f"s{s}") for n in range(240, 361, 6) for s in range(n)]
+    hashed = line_dedup.hashed_lines(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    assert line_dedup.boilerplate(hashed, most_sites=300).count() == sum(n > 300 for n in range(240, 361, 6))
+
+
+def test_columns_of_the_caller(spark):
+    """Names that the operators use themselves stay the caller's."""
+    names = ["key", "row", "gone", "kept", "a", "b", "line_dedup_key", "near_text", "near_id", "near_hash", "mix_key", "mix_total", "mix_rows", "mix_n", "spans_key", "spans_text", "spans_kinds", "copies", "k1", "rep"]
+    docs = spark.createDataFrame([(i, f"a text of five words and more {i}", f"s{i % 12}", 40) for i in range(24)], "doc_id bigint, text string, source string, n_chars bigint")
+    docs = docs.withColumns({c: F.lit(c) for c in names})
+    for out in (line_dedup.dedup_lines(docs), minhash_join.drop_near_duplicates(docs), mixing.mix(docs), secret_index.find_secrets(docs)):
+        rows = out.collect()
+        assert rows and all(r[c] == c for r in rows for c in names)
+
+
+def test_stage_of_line_dedup(spark, sf_dir):
     import corpus_pipeline
 
     rows = [(i, f"own text {i} of this site\na long passage that many sites share", f"s{i}", None) for i in range(12)]
@@ -157,9 +170,6 @@ def test_mostly_boilerplate(spark, sf_dir):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint")
     clean = {r["doc_id"]: r for r in corpus_pipeline.remove_boilerplate(spark, docs, sf_dir).collect()}
     assert (clean[20]["text"], clean[20]["n_chars"], clean[21]["text"]) == ("short", 5, "") and clean[3]["text"] == "own text 3 of this site"
-    kept = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
-    assert {i for i, r in kept.items() if r["line_dedup_whole"]} == {20, 21} and kept[20]["text"] == rows[12][1] and kept[20]["line_dedup_removed"] == 0
-    assert not any(r["line_dedup_whole"] for r in line_dedup.dedup_lines(docs, least_kept=0).collect())
 
 
 def test_sql_of_queries(spark, sf_dir):
@@ -215,6 +225,40 @@ def test_blocks_of_a_large_component(spark, monkeypatch):
     assert {r["class_id"] for r in got} == {0}
 
 
+def test_blocks_of_a_chain(spark, monkeypatch):
+    """A long transitive component, most of whose members share no bucket, and a star of near copies."""
+    monkeypatch.setattr(minhash_join, "BLOCK", 4)
+    words = [f"w{i}" for i in range(600)]
+    rows = [(i, " ".join(words[6 * i : 6 * i + 100])) for i in range(60)]
+    rows += [(100 + i, " ".join(["x"] * i + [f"s{j}" for j in range(90)])) for i in range(12)]
+    got = {r["doc_id"]: r for r in minhash_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    sets = {i: grams(t) for i, t in rows}
+    assert {i: r["n_links"] for i, r in got.items()} == {i: sum(j != i and len(a & b) >= 0.8 * len(a | b) for j, b in sets.items()) for i, a in sets.items()}
+    assert {r["class_id"] for i, r in got.items() if i < 100} == {0} and {r["class_id"] for i, r in got.items() if i >= 100} == {100}
+
+
+def test_copies_without_an_id(spark):
+    """A class with a null id keeps its least id's own row, and links are those of the table without nulls."""
+    a = " ".join(f"w{i}" for i in range(100))
+    rows = [(None, a + " ", 1), (5, a, 2), (9, a.replace("w50", "x"), 3), (None, "alone without an id but long enough", 4), (7, "k one two three four five", 5), (7, "k one two three four five ", 6), (7, "k one two three four five", 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n int")
+    got = sorted((r["class_id"] or 0, r["n_links"]) for r in minhash_join.near_duplicates(docs).collect())
+    assert got == [(0, 0), (5, 2), (5, 2), (5, 2), (7, 2), (7, 2), (7, 2)]
+    for _ in range(2):
+        kept = sorted((r["doc_id"] or 0, r["text"]) for r in minhash_join.drop_near_duplicates(docs.repartition(3)).collect())
+        assert [k for k, _ in kept] == [0, 5, 7] and kept[1][1] == a
+
+
+def test_sql_of_near_duplicates_with_nulls(spark, documents):
+    docs = documents.withColumn("doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("doc_id"))).withColumn("text", F.when(F.col("doc_id").isNull() | (F.col("doc_id") % 31 != 0), F.col("text")))
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    got = minhash_join.near_duplicates(docs).select("doc_id", "class_id", "n_links", "n_text_links").toPandas()
+    # a text without an id has a class id of its own in neither
+    expected = con.sql(minhash_join.ORACLE).df()
+    assert sorted(map(tuple, got.astype(str).values)) == sorted(map(tuple, expected[list(got.columns)].astype(str).values))
+
+
 def test_band_plan():
     bands, rows = minhash_join.plan_bands()
     assert (1 - 0.8**rows) ** bands <= 0.001 and 1 - (1 - 0.4**rows) ** bands <= 0.1

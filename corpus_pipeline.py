@@ -25,7 +25,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that many sites share; every document stays, if empty, and its n_chars follow."""
-    return dedup_lines(docs, least_kept=0, shield_copies=False).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The best segmentations of every document."""
-    return encode_documents(docs, default_model())
+    """The ids of every document's best segmentation, and the scores of its best ones."""
+    return encode_documents(docs, default_model(), ids=1, digests=True)
 
 
 STAGES = [

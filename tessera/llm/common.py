@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
 from typing import TypeVar
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 T = TypeVar("T")
 #: What separates words everywhere in this subpackage: ASCII space and the control range tab to CR.
 WORD = r"[^\x20\x09-\x0D]+"
+BROADCAST_ROWS = 50_000  #: rows of a few short columns that may be broadcast
+SALTS = 64  #: tasks that share a key in a shuffle join with hot keys
+ROWS_OF_A_FILE = 100_000  #: narrow rows in a file of an intermediate table, where their number is known
 
 
 _kept: dict[tuple, object] = {}
@@ -50,22 +57,47 @@ def digest128(*columns: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors see. Only where that is
-    unset, as in tests on one machine, is a temporary local folder taken and set."""
+    """A new folder under spark.checkpoint.dir, which all executors see. Where that is unset, a local
+    master gets a temporary folder; a cluster is refused, as its machines would not see each other's."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         root = tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by writing to the shared folder and reading back; survives lost executors."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cuts lineage by writing to the shared folder and reading back; survives lost executors. With
+    ``rows``, a bound on the number of narrow rows, no more files are written than these fill."""
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_OF_A_FILE)))).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], salt: Column, how: str = "inner") -> DataFrame:
+    """Joins a table in which some keys are very frequent to a written one that has each key once: by
+    broadcast where that has at most BROADCAST_ROWS rows, by count; beyond, each key is dealt to SALTS
+    tasks by ``salt``, a hash of the left row. Keys must not be null or be structs, which may hold nulls."""
+    if right.count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), on, how)
+    dealt = right.withColumn("join_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("join_salt", F.pmod(salt, F.lit(SALTS)).cast("int")).join(dealt, [*on, "join_salt"], how).drop("join_salt")
+
+
+def slices(batch: pa.RecordBatch, column: str, most_rows: int, most_bytes: int):
+    """The batch in pieces of at most so many rows, and bytes of a text column but for single rows."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    total, first = np.cumsum(size), 0
+    while first < batch.num_rows:
+        before = total[first - 1] if first else 0
+        end = max(first + 1, min(first + most_rows, int(np.searchsorted(total, before + most_bytes, "right"))))
+        yield batch.slice(first, end - first)
+        first = end
+
+
 def labelled_sample(labels: DataFrame, label: str, rows: dict[int, int]) -> DataFrame:
     """At most about ``rows[v]`` learnable labelled ids for each label value v: (doc_id, y).
 

@@ -34,14 +34,17 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import per_worker
+from tessera.llm.common import per_worker, slices
 
 MARK = "▁"
 UNKNOWN = 100_000  #: what a character outside the vocabulary loses beyond the rarest piece
 SEGMENTS_KEPT = 200_000  #: segments in a generation of what a worker remembers; it has two
+CHARS_KEPT = 4_000_000  #: their characters
+SEARCHED_KEPT = 10_000  #: segments whose N best are remembered
 SEGMENTS = re.compile(rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 LONG = 40  #: segments of more characters are scored one by one
 FAR = np.int64(1) << 60
@@ -55,6 +58,9 @@ class Vocabulary:
         model = format_.ModelProto()
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
+        normal_form = model.normalizer_spec
+        if normal_form.precompiled_charsmap or normal_form.remove_extra_whitespaces or not normal_form.add_dummy_prefix:
+            raise ValueError("the model file normalises texts; only identity with a mark in front is built")
         self.pieces = [p.piece for p in model.pieces]
         self.byte_ids = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == 6}
         normal = [i for i, p in enumerate(model.pieces) if p.type in (1, 4)]
@@ -71,6 +77,9 @@ class Vocabulary:
         self.texts = [p.encode() for p in self.pieces]
         for b, i in self.byte_ids.items():
             self.texts[i] = bytes([b])
+        #: what ids stand for in a text, marks being spaces
+        self.plain = [t.replace(MARK.encode(), b" ") for t in self.texts]
+        self.plain_sizes = np.array(list(map(len, self.plain)), np.int64)
         self._table()
 
     def _table(self) -> None:
@@ -159,8 +168,9 @@ class Vocabulary:
 
     # -- many segments
 
-    def best(self, segments: list[str]) -> list[tuple[bytes, int, int, int]]:
-        """(ids as little-endian 32-bit bytes, pieces, score, loss of the second best or FAR) of each."""
+    def best(self, segments: list[str]) -> list[tuple[bytes, bytes, int, int]]:
+        """(ids as little-endian 32-bit bytes, what they decode to, score, loss of the second best or
+        FAR) of each."""
         out: list = [None] * len(segments)
         by_size: dict[int, list[int]] = {}
         for i, s in enumerate(segments):
@@ -170,7 +180,7 @@ class Vocabulary:
                 found = self.search(s, 2)
                 loss = found[0][0] - found[1][0] if len(found) > 1 else int(FAR)
                 ids = self.piece_ids(found[0][1])
-                out[i] = (array("i", ids).tobytes(), len(ids), found[0][0], loss)
+                out[i] = (array("i", ids).tobytes(), b"".join(map(self.plain.__getitem__, ids)), found[0][0], loss)
         for n, members in by_size.items():
             for at in range(0, len(members), 8192):
                 self._best_alike(segments, members[at : at + 8192], n, out)
@@ -230,20 +240,24 @@ class Vocabulary:
         total = alpha[n]
         loss = np.where(second > -FAR // 2, total - second, FAR)
         begins = chosen > -2
-        flat = chosen[begins].astype("<i4").tobytes()
-        ends = np.cumsum(begins.sum(1)).tolist()
+        ids = chosen[begins].astype("<i4")
+        ends = np.cumsum(begins.sum(1))
+        known = np.maximum(ids, 0)
+        texts = b"".join(map(self.plain.__getitem__, known.tolist()))
+        text_ends = np.cumsum(self.plain_sizes[known])[ends - 1].tolist()
+        flat, ends = ids.tobytes(), ends.tolist()
         strange = (chosen == -1).any(1).tolist()  # characters outside the vocabulary
-        at = 0
-        for row, (i, end, score_, loss_) in enumerate(zip(members, ends, total.tolist(), loss.tolist(), strict=True)):
+        at = text_at = 0
+        for row, (i, end, text_end, score_, loss_) in enumerate(zip(members, ends, text_ends, total.tolist(), loss.tolist(), strict=True)):
             if strange[row]:
-                ids = []
+                own = []
                 for start in np.flatnonzero(begins[row]).tolist():
                     k = int(chosen[row, start])
-                    ids += [k] if k >= 0 else [self.byte_ids[b] for b in segments[i][start].encode("utf-8", "replace")]
-                out[i] = (array("i", ids).tobytes(), len(ids), score_, loss_)
+                    own += [k] if k >= 0 else [self.byte_ids[b] for b in segments[i][start].encode("utf-8", "replace")]
+                out[i] = (array("i", own).tobytes(), b"".join(map(self.plain.__getitem__, own)), score_, loss_)
             else:
-                out[i] = (flat[4 * at : 4 * end], end - at, score_, loss_)
-            at = end
+                out[i] = (flat[4 * at : 4 * end], texts[text_at:text_end], score_, loss_)
+            at, text_at = end, text_end
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: pieces and bytes joined, marks as spaces, the mark in front dropped."""
@@ -251,60 +265,94 @@ class Vocabulary:
         return text.replace(MARK, " ")[1:] if text.startswith(MARK) else text.replace(MARK, " ")
 
 
-def segments_of(text: str) -> list[str]:
-    """The segments of a text whose spaces have not become marks yet. Where spaces stand alone the
-    text is cut at line feeds and spaces; else by the general expression."""
-    if "  " in text or text[0] == " " or MARK in text:
-        return SEGMENTS.findall(MARK + text.replace(" ", MARK))
-    lines = text.split("\n")
-    out = [MARK + w for w in lines[0].split(" ")]
-    for line in lines[1:]:
-        out.append("\n")
-        if line:
-            first, *rest = line.split(" ")
-            if first:
-                out.append(first)
-            out += [MARK + w for w in rest]
+def spaced(texts: pa.Array) -> pa.Array:
+    """The texts with a space between segments, spaces having become marks; an empty text stays empty.
+    Where spaces stand alone that takes two replacements; else the general expression cuts."""
+    whole = pc.replace_substring(pc.replace_substring(texts, " ", " " + MARK), "\n", " \n ")
+    out = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(pa.scalar(MARK), whole, ""))
+    odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), pc.match_substring(texts, MARK))
+    if pc.any(odd).as_py():
+        own = [" ".join(SEGMENTS.findall(MARK + t.replace(" ", MARK))) for t in texts.filter(odd).to_pylist()]
+        out = pc.replace_with_mask(out, odd, pa.array(own, pa.string()))
     return out
 
 
+class Known:
+    """Segments and what is known of them, by their place."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {"": 0}
+        self.ids, self.plain = [b""], [b""]
+        self.scores, self.losses = array("q", [0]), array("q", [int(FAR)])
+        self.chars = 0
+
+    def add(self, segments: list[str], ids: list[bytes], plain: list[bytes], scores: list[int], losses: list[int]) -> None:
+        self.place.update(zip(segments, range(len(self.ids), len(self.ids) + len(segments)), strict=True))
+        self.ids += ids
+        self.plain += plain
+        self.scores.extend(scores)
+        self.losses.extend(losses)
+        self.chars += sum(map(len, segments))
+
+
 class Segmenter:
     """N best segmentations of whole texts, remembering segments: the newest ones, and those of the
-    generation before until they are met again."""
+    generation before until they are met again. A generation ends at SEGMENTS_KEPT segments or
+    CHARS_KEPT characters, whatever comes first, so memory has a bound in bytes."""
 
     def __init__(self, vocabulary: Vocabulary, n: int):
         self.v, self.n = vocabulary, n
-        self.known: dict[str, tuple[bytes, int, int, int]] = {}
-        self.older: dict[str, tuple[bytes, int, int, int]] = {}
+        self.known, self.older = Known(), Known()
         self.searched: dict[str, list] = {}
 
-    def _learn(self, texts: list[list[str]]) -> None:
-        if len(self.known) > SEGMENTS_KEPT:
-            self.older, self.known = self.known, {}
-        if len(self.searched) > SEGMENTS_KEPT // 20:
+    def _places(self, segments: list[str]) -> np.ndarray:
+        """Places of the segments, new ones being scored first."""
+        if len(self.known.ids) > SEGMENTS_KEPT or self.known.chars > CHARS_KEPT:
+            self.older, self.known = self.known, Known()
+        if len(self.searched) > SEARCHED_KEPT:
             self.searched.clear()
-        met: set[str] = set()
-        for segments in texts:
-            met.update(segments)
-        met -= self.known.keys()
-        if again := met & self.older.keys():
-            older = self.older
-            self.known.update((s, older[s]) for s in again)
-            met -= again
-        new = list(met)
+        known, older = self.known, self.older
+        new = [s for s in segments if s not in known.place]
+        if older.place:
+            before = list(map(older.place.get, new))
+            back = [i for i in before if i is not None]
+            known.add([s for s, i in zip(new, before, strict=True) if i is not None], *([of[i] for i in back] for of in (older.ids, older.plain, older.scores, older.losses)))
+            new = [s for s, i in zip(new, before, strict=True) if i is None]
         for at in range(0, len(new), 50_000):
             some = new[at : at + 50_000]
-            self.known.update(zip(some, self.v.best(some), strict=True))
-
-    def batch(self, texts: list[str | None]) -> list[list[tuple[int, bytes]]]:
-        """For each text up to n (score, ids as bytes), the best first."""
-        split = [segments_of(t) if t else [] for t in texts]
-        self._learn(split)
-        return [self._chain(segments) for segments in split]
-
-    def _free(self, losses: tuple[int, ...]) -> list[int]:
+            known.add(some, *map(list, zip(*self.v.best(some), strict=True)))
+        return np.fromiter(map(known.place.__getitem__, segments), np.int64, len(segments))
+
+    def batch(self, texts: list[str | None] | pa.Array) -> tuple[list[list[tuple[int, bytes]]], list[bytes]]:
+        """For each text up to n (score, ids as bytes), the best first; and what the best decodes to."""
+        texts = pc.fill_null(pa.array(texts, pa.string()), "")
+        split = pc.split_pattern(spaced(texts), " ")
+        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False)).tolist()
+        coded = split.flatten().dictionary_encode()
+        segments, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        places = self._places(segments)
+        known = self.known
+        own_ids, own_plain = ([of[i] for i in places.tolist()] for of in (known.ids, known.plain))
+        score, loss = np.frombuffer(known.scores, np.int64)[places][at], np.frombuffer(known.losses, np.int64)[places][at]
+
+        def joined(parts: list[bytes]) -> tuple[bytes, list[int]]:
+            """All parts in the order of the texts, and where each segment ends."""
+            taken = pa.array(parts, pa.large_binary()).take(coded.indices)
+            offsets = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1]
+            return taken.buffers()[2].to_pybytes() if taken.buffers()[2] else b"", offsets
+
+        ids, id_at = joined(own_ids)
+        plain, plain_at = joined(own_plain)
+        out, decoded, first = [], [], 0
+        for end in ends:
+            out.append(self._chain(first, end, score[first:end], loss[first:end], lambda i: segments[at[i]], ids, id_at))
+            decoded.append(plain[plain_at[first] + (plain[plain_at[first] : plain_at[first] + 1] == b" ") : plain_at[end]])
+            first = end
+        return out, decoded
+
+    def _free(self, loss: np.ndarray) -> list[int]:
         """The segments with the n - 1 least losses, the earlier ones of equals, in their order."""
-        loss, k = np.array(losses, np.int64), self.n - 1
+        k = self.n - 1
         if len(loss) > k:
             bound = np.partition(loss, k - 1)[k - 1]
             at = np.flatnonzero(loss <= bound)
@@ -313,21 +361,20 @@ class Segmenter:
                 at = at[below | (np.cumsum(~below) <= k - int(below.sum()))]
         else:
             at = np.arange(len(loss))
-        return [i for i in at.tolist() if losses[i] < FAR]
+        return [i for i in at.tolist() if loss[i] < FAR]
 
-    def _chain(self, segments: list[str]) -> list[tuple[int, bytes]]:
-        if not segments:
-            return [(0, b"")]
-        ids, _, scores, losses = zip(*map(self.known.__getitem__, segments), strict=True)
-        total = sum(scores)
+    def _chain(self, first: int, end: int, scores: np.ndarray, losses: np.ndarray, segment, ids: bytes, id_at: np.ndarray) -> list[tuple[int, bytes]]:
+        """The best paths through the segments from ``first`` to ``end``, whose best ids are in ``ids``."""
+        total = int(scores.sum())
         if self.n == 1:
-            return [(total, b"".join(ids))]
+            return [(total, ids[id_at[first] : id_at[end]])]
         free = self._free(losses)
         choices = []
         for i in free:
-            found = self.searched.get(segments[i])
+            own = segment(first + i)
+            found = self.searched.get(own)
             if found is None:
-                found = self.searched[segments[i]] = [(score, array("i", self.v.piece_ids(p)).tobytes()) for score, p in self.v.search(segments[i], self.n)]
+                found = self.searched[own] = [(score, array("i", self.v.piece_ids(p)).tobytes()) for score, p in self.v.search(own, self.n)]
             choices.append(found)
         # backward A-star over the chain: what lies before a place costs its forward best
         before = [0]
@@ -345,11 +392,11 @@ class Segmenter:
                 heapq.heappush(agenda, (-(score + s + before[at - 1]), tick, at - 1, score + s, (k, *path)))
                 tick += 1
         # what lies between the free segments is the same in all of them
-        between, at = [], 0
+        between, at = [], id_at[first]
         for i in free:
-            between.append(b"".join(ids[at:i]))
-            at = i + 1
-        between.append(b"".join(ids[at:]))
+            between.append(ids[at : id_at[first + i]])
+            at = id_at[first + i + 1]
+        between.append(ids[at : id_at[end]])
         out = []
         for score, path in paths:
             parts = [between[0]]
@@ -359,40 +406,44 @@ class Segmenter:
         return out
 
 
-def encode_documents(docs: DataFrame, model: str, n: int = 4, zipf: bool = True, ids: bool = False) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text): doc_id, n_tokens and ids_crc32 of the best
-    segmentation, n_best, scores and nbest_crc32 of all, and round_trip, whether decoding the best
-    gives the text back (a mark in the text counting as a space). With ``ids`` also the ids of all
-    segmentations. One pass without a shuffle; ``model`` must be readable on the executors."""
+def encode_documents(docs: DataFrame, model: str, n: int = 4, zipf: bool = True, ids: int | None = None, digests: bool = False) -> DataFrame:
+    """For each row of ``docs`` (doc_id, text): doc_id, n_tokens of the best segmentation, n_best and
+    scores of all, round_trip, whether the best decodes to the text (a mark in the text counting as a
+    space), and ids, those of the ``ids`` best segmentations, or of all of them. With ``digests`` also
+    ids_crc32 of the best and nbest_crc32 of all. One pass without a shuffle; ``model`` must be
+    readable on the executors."""
+    kept = n if ids is None else ids
+    fields = "n_tokens bigint, n_best int, scores array<bigint>, round_trip boolean" + ", ids array<array<int>>" * (kept > 0) + ", ids_crc32 bigint, nbest_crc32 array<bigint>" * digests
+
+    def lists(values: np.ndarray, sizes: list[int]) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
 
     def encode(batches):
         vocabulary = per_worker(("pieces", model, zipf), lambda: Vocabulary(model, zipf))
         segmenter = per_worker(("segments", model, zipf, n), lambda: Segmenter(vocabulary, n))
-        kind = pa.list_(pa.list_(pa.int32()))
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                some = b.slice(at, 256)
-                texts = some.column("text").to_pylist()
-                found = segmenter.batch(texts)
-                decoded = [vocabulary.decode(np.frombuffer(f[0][1], "<i4").tolist()) if t else "" for t, f in zip(texts, found, strict=True)]
-                columns = [
-                    some.column("doc_id"),
-                    pa.array([len(f[0][1]) // 4 for f in found], pa.int64()),
-                    pa.array([zlib.crc32(f[0][1]) for f in found], pa.int64()),
-                    pa.array([len(f) for f in found], pa.int32()),
-                    pa.array([[s for s, _ in f] for f in found], pa.list_(pa.int64())),
-                    pa.array([[zlib.crc32(x) for _, x in f] for f in found], pa.list_(pa.int64())),
-                    pa.array([d == (t or "").replace(MARK, " ") for t, d in zip(texts, decoded, strict=True)], pa.bool_()),
-                ]
-                names = ["doc_id", "n_tokens", "ids_crc32", "n_best", "scores", "nbest_crc32", "round_trip"]
-                if ids:
-                    columns.append(pa.array([[np.frombuffer(x, "<i4").tolist() for _, x in f] for f in found], kind))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+            for some in slices(b, "text", 512, 4 << 20):
+                found, decoded = segmenter.batch(some.column("text"))
+                texts = [(t or "").replace(MARK, " ").encode("utf-8", "surrogatepass") for t in some.column("text").to_pylist()]
+                columns = {
+                    "doc_id": some.column("doc_id"),
+                    "n_tokens": pa.array([len(f[0][1]) // 4 for f in found], pa.int64()),
+                    "n_best": pa.array(list(map(len, found)), pa.int32()),
+                    "scores": lists(pa.array([s for f in found for s, _ in f], pa.int64()), list(map(len, found))),
+                    "round_trip": pa.array([d == t for t, d in zip(texts, decoded, strict=True)], pa.bool_()),
+                }
+                if kept:
+                    own = [[x for _, x in f[:kept]] for f in found]
+                    flat = pa.array(np.frombuffer(b"".join(x for f in own for x in f), "<i4"))
+                    columns["ids"] = lists(lists(flat, [len(x) // 4 for f in own for x in f]), list(map(len, own)))
+                if digests:
+                    crc = [[zlib.crc32(x) for _, x in f] for f in found]
+                    columns["ids_crc32"] = pa.array([c[0] for c in crc], pa.int64())
+                    columns["nbest_crc32"] = pa.array(crc, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    fields = f"doc_id {kind}, n_tokens bigint, ids_crc32 bigint, n_best int, scores array<bigint>, nbest_crc32 array<bigint>, round_trip boolean"
-    return docs.select("doc_id", "text").mapInArrow(encode, fields + (", ids array<array<int>>" if ids else ""))
+    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, {fields}")
 
 
 def decode_documents(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
@@ -417,4 +468,4 @@ def default_model() -> str:
 def op1_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.common import documents
 
-    return encode_documents(documents(spark, sf_dir), default_model())
+    return encode_documents(documents(spark, sf_dir), default_model(), ids=0, digests=True)

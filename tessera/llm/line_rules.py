@@ -1,18 +1,15 @@
 """Quality rules with cross-document line frequency.
 
 One pass over the texts gives counts for each document and the hashes of its normalised lines
-(lower case, single spaces). Distinct texts that hold a line are counted for each host; lines in
-more texts of a host than its limit count as removed there, and a document that keeps too little
-is rejected as depleted.
-
-The limit is ``most_texts`` for every host, however large. Only if ``most_share`` is given, a host's
-limit is that share of its distinct texts where this is more; the SQL below still has a share of 0.005,
-so it gives the same rows as long as no host has more than 4,000 distinct texts. A document is depleted if lines were removed and fewer than ``least_words`` words or less
-than ``least_share`` of its words are left.
-
-Cases: null texts count as empty and fail the base rule; a null host is a host of its own; exact
-copies within a host count once, so a copied document does not make its own lines frequent; equal
-rows get equal verdicts; empty tables give empty results; of other columns none is read.
+(lower case, single spaces). Distinct documents that hold a line are counted for each host; lines in
+more than ``most_documents`` documents of a host, the same limit for hosts of all sizes, count as
+removed there, and a document that keeps too little is rejected as depleted: lines were removed and
+fewer than ``least_words`` words or less than ``least_share`` of its words are left.
+
+Cases: null texts count as empty and fail the base rule; a null host is a host of its own; a
+document is a distinct pair of doc_id and text, so repeated rows count once, and copies under ids of
+their own each count; a null doc_id is an id; equal rows get equal verdicts; empty tables give
+empty results; of other columns none is read.
 """
 
 from __future__ import annotations
@@ -26,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, cut, text_or_empty
+from tessera.llm.common import WORD, cut, join_hot, text_or_empty
 
 WORDS = re.compile(WORD)
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -76,28 +73,21 @@ def documents_facts(docs: DataFrame, host: str) -> DataFrame:
     return cut(rows)
 
 
-def frequent_lines(known: DataFrame, most_texts: int, most_share: float) -> DataFrame:
-    """(host, line) in more distinct texts of the host than its limit allows."""
-    # one row for each text of a host, so that lines can be counted plainly: such counts are summed in
+def frequent_lines(known: DataFrame, most_documents: int) -> DataFrame:
+    """(host, line) in more distinct documents of the host than the limit."""
+    # one row for each document of a host, so that lines can be counted plainly: such counts are summed in
     # each task before they move, and a line that is everywhere stays small
-    own = cut(known.groupBy("host", "content").agg(F.first("lines").alias("lines")))
-    texts = own.groupBy("host").agg(F.count("*").alias("n_texts"))
-    holds = own.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
-    limit = F.greatest(F.lit(float(most_texts)), F.col("n_texts") * most_share)
-    return holds.where(F.col("n") > most_texts).join(texts, "host").where(F.col("n") > limit).select("host", "line", "n")
+    own = cut(known.groupBy("host", "doc_id", "content").agg(F.first("lines").alias("lines")))
+    return own.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > most_documents)
 
 
-def judge(docs: DataFrame, host: str = "source", most_texts: int = 20, most_share: float = 0.0, least_words: int = 5, least_share: float = 0.2) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", most_documents: int = 20, least_words: int = 5, least_share: float = 0.2) -> DataFrame:
     """doc_id, the counts, base_failed, n_removed_words and kept for every row."""
     known = documents_facts(docs, host)
-    bad = frequent_lines(known, most_texts, most_share)
-    lines = (
-        known.select("host", "content", F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
-        .select("host", "content", F.col("x.lines").alias("line"), F.col("x.line_words").alias("n"))
-        .join(bad.select("host", "line"), ["host", "line"])
-        .groupBy("host", "content", "line").agg(F.max("n").alias("n"))  # copies agree
-        .groupBy("host", "content").agg(F.sum("n").alias("n_removed_words"))
-    )
+    bad = cut(frequent_lines(known, most_documents).select("host", "line"))
+    held = known.select("host", "content", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("host", "content", F.col("x.lines").alias("line"), F.col("x.line_words").alias("n"))
+    lines = join_hot(held, bad, ["host", "line"], F.col("content")).groupBy("host", "content", "line").agg(F.max("n").alias("n"))  # copies agree
+    lines = cut(lines.groupBy("host", "content").agg(F.sum("n").alias("n_removed_words")))
     removed = F.coalesce("n_removed_words", F.lit(0)).cast("bigint")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     left = F.col("n_words") - removed
@@ -121,11 +111,10 @@ x AS (SELECT n, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w),
 g AS (SELECT n, i, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o AS gram FROM x WINDOW o AS (PARTITION BY n ORDER BY i)),
 r AS (SELECT n, i FROM (SELECT n, i, count(*) OVER (PARTITION BY n, gram) AS c FROM g WHERE gram IS NOT NULL) WHERE c > 1),
 rep AS (SELECT n, count(DISTINCT i + k) AS n_repeat_words FROM r CROSS JOIN range(0, 5) AS t(k) GROUP BY n),
-l AS (SELECT n, host, text, unnest(string_split(text, chr(10))) AS line FROM d),
-k AS (SELECT n, host, text, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS own FROM l),
-m AS (SELECT n, host, text, line, len(own) AS n_own, lower(array_to_string(own, ' ')) AS norm FROM k WHERE len(own) > 0),
-h AS (SELECT host, count(DISTINCT text) AS n_texts FROM d GROUP BY host),
-f AS (SELECT m.host, norm FROM m JOIN h USING (host) GROUP BY m.host, norm, n_texts HAVING count(DISTINCT text) > greatest(20.0, n_texts * 0.005)),
+l AS (SELECT n, host, doc_id, text, unnest(string_split(text, chr(10))) AS line FROM d),
+k AS (SELECT n, host, doc_id, text, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS own FROM l),
+m AS (SELECT n, host, doc_id, text, line, len(own) AS n_own, lower(array_to_string(own, ' ')) AS norm FROM k WHERE len(own) > 0),
+f AS (SELECT host, norm FROM (SELECT DISTINCT host, norm, coalesce(CAST(doc_id AS VARCHAR), 'null') AS id, text FROM m) GROUP BY host, norm HAVING count(*) > 20),
 s AS (SELECT m.n, count(*) - count(DISTINCT line) AS n_dup_lines, coalesce(sum(CASE WHEN f.norm IS NOT NULL THEN n_own END), 0) AS n_removed_words FROM m LEFT JOIN f ON f.host = m.host AND f.norm = m.norm GROUP BY m.n),
 a AS (SELECT d.n, doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda v: length(v))), 0) AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(n_removed_words, 0) AS BIGINT) AS n_removed_words

@@ -5,9 +5,10 @@
 2. Each class has ``bands`` hashes over ``rows`` MinHash values. They are shuffled by value; classes
    that share one are candidates, noted as stars around the least member of a bucket, so a bucket
    costs as many rows as it has members.
-3. Connected stars make candidate components. Each is verified in blocks on full n-gram sets: all
-   pairs of two blocks are compared inside one task, which returns sums of links for members and a
-   spanning forest of the verified links. No table of pairs is made, and no bucket has a cap.
+3. Connected stars make candidate components, which are split into blocks of members that share a
+   star where they can. Any two blocks with a common bucket are verified on full n-gram sets: all
+   their pairs are compared inside one task, which returns sums of links for members and a spanning
+   forest of the verified links. No table of pairs is made, and no bucket has a cap.
 4. Components of the forests are the near-duplicate classes.
 
 Words are runs without ASCII white space, compared as they are; a text of one to four words has
@@ -16,8 +17,9 @@ chance of missing a pair is under 1 - recall (0.001), and pairs of similarity 0.
 rarely compared.
 
 Cases: null and empty texts have no n-grams, no links and a class of their own each; equal rows
-are copies; a null doc_id takes part and is never a class id unless its class has no other id; an
-empty table gives no rows; columns other than doc_id and text are not read.
+are copies; a null doc_id takes part and is never a class id unless its class has no other id; of
+rows that tie for a class's least doc_id the one with the least text hash stands for it; an empty
+table gives no rows; columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from tessera.llm.common import WORD, cut
 from tessera.llm.graph import components
 
 WORDS = re.compile(WORD)
-WORDS_KEPT = 500_000  #: hashes of words that a worker remembers before it starts anew
+WORDS_KEPT = 200_000  #: words whose hashes a worker remembers before it starts anew
 BLOCK = 400  #: members of a block
 BLOCK_CHARS = 6_000_000  #: characters of a block, for long texts
 
@@ -177,46 +179,44 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, reca
     marks the class's own document and whatever has no n-grams."""
     bands, rows = plan_bands(threshold, recall)
     signed = signatures(docs, bands, rows, size)
-    some = signed.where("n > 0")
-    classes = cut(
-        some.groupBy("k1", "k2").agg(F.count("*").alias("m"), F.min("doc_id").alias("rep"), F.min_by("text_hash", F.coalesce("doc_id", F.lit(0))).alias("rep_hash"), F.max("n_chars").alias("n_chars"))
-    )
-    # one member for each class and band; copies agree on their bands
-    buckets = cut(some.select("k1", F.posexplode("bands").alias("band", "value")).groupBy("band", "value", "k1").agg(F.lit(1).alias("one")).drop("one"))
-    heads = buckets.groupBy("band", "value").agg(F.min("k1").alias("v"), F.count("*").alias("in_bucket")).where("in_bucket > 1")
-    stars = buckets.join(heads.select("band", "value", "v"), ["band", "value"]).where("k1 != v").select(F.col("k1").alias("u"), "v")
-    found = cut(components(stars).select(F.col("u").alias("k1"), F.col("label").alias("comp")))
-    members = found.join(classes, "k1")
-    sizes = members.groupBy("comp").agg(F.count("*").alias("c_n"), F.sum("n_chars").alias("c_chars"))
-    parts = F.greatest(F.ceil(F.col("c_n") / BLOCK), F.ceil(F.col("c_chars") / BLOCK_CHARS)).cast("int")
-    members = cut(members.join(sizes.where("c_n > 1").select("comp", parts.alias("parts")), "comp"))
-    picked = members.select("k1", "m", "comp", "parts", F.pmod(F.xxhash64("k1", F.lit("block")), F.col("parts")).cast("int").alias("block"), F.col("rep").alias("r_id"), F.col("rep_hash").alias("r_hash"))
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    # never broadcast: the members grow with the input, and a text then moves at most once
-    with_text = texts.join(picked.hint("shuffle_hash"), texts["doc_id"].eqNullSafe(picked["r_id"]) & (texts["text_hash"] == picked["r_hash"])).select("comp", "k1", "m", "parts", "block", "text")
-    # block i meets all blocks, as (lesser, greater); equal rows of a representative meet once, below
-    dealt = with_text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "k1", "m", "text"
-    )
+    n_docs = signed.count()
+    # a class of copies by its 128-bit hash; from here on by a number, which is fixed once written
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    classes = signed.where("n > 0").groupBy("k1", "k2").agg(F.count("*").alias("m"), first.alias("first"), F.max("n_chars").alias("n_chars"), F.first("bands").alias("bands"))
+    classes = cut(classes.select("k1", "k2", "m", "n_chars", "bands", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("rep_hash"), F.monotonically_increasing_id().alias("id")), n_docs)
+    # one row for each class and band; copies agree on their bands
+    buckets = classes.select("id", F.posexplode("bands").alias("band", "value"))
+    heads = buckets.groupBy("band", "value").agg(F.min("id").alias("v"), F.count("*").alias("in_bucket")).where("in_bucket > 1").select("band", "value", "v")
+    heads = cut(heads, bands * n_docs // 2)
+    stars = cut(buckets.join(heads, ["band", "value"]).where("id != v").select(F.col("id").alias("u"), "v").distinct(), bands * n_docs)
+    n_stars = stars.count()
+    found = components(stars, n_stars).select(F.col("u").alias("id"), F.col("label").alias("comp"))
+    members = cut(found.join(classes.select("id", "m", "n_chars", "rep", "rep_hash"), "id"), min(n_docs, 2 * n_stars))
+    dealt = _dealt(members, stars, buckets, heads)
+    texts = docs.select("text", F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_hash")).alias("key"))
+    # never broadcast: the members grow with the input, and a text then moves at most once before it meets its block
+    dealt = dealt.select("comp", "i", "j", "block", "id", "m", F.struct(F.col("rep").alias("doc_id"), F.col("rep_hash").alias("text_hash")).alias("key"))
+    with_text = texts.join(dealt.hint("shuffle_hash"), "key").drop("key")
 
     def compare(table: pa.Table) -> pa.Table:
-        k1, at = np.unique(table.column("k1").to_numpy(), return_index=True)  # repeated rows of one class
+        ids, at = np.unique(table.column("id").to_numpy(), return_index=True)  # repeated rows of one class
         block, m = table.column("block").to_numpy()[at], table.column("m").to_numpy()[at]
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         shingle = Shingler(size)
         sets = [shingle(t) for t in table.column("text").take(pa.array(at)).to_pylist()]
         linked = verified(sets, threshold, block if i != j else None)
         label = forest(linked)
-        return pa.table({"k1": k1, "head": k1[label], "links": linked @ m, "texts": linked.sum(1).astype(np.int64)})
-
-    compared = cut(dealt.groupBy("comp", "i", "j").applyInArrow(compare, "k1 bigint, head bigint, links bigint, texts bigint"))
-    joined = components(compared.where("k1 != head").select(F.col("k1").alias("u"), F.col("head").alias("v"))).select(F.col("u").alias("k1"), "label")
-    links = compared.groupBy("k1").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
-    known = classes.join(links, "k1", "left").join(joined, "k1", "left").withColumn("label", F.coalesce("label", "k1"))
-    known = cut(known)
-    heads = known.groupBy("label").agg(F.min("rep").alias("class_id"))
+        return pa.table({"id": ids, "head": ids[label], "links": linked @ m, "texts": linked.sum(1).astype(np.int64)})
+
+    compared = cut(with_text.groupBy("comp", "i", "j").applyInArrow(compare, "id bigint, head bigint, links bigint, texts bigint"))
+    joined = components(compared.where("id != head").select(F.col("id").alias("u"), F.col("head").alias("v")), compared.count()).select(F.col("u").alias("id"), "label")
+    links = compared.groupBy("id").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
+    known = classes.drop("bands").join(links, "id", "left").join(joined, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    known = cut(known, n_docs)
+    least = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "rep_hash", "id"))
+    heads = cut(known.groupBy("label").agg(least.alias("head")).select("label", F.col("head.rep").alias("class_id"), F.col("head.id").alias("head")), n_docs)
     facts = known.join(heads, "label").select(
-        "k1", "k2", "class_id", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).cast("bigint").alias("n_text_links"), "rep_hash", F.col("rep").eqNullSafe(F.col("class_id")).alias("is_first"),
+        "k1", "k2", "class_id", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).cast("bigint").alias("n_text_links"), "rep_hash", (F.col("id") == F.col("head")).alias("is_first"),
     )
     own = F.col("is_first") & F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("rep_hash"))
     return signed.select("doc_id", "text_hash", "k1", "k2", "n").join(facts, ["k1", "k2"], "left").select(
@@ -227,13 +227,46 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, reca
     )
 
 
+def _dealt(members: DataFrame, stars: DataFrame, buckets: DataFrame, heads: DataFrame) -> DataFrame:
+    """``members`` (id, comp, m, n_chars, rep, rep_hash) with ``block`` and, for each two blocks to
+    compare of which it is one, a row with ``i`` <= ``j``.
+
+    A component that fits one block is one. In larger ones, members are put together by their least
+    star, stars of more than a block being split by hash, and two blocks meet only if a bucket has
+    members of both."""
+
+    def parts(n: str, chars: str):
+        return F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(chars) / BLOCK_CHARS)).cast("int")
+
+    def sized(rows: DataFrame, by: str) -> DataFrame:
+        of = rows.groupBy(by).agg(F.count("*").alias("n_of"), F.sum("n_chars").alias("chars_of")).where("n_of > 1")
+        return cut(of.select(by, parts("n_of", "chars_of").alias("parts")))
+
+    kept = ["id", "comp", "m", "rep", "rep_hash"]
+    sizes = sized(members, "comp")
+    small = members.join(sizes.where("parts = 1"), "comp", "left_semi").select(*kept, F.lit(0).cast("bigint").alias("block"))
+    large = members.join(sizes.where("parts > 1"), "comp").join(stars.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("star")), "id", "left")
+    large = cut(large.withColumn("star", F.least("id", F.coalesce("star", "id"))))
+    split = sized(large, "star").select("star", F.col("parts").alias("split"))
+    own = F.when(F.col("split") > 1, F.xxhash64("star", F.pmod(F.xxhash64("id"), F.col("split")))).otherwise(F.xxhash64(F.lit("bin"), "comp", F.pmod(F.xxhash64("star"), F.col("parts"))))
+    large = cut(large.join(split, "star", "left").select(*kept, own.alias("block")))
+    held = buckets.join(heads, ["band", "value"], "left_semi").join(large.select("id", "comp", "block"), "id").select("band", "value", "comp", "block").distinct()
+    held = cut(held)
+    met = held.alias("x").join(held.alias("y"), ["band", "value"]).where("x.block <= y.block").select(F.col("x.comp").alias("comp"), F.col("x.block").alias("i"), F.col("y.block").alias("j")).distinct()
+    met = cut(met)
+    each = met.select("comp", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), "i", "j")
+    return small.select(*kept, "block", F.col("block").alias("i"), F.col("block").alias("j")).union(large.join(each, ["comp", "block"]).select(*kept, "block", "i", "j"))
+
+
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs``, one row for each class of near duplicates: that of its least doc_id. Rows without
-    n-grams all stay; of rows that agree in doc_id and text one stays."""
-    kept = near_duplicates(docs, **options).where("is_kept").select(F.col("doc_id").alias("near_id"), F.col("text_hash").alias("near_hash")).distinct()
-    keyed = docs.withColumn("near_text", F.xxhash64("text"))
-    found = keyed.join(cut(kept).hint("shuffle_hash"), keyed["doc_id"].eqNullSafe(F.col("near_id")) & (F.col("near_text") == F.col("near_hash")), "left_semi")
-    return found.dropDuplicates(["doc_id", "near_text"]).drop("near_text")
+    n-grams all stay, but of rows that agree in doc_id and text one stays: the one whose columns have
+    the least hash, so reruns agree."""
+    # as a struct the key equals where both ids are null, and one shuffle serves the join and the groups
+    kept = cut(near_duplicates(docs, **options).where("is_kept").select(F.struct("doc_id", "text_hash").alias("key")).distinct())
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_hash")).alias("key"))
+    told = F.xxhash64(*(F.col("row").getField(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()))
+    return rows.join(kept.hint("shuffle_hash"), "key", "left_semi").groupBy("key").agg(F.min_by("row", told).alias("row")).select("row.*")
 
 
 def op7_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:

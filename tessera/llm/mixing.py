@@ -10,9 +10,9 @@ rounded at random, so a source misses its target by less than one
 document; as large ones are settled first, that is usually a small one.
 
 Cases: null texts have size 0 and get no copies; a null source is a source and comes last; equal
-rows are interchangeable, so the multiset of results repeats on every run; sources of size 0 have
-target 0; empty tables give no rows; of other columns only those of ``docs`` that the caller
-keeps are carried. A hot source only has more leaves.
+rows are interchangeable, so the multiset of results repeats on every run; rows that differ in any
+column but a map are rounded each for itself; sources of size 0 have target 0; empty tables give no
+rows; all columns of ``docs`` are carried, whatever their names. A hot source only has more leaves.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, cut
+from tessera.llm.common import WORD, cut, join_hot
 
 WEIGHTS = (5.0, 2.0, 1.0)  #: by rank of the source, repeating
 MOST = 3.0  #: times its size that a document may appear
@@ -36,15 +36,13 @@ def size_in_words(text: str = "text") -> Column:
 
 def ranked(sources: DataFrame) -> DataFrame:
     """``sources`` (one row each) with ``rank`` from 0 by code point, null last: sorted over many
-    tasks, numbered by the sizes of the parts before."""
-    ordered = cut(sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()))
-    sizes = ordered.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()
-    before, pairs = 0, []
-    for r in sizes:
-        pairs += [F.lit(r["part"]), F.lit(before)]
-        before += r["n"]
-    own = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
-    return ordered.withColumn("rank", (F.create_map(*pairs)[F.col("part")] if pairs else F.lit(0)) + own).drop("part")
+    tasks, numbered by the sizes of the parts before, of which there is one for each task."""
+    order = F.col("source").asc_nulls_last()
+    ordered = cut(sources.repartitionByRange(order).withColumn("part", F.spark_partition_id()))
+    sizes = ordered.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return ordered.join(F.broadcast(sizes.select("part", before.alias("before"))), "part").withColumn("rank", F.col("before") + own).drop("part", "before")
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -91,18 +89,23 @@ def settle(chances: list[float], sizes: list[int], draw: random.Random) -> tuple
     return out, held
 
 
+def row_key(docs: DataFrame, seed: int) -> Column:
+    """A hash of all columns of a row but maps, which have none, and the seed."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()), F.lit(seed))
+
+
 def copies(docs: DataFrame, seed: int = 0, leaf: int = 2_000, fan: int = 64, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text, source): ``key`` (a hash of the row), doc_id,
     source, size, source_size, target, copies. Leaves hold about ``leaf`` documents."""
-    rows = docs.select("doc_id", "source", size_in_words().alias("size"), F.xxhash64("doc_id", "source", "text", F.lit(seed)).alias("key"))
+    rows = docs.select("doc_id", "source", size_in_words().alias("size"), row_key(docs, seed).alias("key"))
     rows = cut(rows)
     sources = cut(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
     goal = targets(sources.select("source", "source_size"), weights, most)
-    plan = goal.join(sources.select("source", "n"), F.expr("1=1") & goal["source"].eqNullSafe(sources["source"])).select(
-        goal["source"].alias("its_source"), "source_size", "target", F.ceil(F.col("n") / leaf).cast("bigint").alias("leaves")
-    )
+    # as a struct the source equals where both are null
+    goal = goal.select(F.struct("source").alias("its"), "source_size", "target")
+    plan = cut(goal.join(sources.select(F.struct("source").alias("its"), "n"), "its").select("its", "source_size", "target", F.ceil(F.col("n") / leaf).cast("bigint").alias("leaves")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    due = rows.join(plan, F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source").withColumn("rate", rate)
+    due = join_hot(rows.withColumn("its", F.struct("source")), plan, ["its"], F.col("key")).drop("its").withColumn("rate", rate)
     whole = F.floor(F.col("rate") + 1e-9)
     due = due.withColumn("whole", F.when(F.col("size") > 0, whole).otherwise(0).cast("bigint")).withColumn(
         "chance", F.when(F.col("size") > 0, F.greatest(F.col("rate") - whole, F.lit(0.0))).otherwise(0.0)
@@ -144,22 +147,18 @@ def copies(docs: DataFrame, seed: int = 0, leaf: int = 2_000, fan: int = 64, wei
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row repeated as often as it is due, its columns unchanged. Equal rows
-    share one key; the first of them in the join's order take their counts, which come to the same."""
-    seed = options.get("seed", 0)
-    n = copies(docs, **options).groupBy("key").agg(F.sum("copies").alias("mix_total"), F.count("*").alias("mix_rows")).where("mix_total > 0")
-    keyed = docs.withColumn("mix_key", F.xxhash64("doc_id", "source", "text", F.lit(seed)))
-    # rows with one key are equal in (doc_id, source, text): one of them stands for all, its copies being summed
-    same = n.where("mix_rows = 1").select(F.col("key").alias("mix_key"), "mix_total")
-    single = keyed.join(same, "mix_key")
-    more = n.where("mix_rows > 1").select(F.col("key").alias("mix_key"), "mix_total")
-    one = keyed.join(more.select("mix_key"), "mix_key", "left_semi").dropDuplicates(["mix_key"]).join(more, "mix_key")
-    both = single.unionByName(one)
-    return both.withColumn("mix_n", F.explode(F.sequence(F.lit(1), F.col("mix_total")))).select(*docs.columns)
+    """``docs`` with each row repeated as often as it is due, its columns unchanged. Rows that agree in
+    all columns share one key and, being interchangeable, the sum of their copies."""
+    n = copies(docs, **options).groupBy("key").agg(F.sum("copies").alias("total"), F.count("*").alias("rows")).where("total > 0")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), row_key(docs, options.get("seed", 0)).alias("key"))
+    at = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    found = rows.join(cut(n).hint("shuffle_hash"), "key").withColumn("at", at)
+    each = F.floor(F.col("total") / F.col("rows")) + F.when(F.col("at") <= F.col("total") % F.col("rows"), 1).otherwise(0)
+    return found.withColumn("n", each).where("n > 0").select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n")))).select("row.*")
 
 
 def op9_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.common import documents
 
-    out = copies(documents(spark, sf_dir))
+    out = copies(documents(spark, sf_dir).select("doc_id", "source", "text"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")

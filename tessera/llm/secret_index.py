@@ -10,7 +10,7 @@ trigrams scans all texts.
 Cases: null texts count as empty and have no spans; equal rows get equal results; spans count
 code points with the end exclusive; matches that fail their length rule are dropped but keep
 their place, so later matches do not overlap them; an empty table gives no rows; other columns
-are not read.
+are carried, whatever their names, but for one called spans, which is replaced.
 """
 
 from __future__ import annotations
@@ -229,23 +229,23 @@ def spans(text: str, rule: Rule, order: int) -> str:
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """``docs`` with ``spans``: array<struct<start, kind, end>>, kind being a rule's position; sorted."""
+    """``docs`` with ``spans``: array<struct<start, kind, end>>, kind being a rule's position; sorted.
+    A caller's column of that name is replaced, all others are carried."""
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q is not True}
-    name = "spans_text"
-    own = docs.withColumn(name, text_or_empty(text)).withColumn("spans_key", F.xxhash64(name))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text_or_empty(text).alias("body"))
+    own = own.withColumn("key", F.xxhash64("body"))
     if indexed:
         grams = list(dict.fromkeys(g for q in indexed.values() for g in grams_of(q)))
-        hits = candidates(build_index(docs, grams, text), indexed).select(F.col("key").alias("spans_key"), F.col("kinds").alias("spans_kinds"))
-        own = own.join(cut(hits).hint("shuffle_hash"), "spans_key", "left")
-    else:
-        own = own.withColumn("spans_kinds", F.lit(None).cast("array<string>"))
+        hits = candidates(build_index(docs, grams, text), indexed)
+        own = own.join(cut(hits).hint("shuffle_hash"), "key", "left")
     none = "cast(array() AS array<struct<start: int, kind: int, end: int>>)"
     each = []
     for i, r in enumerate(rules):
-        found = spans(name, r, i)
-        each.append(found if r.kind not in indexed else f"CASE WHEN array_contains(coalesce(spans_kinds, cast(array() AS array<string>)), '{r.kind}') THEN {found} ELSE {none} END")
-    return own.withColumn("spans", F.array_sort(F.expr(f"concat({', '.join(f'coalesce({x}, {none})' for x in each)})"))).drop(name, "spans_key", "spans_kinds")
+        found = spans("body", r, i)
+        each.append(found if r.kind not in indexed else f"CASE WHEN array_contains(coalesce(kinds, cast(array() AS array<string>)), '{r.kind}') THEN {found} ELSE {none} END")
+    found = F.array_sort(F.expr(f"concat({', '.join(f'coalesce({x}, {none})' for x in each)})"))
+    return own.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c != "spans"), found.alias("spans"))
 
 
 def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

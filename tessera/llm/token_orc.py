@@ -2,7 +2,7 @@
 
 Rows are dealt by ranges of (doc_id, text hash), sorted, encoded and written, so the files in
 order of their ``part`` hold the corpus in ascending doc_id order. ``first`` is a document's
-place among the ids of its own part; ``starts`` adds the sizes of the parts before it. ORC
+place among the ids of its own part; ``with_starts`` adds the sizes of the parts before it. ORC
 splits at stripes, so stripes are read in parallel, and a filter on doc_id is answered from file,
 stripe and row-group statistics and the Bloom filters.
 
@@ -13,18 +13,23 @@ gives no rows; a hot id spreads over parts by the hash.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import per_worker, shared_folder
+from tessera.llm.common import per_worker, shared_folder, slices
 
-CACHE = 300_000  #: stretches of text in a generation of what a worker remembers; it has two
+CACHE = 200_000  #: stretches of text in a generation of what a worker remembers; it has two
+LONGEST_KEPT = 40  #: characters of a stretch that is remembered, which with CACHE bounds the bytes
+ASCII_PARTS = re.compile("[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
+SIGNS = frozenset(".,;:!?)\"")
 #: The letters by which byte-level vocabularies write bytes: printable ones stand for themselves, the
 #: rest follow from 256 on.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -36,10 +41,17 @@ class Encoder(dict):
     """The vocabulary of ``path`` over whole texts; a dictionary from stretches of text to their
     ids as little-endian 32-bit bytes.
 
-    The file's normaliser and splitter never look across white space, and a stretch of letters
-    that ends in one full stop or comma always splits before it; so the ids of a text are those of
-    its stretches one after another, and each distinct stretch meets the library once. The
-    vocabulary lowers case letter by letter, so an ASCII stretch has the ids of its lower-case form.
+    The file's normaliser and splitter never look across white space, so the ids of a text are
+    those of its stretches one after another, and each distinct stretch meets the library once.
+    Three cases need not meet it as a whole, as the tests show over all code points they admit:
+
+    * printable ASCII without an apostrophe splits into runs of letters, single digits and runs of
+      other signs, whatever stands beside them;
+    * letters below U+0180 but for U+0130 pass the normaliser one by one, changing at most their
+      case, and the splitter whole, so the model alone gives their ids;
+    * such letters before ASCII punctuation split there.
+
+    All else goes to the library whole.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -56,31 +68,55 @@ class Encoder(dict):
         ids = self.older.get(w)
         if ids is None:
             ids = self._encode(w)
-        self[w] = ids
+        if len(w) <= LONGEST_KEPT:
+            self[w] = ids
         return ids
 
+    def _learn_plain(self, stretches: list[str]) -> None:
+        """The commonest new stretches, small ASCII letters only, all at once."""
+        new = [w for w in stretches if w not in self and w not in self.older and w.isascii() and w.isalpha() and w.islower() and len(w) <= LONGEST_KEPT]
+        pieces = self.pieces
+        self.update(zip(new, [array("i", [x.id for x in pieces(w)]).tobytes() for w in new], strict=True))
+
     def _encode(self, w: str) -> bytes:
-        if w[-1] in ".," and w[:-1].isalpha():
-            ids = self[w[:-1]] + self[w[-1]]
-        elif w.isalpha() and max(w) < "\u0180" and (w.islower() or w.isascii()):
-            # small Latin letters pass the normaliser unchanged and the splitter whole
-            if w.isascii():
+        if w.isascii():
+            if w.isalpha():
                 low = w.lower()
-                ids = self[low] if low != w else array("i", [x.id for x in self.pieces(w)]).tobytes()
-            else:
-                ids = array("i", [x.id for x in self.pieces(w.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
+                return self[low] if low != w else array("i", [x.id for x in self.pieces(w)]).tobytes()
+            if w.isprintable() and "'" not in w:
+                parts = ASCII_PARTS.findall(w)
+                if len(parts) > 1:
+                    return b"".join(map(self.__getitem__, parts))
         else:
-            ids = array("i", self.library.encode(w, add_special_tokens=False).ids).tobytes()
-        return ids
+            head = w if w.isalpha() else w[:-1]
+            if head.isalpha() and max(head) < "\u0180" and "\u0130" not in head and (head is w or w[-1] in SIGNS):
+                if head is not w:
+                    return self[head] + self[w[-1]]
+                low = w.lower()
+                return self[low] if low != w else array("i", [x.id for x in self.pieces(w.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
+        return array("i", self.library.encode(w, add_special_tokens=False).ids).tobytes()
 
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text with the end id."""
+    def batch(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, one after another, and their numbers. Each
+        distinct stretch of the batch is looked up once."""
         if len(self) > CACHE:  # what is met again comes back from the generation before
             self.older = dict(self)
             self.clear()
             self[""] = b""
-        get, end = self.__getitem__, self.end
-        return [b"".join(map(get, t.replace("\n", " ").split(" "))) + end if t else end for t in texts]
+        texts = pc.fill_null(pa.array(texts, pa.string()), "")
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        stretches = coded.dictionary.to_pylist()
+        self._learn_plain(stretches)
+        found = [*map(self.__getitem__, stretches), self.end]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids = pa.array(np.frombuffer(b"".join(found), "<i4"))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), ids)
+        # the end id, the last of the lists, behind the stretches of each text
+        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        at = np.insert(coded.indices.to_numpy(zero_copy_only=False), ends, len(found) - 1)
+        last = np.cumsum(sizes[at])[ends + np.arange(len(ends))]
+        return lists.take(pa.array(at)).flatten().to_numpy(), np.diff(last, prepend=0)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, stripe_bytes: int = 16 << 20, index_rows: int = 1000) -> None:
@@ -90,14 +126,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, st
         encoder = per_worker(("tokens", tokenizer, end_id), lambda: Encoder(tokenizer, end_id))
         part, first = TaskContext.get().partitionId(), 0
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                some = b.slice(at, 256)
-                ids = encoder.batch(some.column("text").to_pylist())
-                sizes = np.array([len(x) // 4 for x in ids], np.int64)
+            for some in slices(b, "text", 10_000, 16 << 20):
+                ids, sizes = encoder.batch(some.column("text"))
                 offsets = np.concatenate([[0], np.cumsum(sizes)])
-                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), part, np.int32)), pa.array(first + offsets[:-1]), some.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), flat)],
+                    [pa.array(np.full(len(sizes), part, np.int32)), pa.array(first + offsets[:-1]), some.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))],
                     names=["part", "first", "doc_id", "n_tokens", "ids"],
                 )
                 first += int(offsets[-1])
@@ -106,7 +139,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, st
     dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     (
         dealt.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(encode, SCHEMA)
-        .write.option("compression", "zstd").option("orc.create.index", "true").option("orc.row.index.stride", str(index_rows))
+        .write.option("compression", "zstd").option("orc.compression.zstd.level", "1").option("orc.create.index", "true").option("orc.row.index.stride", str(index_rows))
         .option("orc.stripe.size", str(stripe_bytes)).option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(path)
     )
 
@@ -117,15 +150,13 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
     return rows if doc_ids is None else rows.where(F.col("doc_id").isin(doc_ids))
 
 
-def starts(spark: SparkSession, path: str) -> Column:
-    """The number of ids before a row: its place in its part and the sizes of the parts before.
-    One number for each part comes to the driver."""
-    sizes = read_tokens(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
-    before, pairs = 0, []
-    for r in sizes:
-        pairs += [F.lit(r["part"]), F.lit(before)]
-        before += r["n"]
-    return (F.create_map(*pairs)[F.col("part")] if pairs else F.lit(0)).cast("bigint") + F.col("first")
+def with_starts(rows: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Adds ``start``, the number of ids before a row: its place in its part and the sizes of the parts
+    before. ``sizes`` (part, n) has one row for each writing task, which bounds what is broadcast."""
+    if sizes is None:
+        sizes = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(F.broadcast(sizes.select("part", before.alias("before"))), "part").withColumn("start", F.col("before") + F.col("first")).drop("before")
 
 
 def with_checksums(rows: DataFrame) -> DataFrame:
@@ -149,4 +180,4 @@ def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = shared_folder(spark)
     write_tokens(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"))
-    return with_checksums(read_tokens(spark, path).withColumn("start", starts(spark, path)))
+    return with_checksums(with_starts(read_tokens(spark, path)))

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.lineage import cut
+
 
 def percent_floor(part: Column, whole: Column) -> Column:
     """Integer percentage, cut and not rounded; 0 of nothing is 0."""
@@ -29,22 +32,13 @@ def milestones(cover: DataFrame, total: int, targets: tuple[int, ...]) -> DataFr
     return goals.join(cover, F.col("cumulative") >= F.col("needed"), "left").groupBy("target", "needed").agg(F.min("rank").alias("rank"))
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-        return df.checkpoint()
-    return df.persist()
-
-
-def greedy_touch(usage: DataFrame, most: int = 1000) -> DataFrame:
+def greedy_touch(usage: DataFrame, most: int | None = None) -> DataFrame:
     """(rank, item, gain, cumulative): the item that touches most projects not yet touched, again and
-    again; of equals the greatest name. ``usage`` has (project, item). Each round is one grouped count
+    again, until all projects are touched or ``most`` items are taken; of equals the greatest name. ``usage`` has (project, item). Each round is one grouped count
     whose best row is all that reaches the driver."""
     spark = usage.sparkSession
-    left, out, covered = _checkpointed(usage.select("project", "item").where(F.col("item").isNotNull()).distinct()), [], 0
-    for rank in range(1, most + 1):
+    left, out, covered = cut(usage.select("project", "item").where(F.col("item").isNotNull()).distinct()), [], 0
+    for rank in count(1) if most is None else range(1, most + 1):
         best = left.groupBy("item").agg(F.count("*").alias("gain")).orderBy(F.desc("gain"), F.desc("item")).head()
         if best is None:
             break
@@ -52,11 +46,11 @@ def greedy_touch(usage: DataFrame, most: int = 1000) -> DataFrame:
         out.append((rank, best["item"], best["gain"], covered))
         done = left.where(F.col("item") == best["item"]).select("project")
         left = left.join(done, "project", "left_anti")
-        left = _checkpointed(left) if rank % 8 == 0 else left
+        left = cut(left) if rank % 8 == 0 else left
     return spark.createDataFrame(out, f"rank int, item {usage.schema['item'].dataType.simpleString()}, gain bigint, cumulative bigint")
 
 
-def greedy_full(usage: DataFrame, most: int = 1000) -> DataFrame:
+def greedy_full(usage: DataFrame, most: int | None = None) -> DataFrame:
     """(rank, item, gain, cumulative): the item that completes most projects, a project being complete
     when all its items are taken. Where none completes any, the most used item comes, of equals the
     least name; projects without items are complete from the start and count in ``cumulative``."""
@@ -64,9 +58,9 @@ def greedy_full(usage: DataFrame, most: int = 1000) -> DataFrame:
     edges = usage.select("project", "item").distinct()
     used = edges.where(F.col("item").isNotNull())
     covered = edges.select("project").distinct().join(used.select("project").distinct(), "project", "left_anti").count()
-    left, out = _checkpointed(used), []
-    popular = _checkpointed(used.groupBy("item").agg(F.count("*").alias("used")))
-    for rank in range(1, most + 1):
+    left, out = cut(used), []
+    popular = cut(used.groupBy("item").agg(F.count("*").alias("used")))
+    for rank in count(1) if most is None else range(1, most + 1):
         single = left.groupBy("project").agg(F.count("*").alias("n"), F.min("item").alias("item")).where("n = 1").groupBy("item").agg(F.count("*").alias("gain"))
         open_items = left.select("item").distinct().join(popular, "item")
         best = open_items.join(single, "item", "left").select("item", "used", F.coalesce("gain", F.lit(0)).alias("gain")).orderBy(F.desc("gain"), F.desc("used"), "item").head()
@@ -75,5 +69,5 @@ def greedy_full(usage: DataFrame, most: int = 1000) -> DataFrame:
         covered += best["gain"]
         out.append((rank, best["item"], best["gain"], covered))
         left = left.where(F.col("item") != best["item"])
-        left = _checkpointed(left) if rank % 8 == 0 else left
+        left = cut(left) if rank % 8 == 0 else left
     return spark.createDataFrame(out, f"rank int, item {usage.schema['item'].dataType.simpleString()}, gain bigint, cumulative bigint")

@@ -9,6 +9,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.lineage import cut
+
 
 def covered_and_gaps(usage: DataFrame, coverage: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
     """Rows of ``usage`` whose keys are in ``coverage``, and those whose keys are not."""
@@ -68,21 +70,22 @@ def as_of(df: DataFrame, keys: list[str], order: list[Column | str], value: Colu
     return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
 
 
-def closure(edges: DataFrame, most_depth: int = 16) -> DataFrame:
-    """(src, dst, depth, path) for all that is reachable: the shortest path, of equals the least. A path
-    never visits a node twice, and a pair that is known is not extended again, so cycles end."""
+def closure(edges: DataFrame, paths: bool = True) -> DataFrame:
+    """(src, dst, depth, path) for all that is reachable: the shortest path, of equals the least; without
+    ``paths`` only the depth. Known paths double in each round: those of exactly k steps are extended by
+    those of up to k, so n steps take log n rounds, each written before the next. A pair that is known is
+    not extended again, so cycles end, and there is no limit on the depth."""
     step = edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct()
-    now = step.select("src", "dst", F.lit(1).alias("depth"), F.array("src", "dst").alias("path"))
-    known = now
-    hop = step.select(F.col("src").alias("via"), F.col("dst").alias("to"))
-    for depth in range(2, most_depth + 1):
-        longer = (
-            now.join(hop, now["dst"] == hop["via"]).where(~F.array_contains("path", F.col("to")))
-            .groupBy("src", F.col("to").alias("dst")).agg(F.min(F.concat("path", F.array("to"))).alias("path"))
-            .withColumn("depth", F.lit(depth)).select("src", "dst", "depth", "path")
-        )
-        now = longer.join(known, ["src", "dst"], "left_anti").persist()
-        if now.isEmpty():
-            break
-        known = known.unionByName(now)
+    known = cut(step.select("src", "dst", F.lit(1).alias("depth"), *([F.array("src", "dst").alias("path")] if paths else [])))
+    k, more = 1, not known.isEmpty()
+    while more:
+        ends = known.where(F.col("depth") == k).select("src", F.col("dst").alias("via"), F.col("depth").alias("d1"), *([F.col("path").alias("p1")] if paths else []))
+        nexts = known.select(F.col("src").alias("via"), "dst", F.col("depth").alias("d2"), *([F.col("path").alias("p2")] if paths else []))
+        told = [(F.col("d1") + F.col("d2")).alias("depth")] + ([F.concat("p1", F.slice("p2", 2, F.size("p2"))).alias("path")] if paths else [])
+        found = ends.join(nexts, "via").where(F.col("src") != F.col("dst")).select("src", "dst", F.struct(*told).alias("x"))
+        new = found.join(known.select("src", "dst"), ["src", "dst"], "left_anti").groupBy("src", "dst").agg(F.min("x").alias("x")).select("src", "dst", "x.*")
+        new = cut(new)
+        # a path of more than 2k steps has a part of exactly 2k, so without one nothing is left to find
+        k, more = 2 * k, not new.where(F.col("depth") == 2 * k).isEmpty()
+        known = known.unionByName(new)
     return known

@@ -158,14 +158,17 @@ def prefix_join_clean_deps(spark, sf_dir):
     return joins.prefix_join(d, "dep", m, "path", "/").groupBy("dep").agg(F.count("*").alias("n_modules"), holed.alias("n_holed"), (holed == 0).alias("clean"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT n_nationkey % 7 AS src, (n_nationkey * 3 + 1) % 11 AS dst FROM nation WHERE n_nationkey % 7 <> (n_nationkey * 3 + 1) % 11),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT n_nationkey % 7 AS src, (n_nationkey * 3 + 1) % 11 AS dst FROM nation WHERE n_nationkey % 7 <> (n_nationkey * 3 + 1) % 11
+ UNION SELECT 1000 + p_partkey, 1001 + p_partkey FROM part WHERE p_partkey % 40 <> 39 UNION SELECT 1000 + p_partkey, 980 + p_partkey FROM part WHERE p_partkey % 40 = 20),
 p AS (SELECT src, dst, 1 AS depth, [src, dst] AS path FROM e UNION ALL SELECT p.src, e.dst, depth + 1, list_append(path, e.dst) FROM p JOIN e ON p.dst = e.src WHERE NOT list_contains(path, e.dst))
-SELECT src::BIGINT AS src, dst::BIGINT AS dst, min(depth)::BIGINT AS depth FROM p GROUP BY src, dst""")
+SELECT src::BIGINT AS src, dst::BIGINT AS dst, min(depth)::BIGINT AS depth, array_to_string(arg_min(path, (depth, path)), '>') AS path FROM p GROUP BY src, dst""")
 def closure_paths(spark, sf_dir):
-    """Transitive closure with cycles, least depth."""
-    k = F.col("n_nationkey").cast("bigint")
+    """Transitive closure with cycles and chains of 40 nodes: least depth, and of equals the least path."""
+    k, p = F.col("n_nationkey").cast("bigint"), F.col("p_partkey") + 1000
+    parts = t(spark, sf_dir, "part")
     edges = t(spark, sf_dir, "nation").select((k % 7).alias("src"), ((k * 3 + 1) % 11).alias("dst"))
-    return joins.closure(edges).select("src", "dst", F.col("depth").cast("bigint").alias("depth"))
+    edges = edges.unionByName(parts.where("p_partkey % 40 <> 39").select(p.alias("src"), (p + 1).alias("dst"))).unionByName(parts.where("p_partkey % 40 = 20").select(p.alias("src"), (p - 20).alias("dst")))
+    return joins.closure(edges).select("src", "dst", F.col("depth").cast("bigint").alias("depth"), F.array_join("path", ">").alias("path"))
 
 
 @query("""WITH s AS (SELECT user_id, event_id AS span, ts AS a, ts + INTERVAL 6 HOUR AS b FROM events WHERE event_type = 'signup'),
@@ -256,9 +259,15 @@ def greedy_touch(spark, sf_dir):
     return aggregates.greedy_touch(_usage(spark, sf_dir)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query(None)
+@query("""WITH RECURSIVE u AS (SELECT DISTINCT l_suppkey AS project, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 48),
+n AS (SELECT item, count(*) AS used FROM u GROUP BY item), p AS (SELECT project, list(item) AS items FROM u GROUP BY project),
+g AS (SELECT 0 AS rank, ''::VARCHAR AS item, 0::BIGINT AS gain, 0::BIGINT AS cumulative, []::VARCHAR[] AS done
+UNION ALL SELECT g.rank + 1, b.item, b.gain, g.cumulative + b.gain, list_append(g.done, b.item) FROM g, LATERAL (
+ SELECT n.item, n.used, count(s.only) AS gain FROM n LEFT JOIN (SELECT list_filter(items, lambda x: NOT list_contains(g.done, x))[1] AS only FROM p WHERE len(list_filter(items, lambda x: NOT list_contains(g.done, x))) = 1) s ON s.only = n.item
+ WHERE NOT list_contains(g.done, n.item) GROUP BY n.item, n.used ORDER BY gain DESC, used DESC, n.item LIMIT 1) b)
+SELECT rank::BIGINT AS rank, item, gain, cumulative FROM g WHERE rank > 0""")
 def greedy_full(spark, sf_dir):
-    """Greedy full support (AG13, AG14, T11); held against a plain recomputation in the tests."""
+    """Greedy full support: the item that completes most projects (AG13, AG14, T11)."""
     return aggregates.greedy_full(_usage(spark, sf_dir)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -417,3 +426,6 @@ def exclusion_impact(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by user and type with subtotals: the audit's finding, project and global rollup."""
     return hole_rollup(spark, sf_dir)
+
+
+import tessera.plans.source_queries  # noqa: E402, F401  registers its queries here

@@ -11,12 +11,12 @@ import re
 from dataclasses import dataclass, field
 
 #: Tokens that end a list of patterns.
-KEYWORDS = frozenset(
-    "proof fn args generics types requires ensures spec exec open closed broadcast pub axiom impl trait for recommends -> type "
-    "struct enum def = { } : assert body ( ) unsafe assume assume_new holes".split()
-)
+KEYWORDS = frozenset((
+    "proof", "fn", "args", "generics", "types", "requires", "ensures", "spec", "exec", "open", "closed", "broadcast", "pub", "axiom", "impl", "trait", "for", "recommends", "->", "type",
+    "struct", "enum", "def", "=", "{", "}", ":", "assert", "body", "(", ")", "unsafe", "assume", "assume_new", "holes",
+))
 #: Modifiers that a function must carry.
-MODIFIERS = frozenset("spec exec open closed broadcast axiom".split())
+MODIFIERS = frozenset(("spec", "exec", "open", "closed", "broadcast", "axiom"))
 
 
 @dataclass

@@ -25,16 +25,18 @@ SCHEMAS = {
     + GENERICS
     + ", args array<struct<name:string,ty:string>>, return_type string, recommends array<string>, requires array<string>, ensures array<string>, "
     "decreases boolean, attributes array<string>, context array<string>, body_text string, is_unsafe boolean, has_proof_block boolean, has_assert boolean, "
-    "has_unsafe_block boolean, has_assume boolean, has_assume_new boolean, in_block boolean, location struct<kind:string,owner:string>",
+    "has_unsafe_block boolean, has_assume boolean, has_assume_new boolean, in_block boolean, location struct<kind:string,owner:string>, signature string",
     "impls": "path string, line int, is_unsafe boolean, " + GENERICS + ", trait_name string, for_type string, attributes array<string>, body_types array<string>, " + METHODS + ", body_text string, in_block boolean",
     "traits": "path string, line int, name string, " + GENERICS + ", bounds array<string>, attributes array<string>, body_types array<string>, " + METHODS + ", n_default int, body_text string",
-    "types": "path string, line int, kind string, name string, " + GENERICS + ", value string, field_types array<string>, attributes array<string>, is_pub boolean, in_block boolean",
+    "types": "path string, line int, kind string, name string, " + GENERICS + ", value string, field_types array<string>, attributes array<string>, is_pub boolean, in_block boolean, modifiers array<string>, variants array<string>",
     "loc": "path string, spec int, proof int, exec int, rust int, total int",
     "tokens": "path string, idx int, kind string, text string, start int, end int, depth int, in_block boolean",
     "findings": "path string, line int, severity string, hole_type string, context string, countable boolean",
 }
 #: Words that may stand before ``fn``.
-QUALIFIERS = frozenset("pub open closed spec proof exec broadcast axiom uninterp unsafe const async extern tracked ghost default crate super in".split())
+QUALIFIERS = frozenset((
+    "pub", "open", "closed", "spec", "proof", "exec", "broadcast", "axiom", "uninterp", "unsafe", "const", "async", "extern", "tracked", "ghost", "default", "crate", "super", "in",
+))
 MODES = ("spec", "proof", "exec", "axiom")
 CLAUSES = ("recommends", "requires", "ensures", "decreases", "opens_invariants", "returns", "via", "when", "no_unwind")
 
@@ -174,6 +176,8 @@ class Source:
             "has_proof_block": ("proof", "{") in pairs, "has_assert": any(s in ("assert", "assert_by", "assert_forall_by") for s in seen),
             "has_unsafe_block": ("unsafe", "{") in pairs, "has_assume": ("assume", "(") in pairs, "has_assume_new": ("assume_new", "(") in pairs,
             "in_block": self.inside(toks[at]),
+            # for display (FN22): from the line of its first word to before the body, or with the semicolon
+            "signature": self.text[self.lines.offset(self.line(toks[first])) : toks[body[0]].start if body else last.end].rstrip(),
         }
 
     def owners(self) -> list[tuple[int, int, str, str]]:
@@ -275,7 +279,7 @@ def types(text: str) -> Iterator[dict]:
             continue
         words, attributes, _ = s.before(i)
         params, j = s.type_parameters(i + 2)
-        own, value = [], None
+        own, value, variants = [], None, []
         if t.text == "type":
             if j >= len(s.toks) or s.toks[j].text != "=":
                 continue
@@ -290,11 +294,12 @@ def types(text: str) -> Iterator[dict]:
                 inner = "\n".join(re.sub(r"//.*", "", x) for x in inner.split("\n"))
                 if t.text == "enum":
                     for variant in split_top(re.sub(r"#\[[^\]]*\]", "", inner)):
+                        variants.append(re.match(r"\w*", variant.strip())[0])
                         m = re.match(r"\w+\s*[({](.*)[)}]\s*$", variant, re.S)
                         own += _fields(m[1]) if m else []
                 else:
                     own = _fields(inner)
-        yield {"line": s.line(t), "kind": {"type": "alias"}.get(t.text, t.text), "name": s.toks[i + 1].text, "generics": params, "value": value, "field_types": own, "attributes": attributes, "is_pub": "pub" in words, "in_block": s.inside(t)}
+        yield {"line": s.line(t), "kind": {"type": "alias"}.get(t.text, t.text), "name": s.toks[i + 1].text, "generics": params, "value": value, "field_types": own, "attributes": attributes, "is_pub": "pub" in words, "in_block": s.inside(t), "modifiers": [w for w in words if w != "pub"], "variants": variants}
 
 
 def loc(text: str) -> Iterator[dict]:
@@ -328,6 +333,14 @@ HOLE_CALLS = {"admit": "admit()", "assume_new": "assume_new()"}
 HOLE_ATTRIBUTES = ("external_body", "external_fn_specification", "external_trait_specification", "external_type_specification", "external_trait_extension", "external", "opaque")
 
 
+#: Traits that are no file's own.
+STANDARD_TRAITS = frozenset((
+    "Clone", "Copy", "Debug", "Display", "Default", "PartialEq", "Eq", "PartialOrd", "Ord", "Hash", "Iterator", "IntoIterator", "Send", "Sync",
+    "View", "DeepView", "ForLoopGhostIteratorNew", "ForLoopGhostIterator", "PartialEqSpecImpl", "Sized", "Drop", "Add", "Sub", "Mul", "Div", "Rem", "Neg",
+    "From", "Into", "TryFrom", "TryInto", "AsRef", "AsMut", "Deref", "DerefMut", "Fn", "FnMut", "FnOnce",
+))
+
+
 def accepted(lines: list[str], line: int, ahead: int = 2) -> bool:
     """Whether the line or one of the ``ahead`` following ones has an accept-hole comment."""
     for x in lines[line - 1 : line + ahead]:
@@ -404,8 +417,45 @@ def findings(text: str) -> Iterator[dict]:
             yield row(t, "I" if accepted(lines, f["line"]) else "H", "trivial_spec_wf")
 
 
+    yield from _outside_findings(s, lines, row)
+
+
+def _outside_findings(s: Source, lines: list[str], row: Callable) -> Iterator[dict]:
+    """Types outside the blocks of a file that has one, and impls that belong elsewhere (EX18, EX19)."""
+    toks, own_traits, bare = s.toks, False, []
+    for i, t in enumerate(toks):
+        if t.kind != "word" or i + 1 >= len(toks):
+            continue
+        if t.text in ("struct", "enum") and toks[i + 1].kind == "word" and s.blocks and not s.inside(t):
+            ok = accepted(lines, s.line(t))
+            yield row(t, "I" if ok else "E", f"{t.text}_outside_verus" + ("_accept_hole" if ok else ""))
+            derived = {x.strip() for a in s.before(i)[1] for x in re.sub(r"^derive\s*\(|\)$", "", a).split(",") if a.startswith("derive")}
+            if "Clone" in derived and not ok:
+                yield row(t, "E", "clone_derived_outside")
+        elif t.text == "trait" and toks[i + 1].kind == "word":
+            own_traits |= toks[i + 1].text not in STANDARD_TRAITS
+        elif t.text == "impl" and not (i and toks[i - 1].text in ("->", ":", "(", "<", ",", "&", "=", "+")) and (head := s.impl_head(i)):
+            name = re.sub(r"<.*$", "", head["trait_name"] or "", flags=re.S).split("::")[-1].strip()
+            end = match(toks, head["brace"])
+            inner = [f for j in range(head["brace"], end) if toks[j].text == "fn" and toks[j].kind == "word" and (f := s.signature(j))]
+            if name in ("Debug", "Display") and s.inside(t):
+                yield row(t, "E", "debug_display_inside_verus")
+            if name == "RwLockPredicate":
+                for f in inner:
+                    if f["name"] == "inv" and f["body_text"].strip() == "true":
+                        yield row(toks[f["at"]], "E", "dummy_rwlock_predicate")
+            if head["trait_name"] is None:
+                attributes = " ".join(s.before(i)[1])
+                fine = "Iter" in re.sub(r"<.*$", "", head["for_type"], flags=re.S) or "external" in attributes or any(f["name"].startswith("iter") or f["name"] == "into_iter" for f in inner) or inner and all(f["mode"] != "exec" for f in inner)
+                if not fine:
+                    bare.append(t)
+    if own_traits:
+        for t in bare:
+            yield row(t, "E", "bare_impl")
+
+
 EXTRACTORS: dict[str, Callable[[str], Iterator[dict]]] = {"fns": fns, "impls": impls, "traits": traits, "types": types, "loc": loc, "tokens": token_rows, "findings": findings}
-NEEDS = {"fns": "fn ", "impls": "impl", "traits": "trait "}
+NEEDS = {"fns": r"\bfn\b", "impls": r"\bimpl\b", "traits": r"\btrait\b"}
 
 
 def facts(files: DataFrame, kind: str) -> DataFrame:
@@ -425,7 +475,7 @@ def facts(files: DataFrame, kind: str) -> DataFrame:
 
     needed = files.where(F.col("content").isNotNull())
     if kind in NEEDS:
-        needed = needed.where(F.contains("content", F.lit(NEEDS[kind])))
+        needed = needed.where(F.col("content").rlike(NEEDS[kind]))
     return needed.select("path", "content").mapInArrow(run, schema)
 
 

@@ -30,13 +30,14 @@ SAME_TYPES = {
 }
 #: What no wrapping is wanted for: parts of method names, parts of type names, modules.
 EXCLUDED_METHODS = (
-    "fmt write read format display debug to_string to_tokens from_str parse print flush seek stdin stdout stderr ffi path socket from_raw unsafe metadata env command"
-).split()
+    "fmt", "write", "read", "format", "display", "debug", "to_string", "to_tokens", "from_str", "parse", "print", "flush", "seek", "stdin", "stdout", "stderr", "ffi", "path", "socket", "from_raw", "unsafe", "metadata", "env", "command",
+)
 EXCLUDED_TYPES = (
-    "File Formatter BufRead BufWriter BufReader TcpStream TcpListener UdpSocket Socket SocketAddr Path PathBuf OsStr OsString CStr Stdin Stdout Stderr UnsafeArg "
-    "Metadata SystemTime Instant Command Child Placeholder from_raw_parts from_raw_parts_mut"
-).split()
-EXCLUDED_MODULES = "std::io std::fs std::net std::ffi core::ffi alloc::ffi std::process std::thread std::sync std::env std::path".split()
+    "File", "Formatter", "BufRead", "BufWriter", "BufReader", "TcpStream", "TcpListener", "UdpSocket", "Socket", "SocketAddr", "Path", "PathBuf", "OsStr", "OsString", "CStr", "Stdin", "Stdout", "Stderr", "UnsafeArg", "Metadata", "SystemTime", "Instant", "Command", "Child", "Placeholder", "from_raw_parts", "from_raw_parts_mut",
+)
+EXCLUDED_MODULES = (
+    "std::io", "std::fs", "std::net", "std::ffi", "core::ffi", "alloc::ffi", "std::process", "std::thread", "std::sync", "std::env", "std::path",
+)
 
 
 def normalised_type(c: Column) -> Column:

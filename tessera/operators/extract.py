@@ -25,7 +25,7 @@ SCHEMAS = {
     + GENERICS
     + ", args array<struct<name:string,ty:string>>, return_type string, recommends array<string>, requires array<string>, ensures array<string>, "
     "decreases boolean, attributes array<string>, context array<string>, body_text string, is_unsafe boolean, has_proof_block boolean, has_assert boolean, "
-    "has_unsafe_block boolean, has_assume boolean, has_assume_new boolean, in_block boolean, location struct<kind:string,owner:string>, signature string",
+    "has_unsafe_block boolean, has_assume boolean, has_assume_new boolean, in_block boolean, location struct<kind:string,owner:string>, signature string, start int",
     "impls": "path string, line int, is_unsafe boolean, " + GENERICS + ", trait_name string, for_type string, attributes array<string>, body_types array<string>, " + METHODS + ", body_text string, in_block boolean",
     "traits": "path string, line int, name string, " + GENERICS + ", bounds array<string>, attributes array<string>, body_types array<string>, " + METHODS + ", n_default int, body_text string",
     "types": "path string, line int, kind string, name string, " + GENERICS + ", value string, field_types array<string>, attributes array<string>, is_pub boolean, in_block boolean, modifiers array<string>, variants array<string>",
@@ -177,7 +177,7 @@ class Source:
             "has_unsafe_block": ("unsafe", "{") in pairs, "has_assume": ("assume", "(") in pairs, "has_assume_new": ("assume_new", "(") in pairs,
             "in_block": self.inside(toks[at]),
             # for display (FN22): from the line of its first word to before the body, or with the semicolon
-            "signature": self.text[self.lines.offset(self.line(toks[first])) : toks[body[0]].start if body else last.end].rstrip(),
+            "start": toks[at].start, "signature": self.text[self.lines.offset(self.line(toks[first])) : toks[body[0]].start if body else last.end].rstrip(),
         }
 
     def owners(self) -> list[tuple[int, int, str, str]]:

@@ -79,11 +79,13 @@ LIBRARY_LINES = (
     "'pub spec const LIMIT_' || k || ': nat = 3;'",
     "'pub broadcast axiom fn axiom_' || CASE k % 4 WHEN 0 THEN 'mul' WHEN 1 THEN 'seq' WHEN 2 THEN 'ptr' ELSE 'x' END || '_' || k || '(i: int) ensures i == i;'",
     "'pub broadcast proof fn lemma_a() ensures true { assert(1 == 1); }'",
-    "'pub exec fn ex() requires true { lemma_a(); }'",
+    "'pub exec fn ex() requires true { }'",
     "'pub uninterp spec fn un(x: int) -> bool recommends x > 0;'",
     "'pub enum En' || k || '<A> { One(A), Two }'",
     "'pub type Al' || k || '<A> = Vec<A>;'",
     "'pub trait Tr' || k || ': View + Sized { spec fn a(&self) -> int; proof fn b(&self); fn c(&self); }'",
+    "'proof fn user_' || k || '()'",
+    "'{ lemma_a(); assert(lemma_a()); }'",
     "'} // verus!'",
 )
 

@@ -201,3 +201,94 @@ def import_groups(files: DataFrame) -> DataFrame:
         F.min("line_no").alias("first"), F.max("line_no").alias("last"), F.count("*").alias("n"), (F.max("line_no") - F.min("line_no") + 1 == F.count("*")).alias("contiguous"),
         F.max_by(F.coalesce(F.trim("next") == "", F.lit(True)), "line_no").alias("blank_after"),
     )
+
+
+#: Functions that reports leave out unless told otherwise (PR17).
+IGNORED_FUNCTIONS = ("clone", "into_iter", "fmt")
+#: Findings that are errors of style, not holes (PR20).
+STYLE_ERRORS = ("fn_missing_requires", "fn_missing_ensures", "fn_missing_requires_ensures")
+
+
+def reported(fns: DataFrame, ignored: tuple[str, ...] = IGNORED_FUNCTIONS) -> DataFrame:
+    """Functions of a report, by directory and then file (PR17, SO10)."""
+    kept = fns.where(~F.col("name").isin(*ignored)) if ignored else fns
+    return kept.orderBy(F.regexp_replace("path", "/[^/]*$", ""), F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1), "line")
+
+
+def style_errors(findings: DataFrame) -> DataFrame:
+    """Findings with is_style_error and is_warning (PR20)."""
+    return findings.withColumn("is_style_error", F.col("hole_type").isin(*STYLE_ERRORS)).withColumn("is_warning", F.col("hole_type").isin("assume_eq_clone_workaround", "requires_true"))
+
+
+def trivial_specs(fns: DataFrame) -> DataFrame:
+    """Spec functions whose body is ``true`` or ``false``, whatever their names and types (EX22)."""
+    return fns.where("mode = 'spec'").withColumn("body", F.trim("body_text")).where("body in ('true', 'false')").select("path", "line", "name", "body")
+
+
+def without_spec(fns: DataFrame) -> DataFrame:
+    """Exec functions without requires and ensures, and whether they are external (EX22)."""
+    external = F.array_join("attributes", " ").rlike(r"\bexternal_body\b")
+    return fns.where("mode = 'exec' and size(requires) = 0 and size(ensures) = 0").select("path", "line", "name", external.alias("is_external"))
+
+
+def collection_evidence(types: DataFrame, impls: DataFrame) -> DataFrame:
+    """(path, name, by_view, by_field, by_name): what speaks for a type being a collection: a view that is one,
+    a field that is one, or its name (EX40)."""
+    base = F.regexp_replace("for_type", r"<.*$", "")
+    viewed = impls.where("trait_name = 'View'").where(F.col("body_text").rlike(r"type\s+V\s*=\s*(?:Seq|Set|Map|Multiset)\b")).select("path", base.alias("name")).distinct().withColumn("by_view", F.lit(True))
+    own = types.where("kind = 'struct'").join(viewed, ["path", "name"], "left")
+    field = F.exists("field_types", lambda f: f.rlike(r"\b(?:Vec|VecDeque|HashMap|HashSet|BTreeMap|BTreeSet|LinkedList|Seq|Set|Map|Multiset)\s*<"))
+    named = F.col("name").rlike(r"(?:Seq|Set|Map|Table|List|Tree|Heap|Queue|Stack|Graph)") & ~F.col("name").rlike(r"(?:Iter|Node|Entry|Error)")
+    return own.select("path", "line", "name", F.coalesce("by_view", F.lit(False)).alias("by_view"), field.alias("by_field"), named.alias("by_name"))
+
+
+def experiments(files: DataFrame) -> DataFrame:
+    """(path, line_no, module, hypothesis, result): of each ``mod`` line, commented out or not, what the
+    comments right above it say; of several the uppermost (EX45)."""
+    own = lines(files)
+    trimmed = F.trim("text")
+    is_comment = F.startswith(trimmed, F.lit("//"))
+    module = F.nullif(F.regexp_extract("text", r"^\s*(?://\s*)?(?:pub\s+)?mod\s+(\w+)", 1), F.lit(""))
+    w = Window.partitionBy("path").orderBy("line_no")
+    # a block of comments ends at any other line that is not empty
+    block = F.sum(F.when(~is_comment & (trimmed != ""), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    said = lambda word: F.nullif(F.trim(F.regexp_extract(F.when(is_comment, F.substring(trimmed, 3, 1 << 30)), rf"(?i){word}:\s*(.+)", 1)), F.lit(""))
+    rows = own.withColumn("module", module).withColumn("block", F.coalesce(block, F.lit(0))).withColumn("h", said("hypothesis")).withColumn("r", said("result"))
+    above = Window.partitionBy("path", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("hypothesis", F.first("h", ignorenulls=True).over(above)).withColumn("result", F.first("r", ignorenulls=True).over(above)).where("module is not null").select("path", "line_no", "module", "hypothesis", "result")
+
+
+def test_counts(files: DataFrame) -> DataFrame:
+    """(path, n_tests, n_macros): ``#[test]`` attributes and macro calls, comments and strings left out (EX43)."""
+    from tessera.operators.extract import facts
+
+    toks = facts(files, "tokens")
+    w = Window.partitionBy("path").orderBy("idx")
+    ahead = [F.lead("text", i).over(w) for i in (1, 2, 3)]
+    test = (F.col("text") == "#") & (ahead[0] == "[") & (ahead[1] == "test") & (ahead[2] == "]")
+    macro = (F.col("kind") == "word") & (ahead[0] == "!") & ahead[1].isin("(", "[", "{")
+    return toks.withColumn("t", test).withColumn("m", macro).groupBy("path").agg(F.count_if("t").alias("n_tests"), F.count_if("m").alias("n_macros"))
+
+
+def comment_patterns(files: DataFrame) -> DataFrame:
+    """(module, patterns): loop patterns named in comments, in the order in which a module's files name them,
+    files of ``ProveX`` counting for X (AG43, EX43)."""
+    stem = F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1)
+    word = F.regexp_extract(F.trim("text"), r"^// +((?:loop|for)-[^\s:]*)", 1)
+    found = lines(files).withColumn("stem", stem).withColumn("pattern", word).where("pattern <> '' and stem not in ('mod', 'common')").withColumn("module", F.regexp_replace("stem", "^Prove", ""))
+    first = found.groupBy("module", "pattern").agg(F.min(F.struct("path", "line_no")).alias("at"))
+    return first.groupBy("module").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "pattern"))), lambda x: x["pattern"]).alias("patterns"))
+
+
+def dependency_blockers(held: DataFrame) -> DataFrame:
+    """(path, chapter, blocker, is_external) of (path, module) dependencies: whether the holed module lies in
+    the file's own chapter (J22), and once for each chapter."""
+    chapter = F.regexp_extract("path", r"/src/([^/.]+)", 1)
+    other = F.element_at(F.split("module", "::"), 1)
+    return held.select(chapter.alias("chapter"), F.col("module").alias("blocker"), (other != chapter).alias("is_external")).distinct()
+
+
+def top_directories(status: DataFrame) -> DataFrame:
+    """(project, directory, n_files, n_holes, clean): by the first directory below src (AG3, J9)."""
+    top = F.regexp_extract("path", r"/src/([^/]+)/", 1)
+    return status.groupBy("project", top.alias("directory")).agg(F.count("*").alias("n_files"), F.sum("n_holes").alias("n_holes"), (F.count_if("is_holed") == 0).alias("clean"))

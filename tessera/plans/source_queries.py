@@ -8,9 +8,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import text
+from tessera.lineage import cut
+from tessera.operators import fixes
 from tessera.operators.extract import comments, dependencies, facts
-from tessera.plans import audit, reviews
-from tessera.plans.generated import FILES_SQL, FINDINGS_SQL, FNS_SQL, LINES_SQL, sources
+from tessera.plans import audit, inventory, minimize, reviews, style, triggers
+from tessera.plans.generated import FILES_SQL, FINDINGS_SQL, FNS_SQL, LIBRARY_SQL, LINES_SQL, library, sources
 from tessera.plans.registry import query
 from tessera.plans.search import fact_tables, search
 from tessera.sources.projects import loc_rollup
@@ -217,3 +220,249 @@ def src_unused_specs(spark, sf_dir):
     """Spec functions that nothing uses, over all types that define the name (J18, AG38)."""
     files = sources(spark, sf_dir)
     return reviews.unused_spec_fns(facts(files, "fns"), facts(files, "tokens"))
+
+
+# -- the library's inventory
+
+
+@query(f"""WITH {LIBRARY_SQL}, s AS (
+SELECT 'modules' AS section, path, 1 AS line, 'lib' || k AS name, 'vstd::' || module AS qualified_path, 'child_' || k AS detail FROM lib
+UNION ALL SELECT 'ghost_types', path, 6, own, 'vstd::' || module || '::' || own, CASE WHEN own = 'Seq' THEN 'Vec ' ELSE '' END || 'len get' FROM lib WHERE ghost
+UNION ALL SELECT 'tracked_types', path, 6, own, 'vstd::' || module || '::' || own, '' FROM lib WHERE NOT ghost AND (k % 5 = 1 OR k % 4 = 1)
+UNION ALL SELECT 'spec_functions', path, 17, 'un', 'vstd::' || module || '::un', 'false true true' FROM lib
+UNION ALL SELECT 'proof_functions', path, 15, 'lemma_a', 'vstd::' || module || '::lemma_a', 'true true false true' FROM lib
+UNION ALL SELECT 'proof_functions', path, 14, n, 'vstd::' || module || '::' || n, 'false true false true' FROM (SELECT *, 'axiom_' || CASE k % 4 WHEN 0 THEN 'mul' WHEN 1 THEN 'seq' WHEN 2 THEN 'ptr' ELSE 'x' END || '_' || k AS n FROM lib)
+UNION ALL SELECT 'proof_functions', path, 21, 'user_' || k, 'vstd::' || module || '::user_' || k, 'false false false false' FROM lib
+UNION ALL SELECT 'axioms', path, 14, n, 'vstd::' || module || '::' || n, CASE k % 4 WHEN 0 THEN 'arithmetic' WHEN 1 THEN 'sequence' WHEN 2 THEN 'rust_semantics' ELSE 'other' END || ' true' FROM (SELECT *, 'axiom_' || CASE k % 4 WHEN 0 THEN 'mul' WHEN 1 THEN 'seq' WHEN 2 THEN 'ptr' ELSE 'x' END || '_' || k AS n FROM lib)
+UNION ALL SELECT 'exec_functions', path, 16, 'ex', 'vstd::' || module || '::ex', 'true false false' FROM lib
+UNION ALL SELECT 'external_specs', path, 9, CASE k % 3 WHEN 0 THEN 'Option::<T>::unwrap' WHEN 1 THEN 'Vec::<T>::push' ELSE 'u64::max_value' END, 'vstd::' || module || '::' || CASE k % 3 WHEN 0 THEN 'Option::<T>::unwrap' WHEN 1 THEN 'Vec::<T>::push' ELSE 'u64::max_value' END,
+ CASE k % 3 WHEN 0 THEN 'Option' WHEN 1 THEN 'Vec' ELSE 'u64' END || CASE WHEN k % 2 = 0 THEN ' true false' ELSE ' false true' END FROM lib
+UNION ALL SELECT 'traits', path, 20, 'Tr' || k, 'vstd::' || module || '::Tr' || k, 'View + Sized a b c' FROM lib
+UNION ALL SELECT 'broadcast_groups', path, 12, n, 'vstd::' || module || '::' || n, 'lemma_a lemma_b ' || CASE WHEN k % 7 = 0 THEN 'true' ELSE 'false' END FROM (SELECT *, 'group_' || CASE WHEN k % 7 = 0 THEN 'vstd_default' ELSE 'g' || k END AS n FROM lib)
+UNION ALL SELECT 'macros', path, 3, n, 'vstd::' || module || '::' || n, CASE WHEN n = 'seq' THEN 'Create a sequence literal' ELSE '' END FROM (SELECT *, CASE WHEN k % 2 = 0 THEN 'seq' ELSE 'other' END AS n FROM lib)
+UNION ALL SELECT 'constants', path, 13, 'LIMIT_' || k, 'vstd::' || module || '::LIMIT_' || k, 'nat' FROM lib
+UNION ALL SELECT 'enums', path, 18, 'En' || k, 'vstd::' || module || '::En' || k, 'One Two A' FROM lib
+UNION ALL SELECT 'type_aliases', path, 19, 'Al' || k, 'vstd::' || module || '::Al' || k, 'Vec<A> A' FROM lib
+UNION ALL SELECT 'wrapped_rust_types', min(path), 8, t, m || '::' || t, 'view ' || string_agg(DISTINCT v, ' ' ORDER BY v) FROM (SELECT *, CASE k % 3 WHEN 0 THEN 'Option' ELSE 'Vec' END AS t, CASE k % 3 WHEN 0 THEN 'core::option' ELSE 'alloc::vec' END AS m, 'v' || (k % 4) AS v FROM lib WHERE k % 2 = 0 AND k % 3 < 2) GROUP BY t, m)
+SELECT section, path, line::BIGINT AS line, name, qualified_path, detail FROM s""")
+def src_inventory(spark, sf_dir):
+    """All sections of a library's inventory (EX27, EX33, SE6, SO11, FN13, FN14)."""
+    found = inventory.ordered(inventory.sections(library(spark, sf_dir)))
+    joined = lambda c: F.array_join(c, " ")
+    detail = {
+        "modules": joined("child_modules"), "tracked_types": F.lit(""), "spec_functions": F.concat_ws(" ", "is_open", "is_uninterpreted", "has_recommends"),
+        "ghost_types": F.concat_ws(" ", "rust_equivalent", joined(F.transform("methods", lambda m: m["name"]))), "proof_functions": F.concat_ws(" ", "is_lemma", "is_broadcast", "has_requires", "has_ensures"),
+        "axioms": F.concat_ws(" ", "category", "is_auto_broadcast"), "exec_functions": F.concat_ws(" ", "has_requires", "has_ensures", "has_recommends"), "external_specs": F.concat_ws(" ", "external_module", "has_requires", "has_ensures"),
+        "traits": F.concat_ws(" ", "extends_rust_trait", joined("spec_methods"), joined("proof_methods"), joined("exec_methods")), "broadcast_groups": F.concat_ws(" ", joined("members"), "is_default_enabled"),
+        "macros": F.coalesce("purpose", F.lit("")), "constants": F.col("const_type"), "enums": F.concat_ws(" ", joined("variants"), joined("type_params")), "type_aliases": F.concat_ws(" ", "aliased_type", joined("type_params")),
+        # methods at equal places come in any order of their names
+        "wrapped_rust_types": F.concat_ws(" ", F.element_at("methods_wrapped", 1), joined(F.array_sort(F.slice("methods_wrapped", F.lit(2), F.size("methods_wrapped"))))),
+    }
+    return wide(reduce(DataFrame.unionByName, (df.select(F.lit(k).alias("section"), "path", "line", "name", "qualified_path", detail[k].alias("detail")) for k, df in found.items())))
+
+
+@query(f"""WITH {LIBRARY_SQL}, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE ghost) AS g, count(*) FILTER (WHERE NOT ghost AND (k % 5 = 1 OR k % 4 = 1)) AS t,
+ count(DISTINCT k % 3) FILTER (WHERE k % 2 = 0 AND k % 3 < 2) AS w, count(DISTINCT (k % 3) * 10 + k % 4) FILTER (WHERE k % 2 = 0 AND k % 3 < 2) AS v FROM lib)
+SELECT unnest(['total_modules', 'total_wrapped_rust_types', 'total_ghost_types', 'total_tracked_types', 'total_spec_functions', 'total_proof_functions', 'total_exec_functions', 'total_external_specs', 'total_traits', 'total_axioms',
+ 'total_broadcast_groups', 'total_macros', 'total_constants', 'total_enums', 'total_type_aliases', 'total_ghost_type_methods', 'total_wrapped_methods', 'total_lemmas', 'total_broadcast_lemmas', 'total_auto_broadcast_axioms']) AS total,
+ unnest([n, w, g, t, n, 3 * n, n, n, n, n, n, n, n, n, n, 2 * g, w + v, n, 2 * n, n])::BIGINT AS n FROM c""")
+def src_inventory_totals(spark, sf_dir):
+    """The twenty totals of an inventory (AG19)."""
+    return inventory.totals(inventory.sections(library(spark, sf_dir)))
+
+
+@query(f"""WITH {LIBRARY_SQL} SELECT 'file' AS kind, 'lib' || k || '.rs' AS name, 1::BIGINT AS n, CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS n_requires, CASE WHEN k % 2 = 0 THEN 0 ELSE 1 END::BIGINT AS n_ensures FROM lib
+UNION ALL SELECT 'module', CASE k % 3 WHEN 0 THEN 'Option' WHEN 1 THEN 'Vec' ELSE 'u64' END, count(*), count(*) FILTER (WHERE k % 2 = 0), count(*) FILTER (WHERE k % 2 <> 0) FROM lib GROUP BY k % 3""")
+def src_external_specs(spark, sf_dir):
+    """Specifications of external functions by file and by module (AG17, AG40, EX26)."""
+    specs = inventory.sections(library(spark, sf_dir))["external_specs"]
+    by_file = inventory.specs_by_file(specs).select(F.lit("file").alias("kind"), F.col("file").alias("name"), "n", "n_requires", "n_ensures")
+    return by_file.unionByName(inventory.wrapped_type_totals(specs).select(F.lit("module").alias("kind"), F.col("external_module").alias("name"), "n", "n_requires", "n_ensures"))
+
+
+@query("""WITH m AS (SELECT CASE p_partkey % 3 WHEN 0 THEN 'core' WHEN 1 THEN 'alloc' ELSE 'std' END AS a, replace(p_brand, '#', '') AS b, p_partkey % 4 = 0 AS short, p_type AS t FROM part),
+x AS (SELECT 'module' AS kind, a || '::' || b AS name FROM m UNION ALL SELECT 'module', 'std::' || b FROM m WHERE a <> 'std' UNION ALL SELECT 'type', t FROM m WHERE NOT short)
+SELECT kind, name, count(*) AS n FROM x GROUP BY ALL""")
+def method_totals(spark, sf_dir):
+    """Methods by module, under both names of the standard library, and by type (AG18, J20, SC13)."""
+    k = F.col("p_partkey")
+    crate = F.when(k % 3 == 0, "core").when(k % 3 == 1, "alloc").otherwise("std")
+    brand = F.replace("p_brand", F.lit("#"), F.lit(""))
+    name = F.when(k % 4 == 0, F.concat_ws("::", crate, brand)).otherwise(F.concat_ws("::", crate, brand, "p_type", F.lit("push")))
+    return inventory.method_totals(spark.read.parquet(f"{sf_dir}/part.parquet").select(name.alias("name")))
+
+
+# -- the minimizer's relations
+
+
+@query(f"""WITH {FNS_SQL}, l AS (SELECT s_suppkey AS k, '/w/vstd/' || CASE WHEN s_suppkey % 2 = 0 THEN 'std_specs/' ELSE '' END || 'lib' || s_suppkey || '.rs' AS path FROM supplier)
+SELECT 'lemma' AS what, path, line, name, end_line AS n, coalesce(CASE WHEN kind LIKE 'impl%' THEN owner END, '') AS detail FROM fns WHERE mode = 'proof'
+UNION ALL SELECT 'call', path, 22, 'lemma_a', 0, 'true' FROM l
+UNION ALL SELECT 'assert', path, pad + 24, 'assert', 0, name FROM (SELECT f.path, f.pad, g.name FROM files f JOIN fns g ON g.k = f.k AND starts_with(g.name, 'f_') WHERE f.k % 5 = 2)
+UNION ALL SELECT 'admit', path, pad + 24, 'admit', 0, name FROM (SELECT f.path, f.pad, g.name FROM files f JOIN fns g ON g.k = f.k AND starts_with(g.name, 'f_') WHERE f.k % 5 = 1)
+UNION ALL SELECT 'proof block', path, pad + 24, 'proof block', 0, name FROM (SELECT f.path, f.pad, g.name FROM files f JOIN fns g ON g.k = f.k AND starts_with(g.name, 'f_') WHERE f.k % 5 = 2)""")
+def src_minimizer(spark, sf_dir):
+    """Lemma ranges, call sites, asserts, admits and proof blocks (EX29, EX30, EX31)."""
+    files, lib = sources(spark, sf_dir), library(spark, sf_dir)
+    fns = facts(files, "fns")
+    ranges = minimize.lemma_ranges(fns).select(F.lit("lemma").alias("what"), "path", F.col("first").alias("line"), "name", F.col("last").cast("bigint").alias("n"), F.coalesce("impl_type", F.lit("")).alias("detail"))
+    both = files.select("path", "content").unionByName(lib.select("path", "content"))
+    names = facts(both, "fns").where("mode = 'proof'").select("name")
+    calls = minimize.call_sites(both, names, "/w/vstd").select(F.lit("call").alias("what"), "path", F.col("line_no").alias("line"), "name", F.lit(0).cast("bigint").alias("n"), F.col("in_library").cast("string").alias("detail"))
+    found = minimize.candidates(files, facts(files, "types")).where("kind in ('assert', 'admit', 'proof block')").select(F.col("kind").alias("what"), "path", F.col("line_no").alias("line"), F.col("kind").alias("name"), F.lit(0).cast("bigint").alias("n"), F.col("context").alias("detail"))
+    return wide(ranges.unionByName(calls).unionByName(found))
+
+
+@query(f"""WITH {FNS_SQL}, g AS (SELECT name, path, count(*) AS n_variants, 0::BIGINT AS n_calls FROM fns WHERE mode = 'proof' GROUP BY ALL),
+u AS (SELECT DISTINCT 'm' || ((k * 3) % 100) AS last FROM files)
+SELECT 'group' AS what, name, path, n_variants, n_calls FROM g UNION ALL SELECT 'module', 'src/Chap' || (k % 7) || '/m' || k, '', 0, 0 FROM files WHERE 'm' || k IN (SELECT last FROM u)""")
+def src_lemma_groups(spark, sf_dir):
+    """Lemmas by name and file with their calls, and modules in use (AG39, J19, FN4)."""
+    files = sources(spark, sf_dir)
+    ranges = minimize.lemma_ranges(facts(files, "fns"))
+    groups = minimize.lemma_groups(ranges, minimize.call_sites(files, ranges, "/w/vstd")).select(F.lit("group").alias("what"), "name", "path", "n_variants", "n_calls")
+    modules = files.select(F.regexp_replace(F.regexp_replace("rel_path", "^[^/]*/", ""), r"\.rs$", "").alias("module"))
+    used = minimize.used_modules(files, modules, "/w/vstd").select(F.lit("module").alias("what"), F.col("module").alias("name"), F.lit("").alias("path"), F.lit(0).cast("bigint").alias("n_variants"), F.lit(0).cast("bigint").alias("n_calls"))
+    return groups.unionByName(used)
+
+
+@query(f"""WITH {FILES_SQL}, i AS (SELECT k, path, 1 AS seq, 3 AS at, k % 3 AS n FROM files UNION ALL SELECT k, path, 2, 12, 2 FROM files UNION ALL SELECT k, path, 3, 1, 1 FROM files),
+p AS (SELECT path, unnest([2, 10, 11, 20]) AS line, k FROM files), a AS (SELECT *, CASE WHEN 3 <= line THEN line + k % 3 ELSE line END AS x FROM p), b AS (SELECT *, CASE WHEN 12 <= x THEN x + 2 ELSE x END AS y FROM a)
+SELECT path, line::BIGINT AS line, (y + 1)::BIGINT AS new_line FROM b""")
+def src_line_shift(spark, sf_dir):
+    """Lines after insertions made one after another."""
+    files = sources(spark, sf_dir).select("path", F.regexp_extract("stem", r"(\d+)", 1).cast("bigint").alias("k"))
+    made = files.select("path", F.explode(F.array(*(F.struct(F.lit(i).cast("bigint").alias("seq"), F.lit(at).cast("bigint").alias("at"), n.cast("bigint").alias("n")) for i, at, n in ((1, 3, F.col("k") % 3), (2, 12, F.lit(2)), (3, 1, F.lit(1)))))).alias("x")).select("path", "x.*")
+    places = files.select("path", F.explode(F.array(*(F.lit(n).cast("bigint") for n in (2, 10, 11, 20)))).alias("line"))
+    return minimize.shifted(places, made)
+
+
+# -- smaller reviews
+
+
+@query(f"""WITH {FNS_SQL} SELECT 'trivial' AS what, path, line, name, CASE WHEN name = 'inv' OR k % 4 < 2 THEN 'true' ELSE 'false' END AS detail FROM fns WHERE mode = 'spec' AND (starts_with(name, 'wf_') OR starts_with(name, 'ok_') OR (name = 'inv' AND modifiers = 'open spec'))
+UNION ALL SELECT 'no spec', path, line, name, CASE WHEN k % 4 < 2 THEN 'true' ELSE 'false' END FROM fns WHERE starts_with(name, 'rec_') AND k % 4 <> 3 UNION ALL SELECT 'no spec', path, line, name, 'false' FROM fns WHERE name = 'outside' OR (starts_with(name, 'f_') AND k % 3 = 2 AND k % 2 = 1)
+UNION ALL SELECT 'collection', path, pad + 8, 'S' || (k % 9), CASE WHEN k % 4 = 2 THEN 'true true false' ELSE 'false true false' END FROM files UNION ALL SELECT 'collection', path, pad + 39, 'Out', 'false false false' FROM files WHERE k % 4 = 1""")
+def src_trivial_specs(spark, sf_dir):
+    """Trivial spec functions, functions without a specification, evidence for collections (EX22, EX40)."""
+    files = sources(spark, sf_dir)
+    t = fact_tables(files, ("fns", "types", "impls"))
+    trivial = reviews.trivial_specs(t["fns"]).select(F.lit("trivial").alias("what"), "path", "line", "name", F.col("body").alias("detail"))
+    bare = reviews.without_spec(t["fns"]).select(F.lit("no spec").alias("what"), "path", "line", "name", F.col("is_external").cast("string").alias("detail"))
+    held = reviews.collection_evidence(t["types"], t["impls"]).select(F.lit("collection").alias("what"), "path", "line", "name", F.concat_ws(" ", "by_view", "by_field", "by_name").alias("detail"))
+    return wide(trivial.unionByName(bare).unionByName(held))
+
+
+@query(f"""WITH {FINDINGS_SQL}, d AS (SELECT DISTINCT 'Chap' || (f.k % 7) AS chapter, h.module AS blocker FROM status f JOIN status h ON h.is_holed AND h.k = (f.k * 3) % 100 AND h.k % 7 = f.k % 7 AND h.k <> f.k)
+SELECT 'directory' AS what, project AS a, 'Chap' || (k % 7) AS b, count(*) AS n, sum(n_holes)::BIGINT AS m, count(*) FILTER (WHERE is_holed) = 0 AS flag FROM status GROUP BY ALL
+UNION ALL SELECT 'blocker', chapter, blocker, 0, 0, false FROM d UNION ALL SELECT 'type', hole_type, severity, count(*), 0, hole_type IN ('fn_missing_ensures', 'fn_missing_requires_ensures') FROM findings GROUP BY ALL""")
+def src_audit_groups(spark, sf_dir):
+    """Directories, blockers inside and outside a chapter, findings by type with the style errors (AG3, AG4, J9, J22, PR20)."""
+    files = sources(spark, sf_dir)
+    found = cut(facts(files, "findings"))
+    status = cut(audit.file_status(found, files))
+    zero = F.lit(0).cast("bigint")
+    top = reviews.top_directories(status).select(F.lit("directory").alias("what"), F.col("project").alias("a"), F.col("directory").alias("b"), F.col("n_files").alias("n"), F.col("n_holes").alias("m"), F.col("clean").alias("flag"))
+    held = reviews.dependency_blockers(audit.holed_dependencies(status, files)).select(F.lit("blocker").alias("what"), F.col("chapter").alias("a"), F.col("blocker").alias("b"), zero.alias("n"), zero.alias("m"), F.col("is_external").alias("flag"))
+    kinds = reviews.style_errors(found).groupBy("hole_type", "severity", "is_style_error").agg(F.count("*").alias("n")).select(F.lit("type").alias("what"), F.col("hole_type").alias("a"), F.col("severity").alias("b"), "n", zero.alias("m"), F.col("is_style_error").alias("flag"))
+    return top.unionByName(held).unionByName(kinds)
+
+
+@query("""SELECT p_partkey, upper(left(p_name, 1)) || substr(split_part(p_name, ' ', 1), 2) || upper(left(split_part(p_name, ' ', 2), 1)) || substr(split_part(p_name, ' ', 2), 2) AS pascal, CASE WHEN p_size < 10 THEN 'Chap' || p_size ELSE p_name END AS chapter,
+CASE WHEN p_size < 10 THEN 'false ' || p_size || ' ' ELSE 'true 0 ' || p_name END AS place, CASE WHEN p_partkey < 60 THEN p_partkey || 's' WHEN p_partkey < 3600 THEN (p_partkey // 60) || 'm ' || (p_partkey % 60) || 's' ELSE (p_partkey // 3600) || 'h ' || (p_partkey // 60 % 60) || 'm' END AS took,
+p_size || ' (' || printf('%.1f', p_size * 100.0 / 50) || '%)' AS share, '#![trigger ' || p_name || ', ' || p_brand || '] #![trigger ' || p_type || ']' AS annotation, replace(p_name || '}', '}', '\\}') AS escaped, p_size < 20 AND p_size + 5 > 10 AS overlaps, length(p_name) // 4 AS tokens, starts_with(p_name, 'r') AS formatted FROM part""")
+def text_functions(spark, sf_dir):
+    """Pascal case, chapter order, durations, shares, annotations, escapes, overlaps, token estimates (FN7, FN18-FN21, W13, AG42, PR25)."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    chapter = F.when(size < 10, F.concat(F.lit("Chap"), size.cast("string"))).otherwise(F.col("p_name"))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("chapter", chapter)
+    place = text.chapter_order(F.col("chapter"))
+    bullet = F.concat(F.when(F.startswith("p_name", F.lit("r")), F.lit("- ")).otherwise(F.lit("")), "p_name")
+    return parts.select(
+        "p_partkey", text.pascal_case(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("pascal"), "chapter", F.concat_ws(" ", place["other"], place["number"], place["name"]).alias("place"), text.duration(k).alias("took"), text.count_and_percent(size, F.lit(50)).alias("share"),
+        text.trigger_annotations(F.array(F.array("p_name", "p_brand"), F.array("p_type"))).alias("annotation"), text.escape_brace(F.concat("p_name", F.lit("}"))).alias("escaped"),
+        text.spans_overlap(size, size + 5, F.lit(10), F.lit(20)).alias("overlaps"), text.token_estimate(F.length("p_name")).alias("tokens"), text.already_formatted(bullet).alias("formatted"),
+    )
+
+
+# -- trigger logs, rewrites and texts by line
+
+
+def _logs(spark, sf_dir) -> DataFrame:
+    """A debug log and compiler messages for each supplier."""
+    log = """concat('noise\\nChosenTriggers {\\n  span: Span {\\n    as_string: "/w/a', k, '.rs:', k % 50 + 1, ':3: ', k % 50 + 3, ':9 (#0)",\\n  },\\n  triggers: [\\n    [\\n      (Span {\\n as_string: "/w/a.rs:1:2: 1:', k % 7, '",\\n }, "x"),\\n    ],\\n',
+      if(k % 2 = 0, '    [\\n      as_string: "second",\\n      as_string: "third",\\n    ],\\n', ''), '  ],\\n  low_confidence: ', if(k % 3 = 0, 'true', 'false'), ',\\n  manual: ', if(k % 4 = 0, 'true', 'false'), ',\\n}\\n')"""
+    message = """concat('note: automatically chose triggers for this expression:\\n  --> /w/b', k, '.rs:', k, ':5\\n  |\\nnote:   trigger 1 of 1:\\n  --> /w/b', k, '.rs:', k + 1, ':7\\n  |\\n  | ^^^\\n\\nnote: Verus printed one or more\\n  trigger 2 of 2:\\n --> no.rs:1:1\\n')"""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey AS k")
+    return s.selectExpr("concat('log', k) AS path", f"{log} AS content").unionByName(s.selectExpr("concat('msg', k) AS path", f"{message} AS content"))
+
+
+@query("""SELECT 'log' || s_suppkey AS path, '/w/a' || s_suppkey || '.rs' AS file, (s_suppkey % 50 + 1)::BIGINT AS line_s, (s_suppkey % 50 + 3)::BIGINT AS line_e,
+ '/w/a.rs:1:2: 1:' || (s_suppkey % 7) || CASE WHEN s_suppkey % 2 = 0 THEN ' | second, third' ELSE '' END AS groups, s_suppkey % 4 = 0 AS manual, s_suppkey % 3 = 0 AS low_confidence FROM supplier
+UNION ALL SELECT 'msg' || s_suppkey, '/w/b' || s_suppkey || '.rs', s_suppkey, s_suppkey, '/w/b' || s_suppkey || '.rs:' || (s_suppkey + 1) || ':7: ' || (s_suppkey + 1) || ':10', false, false FROM supplier""")
+def trigger_logs(spark, sf_dir):
+    """Recommended triggers from debug logs and compiler messages (SC15, SC16)."""
+    logs = _logs(spark, sf_dir)
+    groups = F.array_join(F.transform("groups", lambda g: F.array_join(g, ", ")), " | ").alias("groups")
+    long = lambda c, as_=None: F.col(c).cast("bigint").alias(as_ or c)
+    entries = triggers.trigger_log(logs.where("path like 'log%'")).select("path", "file", long("line_s"), long("line_e"), groups, "manual", "low_confidence")
+    told = triggers.trigger_messages(logs.where("path like 'msg%'")).select("path", "file", long("line_s"), long("line_s", "line_e"), groups, F.lit(False).alias("manual"), F.lit(False).alias("low_confidence"))
+    return entries.unionByName(told)
+
+
+@query("""WITH d AS (SELECT p_partkey AS k, 'f' || (p_partkey % 40) AS path, p_partkey // 40 AS line_no FROM part),
+q AS (SELECT 'f' || (s_suppkey % 40) AS path, s_suppkey AS entry, s_suppkey % 9 AS a, s_suppkey % 9 + 3 AS b, s_suppkey % 4 = 0 AS manual FROM supplier),
+m AS (SELECT q.path, entry, min(line_no) AS line_no FROM q JOIN d ON d.path = q.path AND line_no BETWEEN a AND b WHERE NOT manual GROUP BY ALL)
+SELECT path, line_no::BIGINT AS line_no, '#![trigger t' || max(entry) || '] #![trigger u, v]' AS annotation FROM m GROUP BY path, line_no""")
+def recommended_triggers(spark, sf_dir):
+    """Each quantifier's recommendation at the first automatic trigger in its span (J10, FN21)."""
+    k = F.col("p_partkey")
+    places = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("f"), k % 40).alias("path"), F.floor(k / 40).alias("line_no"))
+    s = F.col("s_suppkey")
+    groups = F.array(F.array(F.concat(F.lit("t"), s)), F.array(F.lit("u"), F.lit("v")))
+    entries = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("f"), s % 40).alias("file"), s.alias("entry"), (s % 9).alias("line_s"), (s % 9 + 3).alias("line_e"), (s % 4 == 0).alias("manual"), groups.alias("groups"))
+    return triggers.recommended(places, entries)
+
+
+@query("""WITH x AS (SELECT p_partkey AS k, 'a' || repeat('#![auto] ', (p_partkey % 3)::INT) || CASE WHEN p_partkey % 2 = 0 THEN 'é #[auto]' ELSE '' END AS text FROM part)
+SELECT 'f' || k AS path, 1::BIGINT AS line_no, (2 + 9 * i)::BIGINT AS col, true AS is_inner FROM (SELECT k, unnest(range(k % 3)) AS i FROM x) UNION ALL SELECT 'f' || k, 1, 2 + 9 * (k % 3) + 2, false FROM x WHERE k % 2 = 0""")
+def auto_trigger_places(spark, sf_dir):
+    """Places of automatic triggers (EX42)."""
+    content = "concat('a', repeat('#![auto] ', cast(p_partkey % 3 AS int)), if(p_partkey % 2 = 0, 'é #[auto]', ''), '\\n')"
+    found = triggers.auto_triggers(spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("concat('f', p_partkey) AS path", f"{content} AS content"))
+    return wide(found).withColumn("col", F.col("col").cast("bigint"))
+
+
+_BLOCK = (
+    "'// head'", "'verus! {'", "'// of the lemma'", "'proof fn l' || k || '() { }'", "'spec fn s' || k || '() -> bool { true }'", "'// of the struct'", "'#[a]'", "'struct S' || k || ' { }'", "'broadcast use g;'", "'} // verus!'", "'fn out() { }'",
+)
+
+
+@query(f"""WITH t AS (SELECT s_suppkey AS k, [{', '.join(x.replace('k', 's_suppkey') if "|| k ||" in x else x for x in _BLOCK)}] AS l FROM supplier)
+SELECT 'f' || k AS path, '//  Table of Contents' || chr(10) || '//' || chr(9) || chr(9) || '1. module' || chr(10) || '//' || chr(9) || chr(9) || '2. uses' || chr(10) || '//' || chr(9) || chr(9) || '3. types' || chr(10) || '//' || chr(9) || chr(9) || '5. specs' || chr(10) || '//' || chr(9) || chr(9) || '6. proofs' || chr(10)
+ || array_to_string([l[1], l[2], l[9], l[6], l[7], l[8], l[5], l[3], l[4], l[10], l[11]], chr(10)) || chr(10) AS content FROM t""")
+def reorder_sections(spark, sf_dir):
+    """Items of a block in the order of their sections, with a table of contents (ED8, W1)."""
+    text_of = "concat(concat_ws('\\n', " + ", ".join(_BLOCK) + "), '\\n')"
+    files = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey AS k").selectExpr("concat('f', k) AS path", f"{text_of} AS content")
+    return fixes.reordered(files, style.sections(files), {2: "uses", 3: "types", 5: "specs", 6: "proofs"})
+
+
+@query("""WITH x AS (SELECT p_partkey AS k FROM part) SELECT 'd/' || CASE WHEN k % 2 = 0 THEN 'Prove' ELSE '' END || 'M' || (k // 2) || '.rs' AS path, 4::BIGINT AS line_no, 'm' || k AS module, 'faster ' || k AS hypothesis, CASE WHEN k % 3 = 0 THEN 'yes' END AS result FROM x""")
+def experiment_comments(spark, sf_dir):
+    """Hypotheses and results above modules (EX45)."""
+    return wide(reviews.experiments(_experiments(spark, sf_dir)))
+
+
+def _experiments(spark, sf_dir) -> DataFrame:
+    content = """concat('use a;\\n// Hypothesis: faster ', p_partkey, if(p_partkey % 3 = 0, '\\n// result: yes', '\\n// nothing'), '\\npub mod m', p_partkey, ';\\n// loop-', p_partkey % 5, ': one\\n// for-consume it\\n#[test]\\nfn t() { assert!(1); let x = "vec![2]"; }\\n')"""
+    path = "concat('d/', if(p_partkey % 2 = 0, 'Prove', ''), 'M', cast(floor(p_partkey / 2) AS bigint), '.rs')"
+    return spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(f"{path} AS path", f"{content} AS content")
+
+
+@query("""WITH x AS (SELECT p_partkey AS k, p_partkey // 2 AS m FROM part) SELECT 'M' || m AS module, 'loop-' || (max(k) % 5) || ' for-consume loop-' || (min(k) % 5) AS detail, count(*) AS n, count(*)::BIGINT AS n_tests, count(*)::BIGINT AS n_macros FROM x GROUP BY m""")
+def test_patterns(spark, sf_dir):
+    """Patterns named in test files by module, tests and macro calls (AG43, EX43)."""
+    files = _experiments(spark, sf_dir)
+    counts = reviews.test_counts(files).withColumn("module", F.regexp_extract("path", r"(?:Prove)?(M\d+)\.rs$", 1)).groupBy("module").agg(F.count("*").alias("n"), F.sum("n_tests").alias("n_tests"), F.sum("n_macros").alias("n_macros"))
+    return reviews.comment_patterns(files).select("module", F.array_join("patterns", " ").alias("detail")).join(counts, "module")

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.lineage import cut
-from tessera.operators import fixes
+from tessera.operators import edits, fixes
 from tessera.operators.extract import comments, dependencies, facts
-from tessera.plans import audit, inventory, minimize, reviews, style, triggers
+from tessera.plans import audit, coverage, inventory, minimize, reviews, style, triggers
 from tessera.plans.generated import FILES_SQL, FINDINGS_SQL, FNS_SQL, LIBRARY_SQL, LINES_SQL, library, sources
 from tessera.plans.registry import query
 from tessera.plans.search import fact_tables, search
-from tessera.sources.projects import loc_rollup
+from tessera.sources.files import markdown_table, scanned, spans_of_paths, usage_log
+from tessera.sources.projects import commented_modules, gated_modules, kind_of, loc_rollup, module_files, projects
 
 
 
@@ -466,3 +467,136 @@ def test_patterns(spark, sf_dir):
     files = _experiments(spark, sf_dir)
     counts = reviews.test_counts(files).withColumn("module", F.regexp_extract("path", r"(?:Prove)?(M\d+)\.rs$", 1)).groupBy("module").agg(F.count("*").alias("n"), F.sum("n_tests").alias("n_tests"), F.sum("n_macros").alias("n_macros"))
     return reviews.comment_patterns(files).select("module", F.array_join("patterns", " ").alias("detail")).join(counts, "module")
+
+
+# -- scans and logs
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, 'proj' || (p_partkey % 6) || '/' || CASE p_partkey % 7 WHEN 0 THEN 'attic' WHEN 1 THEN '.git' WHEN 2 THEN 'target' WHEN 3 THEN 'src/deep/er' ELSE 'src' END || '/' || CASE WHEN p_partkey % 4 = 0 THEN 'tests/' ELSE '' END || 'm' || p_partkey || CASE WHEN p_partkey % 5 = 0 THEN '.py' ELSE '.rs' END AS rel FROM part)
+SELECT rel, CASE WHEN k % 5 = 0 THEN 'scripts' WHEN k % 7 > 2 THEN 'src' WHEN k % 4 = 0 THEN 'tests' ELSE 'other' END AS kind FROM p WHERE k % 7 > 2 AND NOT contains('/r/' || rel, '/proj3/') AND NOT ends_with(rel, '9.rs') AND len(string_split(rel, '/')) <= 5""")
+def scan_paths(spark, sf_dir):
+    """Which files a scan takes, with exclusions and a depth, and their kinds of directory (SC1-SC4, SC7, SC8, SC11)."""
+    rel = """concat('proj', k % 6, '/', CASE k % 7 WHEN 0 THEN 'attic' WHEN 1 THEN '.git' WHEN 2 THEN 'target' WHEN 3 THEN 'src/deep/er' ELSE 'src' END, '/', if(k % 4 = 0, 'tests/', ''), 'm', k, if(k % 5 = 0, '.py', '.rs'))"""
+    paths = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS k").selectExpr(f"{rel} AS rel")
+    kept = scanned(F.col("rel"), F.concat(F.lit("/r/"), "rel"), ("proj3", "9.rs"), 5)
+    return paths.where(kept).select("rel", kind_of("rel").alias("kind"))
+
+
+@query("""WITH m AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN '/w/p' || s_suppkey WHEN s_suppkey % 3 = 1 THEN '/w/p' || (s_suppkey - 1) || '/sub/q' || s_suppkey ELSE '/w/ws' || s_suppkey END AS dir, s_suppkey % 3 = 2 AS ws FROM supplier)
+SELECT dir FROM m WHERE NOT ws AND k % 3 = 0""")
+def project_dirs(spark, sf_dir):
+    """Package directories, workspaces and what lies below another hit left out (SC5, SC6)."""
+    k = F.col("s_suppkey")
+    folder = F.when(k % 3 == 0, F.concat(F.lit("/w/p"), k)).when(k % 3 == 1, F.concat(F.lit("/w/p"), k - 1, F.lit("/sub/q"), k)).otherwise(F.concat(F.lit("/w/ws"), k))
+    content = F.when(k % 3 == 2, "[workspace]\nmembers = []\n").otherwise("[package]\nname = 'x'\n")
+    return projects(spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(folder, F.lit("/Cargo.toml")).alias("path"), content.alias("content")))
+
+
+@query("""WITH f AS (SELECT s_suppkey AS k FROM supplier) SELECT 'M' || k AS module, 'src' AS kind, '/w/src/M' || k || '.rs' AS path FROM f
+UNION ALL SELECT 'M' || k, 'tests', '/w/tests/' || CASE WHEN k % 3 = 0 THEN 'test_M' WHEN k % 3 = 1 THEN 'TestM' ELSE 'M' END || k || '.rs' FROM f UNION ALL SELECT 'M' || k, 'benches', '/w/benches/M' || k || '.rs' FROM f WHERE k % 2 = 0""")
+def module_lookup(spark, sf_dir):
+    """The source, test and bench of each module, by the first of its names (SC9, J16)."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("k"))
+    k = F.col("k")
+    name = lambda pre: F.concat(F.lit(pre), k)
+    stems = F.array(
+        F.struct(F.lit("src").alias("d"), name("M").alias("s")), F.struct(F.lit("tests").alias("d"), F.when(k % 3 == 0, name("test_M")).when(k % 3 == 1, name("TestM")).otherwise(name("M")).alias("s")),
+        F.struct(F.lit("tests").alias("d"), F.when(k % 3 == 0, name("TestM")).otherwise(name("M")).alias("s")), F.struct(F.when(k % 2 == 0, "benches").otherwise("docs").alias("d"), name("M").alias("s")),
+    )
+    files = s.select(F.explode(stems).alias("x")).distinct().select(F.concat(F.lit("/w/"), "x.d", F.lit("/"), "x.s", F.lit(".rs")).alias("path"), F.col("x.s").alias("stem"), F.concat("x.d", F.lit("/"), "x.s", F.lit(".rs")).alias("rel_path"))
+    return module_files(files, s.select(name("M").alias("module")))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k FROM supplier) SELECT 'usage' AS what, 'log' || k AS path, 'T' || (k % 4) AS a, 'push' AS b, k AS n, (k % 3 + 1)::BIGINT AS m FROM s UNION ALL SELECT 'usage', 'log' || k, 'T' || (k % 4), 'pop', 7, k % 3 + 1 FROM s
+UNION ALL SELECT 'span', 'vp' || k, 'Item{Fn}', '2:3-' || (k + 2) || ':9', 1, k + 2 FROM s UNION ALL SELECT 'cell', 'md' || k, 'f' || k, 'yes', 6, 2 FROM s
+UNION ALL SELECT 'off', 'lib' || k, 'm' || k, '', 6, 0 FROM s UNION ALL SELECT 'gated', 'lib' || k, 'g' || k, 'feat' || (k % 2) || ' Chap' || (k % 5), 4, 0 FROM s""")
+def text_logs(spark, sf_dir):
+    """Sectioned logs, path files, tables under headings, gated and disabled modules (SC14, SC17-SC20, W4)."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey AS k")
+    made = lambda name, text_of: s.selectExpr(f"concat('{name}', k) AS path", f"concat({text_of}) AS content")
+    log = made("log", "'=== ', k % 3 + 1, '. Methods\\nTYPE: T', k % 4, '\\n  1. push ', k, ' uses\\npop 7\\nnothing here\\n'")
+    vp = made("vp", "'Item{Fn} 2:3-', k + 2, ':9\\nno span\\n'")
+    md = made("md", "'# Other\\n| a | b |\\n|-|-|\\n# Function-by-Function Detail\\n| h | i |\\n|---|---|\\n| f', k, ' | yes |\\n'").select("path", F.replace("content", F.lit("|---|---|\n|"), F.lit("|---|---|\n|")).alias("content"))
+    lib = made("lib", "'pub mod Chap', k % 5, ' {\\n  #[cfg(feature = \"feat', k % 2, '\")]\\n  // between\\n'").select("path", F.regexp_replace("content", r"\n  // between\n", "").alias("content"))
+    lib = lib.withColumn("k", F.regexp_extract("path", r"(\d+)", 1)).select("path", F.concat("content", F.lit("\n  pub mod g"), "k", F.lit(";\n}\n"), F.lit("// pub mod m"), "k", F.lit(";\n")).alias("content"))
+    long = lambda c: F.col(c).cast("bigint") if isinstance(c, str) else c.cast("bigint")
+    rows = [
+        usage_log(log).select(F.lit("usage").alias("what"), "path", F.col("owner").alias("a"), F.col("item").alias("b"), long("n").alias("n"), long("section").alias("m")),
+        spans_of_paths(vp).select(F.lit("span").alias("what"), "path", F.col("text").alias("a"), F.format_string("%d:%d-%d:%d", "line_s", "col_s", "line_e", "col_e").alias("b"), long("seq").alias("n"), long("line_e").alias("m")),
+        markdown_table(md, "Function-by-Function Detail").select(F.lit("cell").alias("what"), "path", F.col("cells")[0].alias("a"), F.col("cells")[1].alias("b"), (long("line_no") - 1).alias("n"), long(F.size("cells")).alias("m")),
+        commented_modules(lib).select(F.lit("off").alias("what"), "path", F.col("module").alias("a"), F.lit("").alias("b"), (long("line_no") + 1).alias("n"), F.lit(0).cast("bigint").alias("m")),
+        gated_modules(lib).select(F.lit("gated").alias("what"), "path", F.col("module").alias("a"), F.concat_ws(" ", "feature", "chapter").alias("b"), (long("line_no") + 1).alias("n"), F.lit(0).cast("bigint").alias("m")),
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+# -- usage and coverage
+
+
+def _ir(spark, sf_dir) -> DataFrame:
+    content = """concat('(Fun :path "vstd!seq.Seq.len.") (module_id (Fun :path "vstd!no.Set.x.") (Typ Datatype (Dt Path "alloc!vec.Vec.") x (Fun :path "core!option.Option.m', k % 3, '.") (Fun :path "core!x.Unknown.f.")', if(k % 4 = 0, '(Typ Datatype (Dt Path "vstd!map.Map.")', ''))"""
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey AS k").selectExpr("concat('/ir/', if(k % 10 = 9, 'vstd', concat('p', k % 5)), '/d/c', k, '.vir') AS path", f"{content} AS content")
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, 'p' || (s_suppkey % 5) AS project FROM supplier WHERE s_suppkey % 10 <> 9)
+SELECT DISTINCT project, 'Seq' AS owner, 'len' AS item FROM s UNION ALL SELECT DISTINCT project, 'Vec', NULL FROM s UNION ALL SELECT DISTINCT project, 'Option', 'm' || (k % 3) FROM s UNION ALL SELECT DISTINCT project, 'Map', NULL FROM s WHERE k % 4 = 0""")
+def ir_usage(spark, sf_dir):
+    """Library types and methods in the verifier's intermediate texts (EX24, FN23, AG9-AG11)."""
+    return coverage.ir_usage(_ir(spark, sf_dir))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k FROM supplier),
+u AS (SELECT owner, count(*) AS n FROM (SELECT DISTINCT 'p' || (k % 5) AS p, 'std::vec::Vec' AS owner, '' AS i FROM s WHERE k % 10 <> 9 UNION SELECT DISTINCT 'p' || (k % 5), 'core::option::Option', 'm' || (k % 3) FROM s WHERE k % 10 <> 9
+ UNION SELECT DISTINCT 'p' || (k % 5), 'unknown::Seq', '' FROM s WHERE k % 10 <> 9 UNION SELECT DISTINCT 'p' || (k % 5), 'unknown::Map', '' FROM s WHERE k % 10 <> 9 AND k % 4 = 0) GROUP BY owner)
+SELECT replace(owner, 'std::vec', 'alloc::vec') AS owner, n::BIGINT AS n, owner IN ('std::vec::Vec', 'core::option::Option') AS covered, round(n * 100.0 / sum(n) OVER (), 6) AS percent FROM u""")
+def type_coverage(spark, sf_dir):
+    """Usage of types against those that specifications cover, with shares (J1, J2, AG6, AG15, EX25, FN2, FN3, FN17)."""
+    used = coverage.ir_usage(_ir(spark, sf_dir))
+    owner = F.when(F.col("owner") == "Vec", "std::vec::Vec").otherwise(coverage.full_type(F.col("owner")))
+    specs = coverage.specified_methods(library(spark, sf_dir))
+    out = coverage.type_coverage(used.groupBy(owner.alias("owner")).agg(F.count("*").alias("n")), specs)
+    return out.withColumn("percent", F.round("percent", 6))
+
+
+@query(f"""WITH {LIBRARY_SQL} SELECT DISTINCT CASE k % 3 WHEN 0 THEN 'core::option::Option' WHEN 1 THEN 'alloc::vec::Vec' ELSE 'unknown::u64' END AS owner, CASE k % 3 WHEN 0 THEN 'unwrap' WHEN 1 THEN 'push' ELSE 'max_value' END AS item FROM lib""")
+def specified_methods(spark, sf_dir):
+    """Methods that specifications cover, under full type names (EX25, FN3)."""
+    return coverage.specified_methods(library(spark, sf_dir))
+
+
+@query("""SELECT CASE p_partkey % 4 WHEN 0 THEN 'std::option' WHEN 1 THEN 'core::result' WHEN 2 THEN 'a::b::vec' ELSE 'x::y' || (p_partkey % 3) END AS module, CASE p_partkey % 4 WHEN 0 THEN 'full' WHEN 1 THEN 'part' WHEN 2 THEN 'last' ELSE 'missing' END AS status FROM part""")
+def module_status(spark, sf_dir):
+    """A module's status by its exact name, else as core, else by its last segment."""
+    k = F.col("p_partkey")
+    name = F.when(k % 4 == 0, "std::option").when(k % 4 == 1, "core::result").when(k % 4 == 2, "a::b::vec").otherwise(F.concat(F.lit("x::y"), k % 3))
+    known = spark.createDataFrame([("core::option", "full"), ("core::result", "part"), ("vec", "last"), ("result", "zzz")], "name string, status string")
+    return coverage.module_status(spark.read.parquet(f"{sf_dir}/part.parquet").select(name.alias("module")), known)
+
+
+# -- rewrites and rules
+
+
+@query(f"""WITH {LINES_SQL}, e AS (SELECT path, line_no, CASE WHEN k % 5 = 0 AND line_no = pad + 24 THEN '    accept(n > 0);' WHEN line_no = pad + 6 THEN text || chr(10) || 'broadcast use {{vstd::seq_lib::group_seq_properties, vstd::seq_lib::group_to_multiset_ensures, vstd::set::group_set_axioms, vstd::set_lib::group_set_lib_default}};' ELSE text END AS text FROM lines WHERE line_no <> pad + 37)
+SELECT path, sha256(string_agg(text, chr(10) ORDER BY line_no) || chr(10)) AS sha FROM e GROUP BY path""")
+def src_edits(spark, sf_dir):
+    """Separators deleted, groups inserted, assumptions accepted, one edit after another; then all of a file's lines are marked and restored (ED4, ED6, ED7, ED10, PR19, PR24)."""
+    files = sources(spark, sf_dir).select("path", "content")
+    files = edits.apply_edits(files, fixes.delete_separators(files))
+    files = edits.apply_edits(files, fixes.accept_assumes(files, facts(files, "findings")))
+    files = cut(edits.apply_edits(files, fixes.insert_broadcast(files, reviews.recommended_groups(files))))
+    marked = edits.apply_edits(files, fixes.comment_out(files, files.select("path", F.lit(1).alias("first"), F.lit(1 << 20).alias("last"))))
+    files = edits.apply_edits(marked, fixes.restore(marked))
+    return files.select("path", F.sha2("content", 256).alias("sha"))
+
+
+_RULES = ", ".join((
+    "0", "0", "0", "0", "CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END", "1", "0", "CASE WHEN k % 5 = 0 THEN 1 ELSE 2 END", "0", "0", "0", "1", "CASE WHEN k % 4 = 3 THEN 0 ELSE 1 END", "0",
+    "CASE k % 4 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 2 END", "0", "0", "CASE WHEN k % 4 = 2 THEN 1 ELSE 0 END", "4 + CASE WHEN k % 3 < 2 THEN 1 ELSE 0 END + CASE WHEN k % 4 = 2 THEN 1 ELSE 0 END", "1", "0", "0", "CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END", "0", "0",
+))
+
+
+@query(f"""WITH {FILES_SQL}, r AS (SELECT path, unnest(range(25)) AS rule, unnest([{_RULES}]) AS n_bad FROM files) SELECT path, rule, n_bad::BIGINT AS n_bad FROM r""")
+def src_style(spark, sf_dir):
+    """The 25 style rules over every file: how often each fails (PR28, EX39, J21, W1, W10, SO11)."""
+    rows = style.style(sources(spark, sf_dir))
+    return rows.groupBy("path", F.col("rule").cast("bigint").alias("rule")).agg(F.count_if(~F.col("ok")).alias("n_bad"))

@@ -9,6 +9,15 @@ from pyspark.sql import functions as F
 SKIPPED = ("attic", "target")
 
 
+def scanned(rel_path: Column, path: Column, exclude: tuple[str, ...] = (), max_depth: int | None = None) -> Column:
+    """Whether a scan takes a file: not below skipped and hidden directories, no excluded x as ``/x/`` in the
+    path or at its end, and not deeper than ``max_depth`` (SC1 to SC4)."""
+    kept = ~rel_path.rlike(r"(^|/)(" + "|".join(SKIPPED) + r"|\.[^/]*)/")
+    for x in exclude:
+        kept = kept & ~F.contains(path, F.lit(f"/{x}/")) & ~F.endswith(path, F.lit(x))
+    return kept if max_depth is None else kept & (F.size(F.split(rel_path, "/")) <= max_depth)
+
+
 def read_files(spark: SparkSession, root: str, pattern: str = "*.rs", exclude: tuple[str, ...] = (), max_depth: int | None = None) -> DataFrame:
     """(project, path, rel_path, dir, stem, content, n_bytes) of all files below ``root`` whose names
     match, without skipped and hidden directories and whatever contains ``/x/`` or ends in x for an
@@ -18,11 +27,7 @@ def read_files(spark: SparkSession, root: str, pattern: str = "*.rs", exclude: t
     path = F.regexp_replace("path", r"^\w+:/*", "/")
     rel = F.expr("substring(clean, locate(base, clean) + length(base) + 1)")
     out = raw.select(path.alias("clean"), F.lit(base).alias("base"), "content", "length").withColumn("rel_path", rel)
-    kept = ~F.col("rel_path").rlike(r"(^|/)(" + "|".join(SKIPPED) + r"|\.[^/]*)/")
-    for x in exclude:
-        kept = kept & ~F.contains("clean", F.lit(f"/{x}/")) & ~F.endswith("clean", F.lit(x))
-    if max_depth is not None:
-        kept = kept & (F.size(F.split("rel_path", "/")) <= max_depth)
+    kept = scanned(F.col("rel_path"), F.col("clean"), exclude, max_depth)
     name = F.element_at(F.split("rel_path", "/"), -1)
     return out.where(kept).select(
         F.when(F.contains("rel_path", F.lit("/")), F.split("rel_path", "/")[0]).otherwise("").alias("project"), F.col("clean").alias("path"), "rel_path",

@@ -19,7 +19,7 @@ T = TypeVar("T")
 WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 50_000  #: rows of a few short columns that may be broadcast
 SALTS = 64  #: tasks that share a key in a shuffle join with hot keys
-ROWS_OF_A_FILE = 100_000  #: narrow rows in a file of an intermediate table, where their number is known
+ROWS_OF_A_FILE = 50_000  #: narrow rows in a file of an intermediate table, where their number is known
 
 
 _kept: dict[tuple, object] = {}

@@ -173,7 +173,7 @@ def forest(linked: np.ndarray) -> np.ndarray:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall: float = 0.999) -> DataFrame:
-    """doc_id, text_hash, class_id, n_links, n_text_links, is_kept for each row of ``docs``
+    """doc_id, text_hash, class_id, n_links, n_text_links, is_kept, has_grams for each row of ``docs``
     (doc_id, text). class_id is the least doc_id of all that are connected by links; n_links counts
     the other documents at the threshold or above, n_text_links the other n-gram sets; is_kept
     marks the class's own document and whatever has no n-grams."""
@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, reca
         "doc_id", "text_hash",
         F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("n_text_links", F.lit(0)).cast("bigint").alias("n_text_links"),
-        ((F.col("n") == 0) | F.coalesce(own, F.lit(False))).alias("is_kept"),
+        ((F.col("n") == 0) | F.coalesce(own, F.lit(False))).alias("is_kept"), (F.col("n") > 0).alias("has_grams"),
     )
 
 
@@ -259,11 +259,14 @@ def _dealt(members: DataFrame, stars: DataFrame, buckets: DataFrame, heads: Data
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs``, one row for each class of near duplicates: that of its least doc_id. Rows without
-    n-grams all stay, but of rows that agree in doc_id and text one stays: the one whose columns have
-    the least hash, so reruns agree."""
+    """``docs``, one row for each class of near duplicates: that of its least doc_id. Texts without
+    n-grams are near no other; of those that are equal, as empty ones are, that of the least doc_id stays,
+    null being a text of its own. Of rows that agree in doc_id and text one stays: the one whose columns
+    have the least hash, so reruns agree."""
     # as a struct the key equals where both ids are null, and one shuffle serves the join and the groups
-    kept = cut(near_duplicates(docs, **options).where("is_kept").select(F.struct("doc_id", "text_hash").alias("key")).distinct())
+    found = near_duplicates(docs, **options).where("is_kept").select("has_grams", "doc_id", "text_hash").distinct()
+    bare = found.where("not has_grams").groupBy("text_hash").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("x")).select("x.doc_id", "text_hash")
+    kept = cut(found.where("has_grams").select("doc_id", "text_hash").unionByName(bare).select(F.struct("doc_id", "text_hash").alias("key")))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_hash")).alias("key"))
     told = F.xxhash64(*(F.col("row").getField(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()))
     return rows.join(kept.hint("shuffle_hash"), "key", "left_semi").groupBy("key").agg(F.min_by("row", told).alias("row")).select("row.*")

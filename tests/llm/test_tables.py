@@ -246,6 +246,8 @@ def test_near_duplicates(spark, odd, empty):
     assert {i: r["class_id"] for i, r in got.items()} == dict(enumerate(label))
     kept = minhash_join.drop_near_duplicates(docs)
     assert {r["doc_id"] for r in kept.collect()} == set(label) and kept.columns == docs.columns
+    bare = spark.createDataFrame([(4, ""), (3, ""), (7, None), (6, None), (None, ""), (5, " "), (8, "w")], "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in minhash_join.drop_near_duplicates(bare).collect()) == [3, 5, 6, 8]
     some = minhash_join.near_duplicates(odd).collect()
     assert len(some) == odd.count() and {r["n_links"] for r in some if r["doc_id"] in (1, 2)} == {2} and {r["class_id"] for r in some if r["doc_id"] == 2} == {1}
     assert {r["class_id"] for r in some if r["doc_id"] in (3, 4, 5)} == {3, 4, 5}

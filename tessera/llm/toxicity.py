@@ -6,8 +6,9 @@ hits inside an exception phrase are void, and the weight of the rest is divided
 growing function of the length.
 
 Cases: null and empty texts have no hits and score 0; there is no limit on the length; equal
-texts score alike; an empty table gives an empty result; columns other than doc_id and text
-play no part.
+texts score alike; of hits that start at one place the longest counts, of equally long ones the
+heaviest; characters that are not seen, as soft hyphens and combining marks are, part no word; an empty
+table gives an empty result; columns other than doc_id and text play no part.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held_out, labelled_sample
+from tessera.llm.common import cut, held_out, labelled_sample
 
 #: English insults known beforehand, with weights.
 SEED_LEXICON = {
@@ -39,8 +42,11 @@ LOOK_ALIKES = {
     "у": "y", "х": "x", "ѕ": "s", "і": "i", "ї": "i", "ј": "j", "ԁ": "d", "ӏ": "l", "ԛ": "q", "ԝ": "w",
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "μ": "m", "ν": "v", "ο": "o", "ρ": "p", "τ": "t",
     "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ɑ": "a", "ɡ": "g", "ø": "o", "đ": "d", "ł": "l",
-    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s",
+    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "|": "i", "!": "i",
 }
+#: Characters that can stand inside a word unseen: format characters and combining marks.
+HIDDEN = re.compile("[\u00ad\u0300-\u036f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u206a-\u206f\ufe00-\ufe0f\ufeff]+")
+WORDS = re.compile(r"(?:[^\W_]|[$@])+")
 
 
 class Folding(dict):
@@ -90,13 +96,32 @@ class Lexicon:
         return found
 
 
-def hits(automaton: ahocorasick.Automaton, text: str, folded: str | None = None) -> list[tuple[int, int, float]]:
+def visible(text: str) -> tuple[str, list[int] | None]:
+    """The text without hidden characters, and the place of each character in it; None where all stay."""
+    if text.isascii() or not HIDDEN.search(text):
+        return text, None
+    places, at = [], 0
+    for m in HIDDEN.finditer(text):
+        places.extend(range(at, m.start()))
+        at = m.end()
+    places.extend(range(at, len(text)))
+    return HIDDEN.sub("", text), [*places, len(text)]
+
+
+def hits(automaton: ahocorasick.Automaton, text: str) -> list[tuple[int, int, float]]:
     """(start, end, weight) of what counts in ``text``: at word starts (whole words for words),
-    outside exception phrases, and only the longest of those that start at one place."""
+    outside exception phrases, and only the longest of those that start at one place; of equally long
+    ones the heaviest. Hidden characters inside a word do not count, but the places are those of ``text``."""
     if not len(automaton):
         return []
+    shown, places = visible(text)
+    found = _hits(automaton, shown)
+    return found if places is None else [(places[a], places[b - 1] + 1, w) for a, b, w in found]
+
+
+def _hits(automaton: ahocorasick.Automaton, text: str) -> list[tuple[int, int, float]]:
     void, found, n = [], {}, len(text)
-    for end, what in automaton.iter(fold(text) if folded is None else folded):
+    for end, what in automaton.iter(fold(text)):
         end += 1
         for kind, size, weight in what:
             start = end - size
@@ -107,7 +132,7 @@ def hits(automaton: ahocorasick.Automaton, text: str, folded: str | None = None)
                 continue
             if kind == "exception":
                 void.append((start, end))
-            elif start not in found or found[start][1] < end:
+            elif start not in found or (found[start][1], found[start][2]) < (end, weight):
                 found[start] = (start, end, weight)
     if void:
         return [x for x in found.values() if not any(a <= x[0] and x[1] <= b for a, b in void)]
@@ -119,57 +144,74 @@ def normalised(mass: float, n_words: int) -> float:
     return mass / math.log2(2 + n_words / 64)
 
 
-def _words(folded: str) -> set[str]:
-    return set(re.findall(r"[^\W_]+", folded))
+def _words(text: str) -> set[str]:
+    return {fold(w) for w in WORDS.findall(text)}
+
+
+def facts(text: str) -> tuple[int, int, list[str]]:
+    """What learning takes from a text: a hash of its folded form, its kin and its distinct folded words.
+    Texts are kin, as near copies are, that share the least hash of their word triples."""
+    shown, _ = visible(text)
+    folded = fold(shown)
+    w = folded.split()
+    kin = min((xxhash.xxh64_intdigest(" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))), default=0)
+    return xxhash.xxh3_64_intdigest(folded), kin, sorted(_words(shown))
 
 
-def learn(texts: list[tuple[str, int]], least: int = 4, longest: int = 16) -> Lexicon:
-    """Lexicon and scale from (text, label) pairs.
+def beginnings(words: list[tuple[int, set[str]]], least: int, enough: int) -> dict[str, set[int]]:
+    """Word beginnings of ``least`` characters or more, and whole words with a space behind them, with the kins
+    that have them, for those of ``enough`` kins. Longer beginnings are looked at only of what is frequent so
+    far, so there is no limit on their length."""
+    out: dict[str, set[int]] = {}
+    left, size = {w for _, of in words for w in of if len(w) >= least}, least
+    while left:
+        where: dict[str, set[int]] = defaultdict(set)
+        for k, of in words:
+            for w in of & left:
+                for n in range(size, min(len(w), size + 7) + 1):
+                    where[w[:n]].add(k)
+                if len(w) <= size + 7:
+                    where[w + " "].add(k)
+        out |= {w: k for w, k in where.items() if len(k) >= enough}
+        size += 8
+        left = {w for w in left if len(w) >= size and w[: size - 1] in out}
+    return out
+
+
+def choose(rows: list[tuple[int, int, list[str], int]], least: int = 4) -> Lexicon:
+    """The lexicon that (hash, kin, words, label) rows teach.
 
     An entry is a word beginning of ``least`` characters or more that marks label 1: in at least
-    six unrelated positive texts and almost no negative one. Related texts (near copies) count
-    once; they are told by the two smallest hashes of their word triples. Of beginnings that
-    extend each other the longest that loses under a tenth of the positives stays, and it has to
-    be a whole word if it nearly always was one.
+    six unrelated positive texts and almost no negative one. Related texts count once. Of beginnings
+    that extend each other the longest that loses under a tenth of the positives stays, and it has to
+    be a whole word if it nearly always was one. Ties go to the first in order of the alphabet.
     """
-    import xxhash
-
-    def kin(folded: str) -> int:
-        w = folded.split()
-        return min((xxhash.xxh64_intdigest(" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))), default=0)
-
-    seen: dict[int, dict[str, None]] = {0: {}, 1: {}}
-    for text, y in texts:
-        seen[y].setdefault(fold(text))
-    positives = [(kin(t), _words(t)) for t in seen[1]]
-    n_pos, n_neg = len({k for k, _ in positives}), len(seen[0])
-    where: dict[str, set[int]] = defaultdict(set)
-    for k, words in positives:
-        for w in words:
-            for n in range(least, min(len(w), longest) + 1):
-                where[w[:n]].add(k)
-            if len(w) >= least:
-                where[w + " "].add(k)  # with its end
-    enough = max(6, math.ceil(0.004 * n_pos))
-    where = {w: k for w, k in where.items() if len(k) >= enough}
+    seen: dict[int, dict[int, tuple[int, set[str]]]] = {0: {}, 1: {}}
+    for h, kin, words, y in rows:
+        seen[y].setdefault(h, (kin, set(words)))
+    positives, negatives = list(seen[1].values()), [w for _, w in seen[0].values()]
+    n_pos, n_neg = len({k for k, _ in positives}), len(negatives)
+    where = beginnings(positives, least, max(6, math.ceil(0.004 * n_pos)))
+    longest = max((len(w.rstrip(" ")) for w in where), default=0)
     against: Counter = Counter()
-    for t in seen[0]:
-        for w in _words(t):
-            got = {w[:n] for n in range(least, min(len(w), longest) + 1)} | {w + " "}
-            against.update(x for x in got if x in where)
+    for words in negatives:
+        against.update({x for w in words for x in (*(w[:n] for n in range(least, min(len(w), longest) + 1)), w + " ") if x in where})
     share = (n_pos + 1) / (n_pos + n_neg + 2)
 
     def marks(w: str) -> bool:
-        p, n = len(where[w]), against[w] if len(seen[0]) else 0
+        p, n = len(where[w]), against[w] if n_neg else 0
         return n <= 0.02 * p and 2 * p * math.log(p / ((p + n) * share)) >= 20
 
     pure = {w for w in where if not w.endswith(" ") and marks(w)}
+    longer_of: dict[str, list[str]] = defaultdict(list)
+    for w in sorted(pure):
+        longer_of[w[:-1]].append(w)
     lexicon, done = Lexicon(), set()
     for w in sorted(pure, key=lambda w: (len(w), w)):
         if w in done or any(w[:n] in lexicon.stems for n in range(least, len(w))):
             continue
         stem = w
-        while longer := max((x for x in pure if len(x) == len(stem) + 1 and x.startswith(stem)), key=lambda x: len(where[x]), default=""):
+        while longer := max(longer_of[stem], key=lambda x: len(where[x]), default=""):
             if len(where[longer]) < 0.9 * len(where[w]):
                 break
             stem = longer
@@ -181,8 +223,16 @@ def learn(texts: list[tuple[str, int]], least: int = 4, longest: int = 16) -> Le
         else:
             lexicon.stems[stem] = weight
     lexicon.words = {fold(w): x for w, x in SEED_LEXICON.items()} | lexicon.words
-    automaton = lexicon.automaton()
-    masses = sorted((normalised(sum(h[2] for h in hits(automaton, t)), len(t.split())), y) for t, y in texts)
+    return lexicon
+
+
+def mass_of(automaton: ahocorasick.Automaton, text: str) -> float:
+    return normalised(sum(h[2] for h in hits(automaton, text)), len(text.split()))
+
+
+def scaled(lexicon: Lexicon, masses: list[tuple[float, int]]) -> Lexicon:
+    """Sets the scale so that the best cut between (mass, label) pairs scores 0.3."""
+    masses = sorted(masses)
     total, best, cut_at = sum(y for _, y in masses), (-1.0, 0.0), 0.05
     above = total
     for i, (m, y) in enumerate(masses):  # a cut between i and the next value
@@ -191,20 +241,41 @@ def learn(texts: list[tuple[str, int]], least: int = 4, longest: int = 16) -> Le
             f1 = 2 * above / max(1, len(masses) - i - 1 + total)
             if f1 > best[0]:
                 best, cut_at = (f1, m), (m + masses[i + 1][0]) / 2
-    lexicon.scale = cut_at / -math.log(0.7)  # so that the cut scores 0.3
+    lexicon.scale = cut_at / -math.log(0.7)
     return lexicon
 
 
+def learn(texts: list[tuple[str, int]]) -> Lexicon:
+    """Lexicon and scale from (text, label) pairs."""
+    lexicon = choose([(*facts(t), y) for t, y in texts])
+    automaton = lexicon.automaton()
+    return scaled(lexicon, [(mass_of(automaton, t), y) for t, y in texts])
+
+
 def fit(docs: DataFrame, labels: DataFrame, positives: int = 1500, negatives: int = 4500) -> Lexicon:
     """Learns from at most about ``positives`` and ``negatives`` labelled documents, never held-out
-    ones; the sample's texts are what comes to the driver."""
+    ones. Their distinct words and then their masses come to the driver, never a text."""
     chosen = labelled_sample(labels, "toxic", {1: positives, 0: negatives})
-    rows = (
-        docs.select("doc_id", "text").where(F.col("text").isNotNull())
-        .join(F.broadcast(chosen), "doc_id").select("text", "y")
-    )
-    got = rows.toArrow().to_pydict()
-    return learn(sorted(zip(got["text"], got["y"], strict=True)))
+    sample = cut(docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("text", "y"))
+
+    def told(batches):
+        for b in batches:
+            found = [facts(t) for t in b.column("text").to_pylist()]
+            h, kin, words = zip(*found, strict=True) if found else ((), (), ())
+            signed = [np.array(x, np.uint64).view(np.int64) for x in (h, kin)]
+            yield pa.RecordBatch.from_arrays([pa.array(signed[0]), pa.array(signed[1]), pa.array(words, pa.list_(pa.string())), b.column("y")], names=["h", "kin", "words", "y"])
+
+    got = sample.mapInArrow(told, "h bigint, kin bigint, words array<string>, y int").toArrow().to_pylist()
+    lexicon = choose(sorted((r["h"], r["kin"], r["words"], r["y"]) for r in got))
+    spec = (lexicon.words, lexicon.stems, lexicon.exceptions)
+
+    def weigh(batches):
+        automaton = Lexicon(*spec).automaton()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([mass_of(automaton, t) for t in b.column("text").to_pylist()], pa.float64()), b.column("y")], names=["mass", "y"])
+
+    masses = sample.mapInArrow(weigh, "mass double, y int").toArrow().to_pydict()
+    return scaled(lexicon, list(zip(masses["mass"], masses["y"], strict=True)))
 
 
 def score_documents(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame:

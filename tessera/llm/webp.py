@@ -10,8 +10,10 @@ varies (the other channels' codes have one symbol), all bit positions are looked
 only the walk from code to code is a loop; elsewhere pixels are decoded one by one.
 
 The encoder stores bytes as a grey image: subtract-green leaves red and blue 0, alpha is 255, so
-each byte is one green symbol, and a run of equal bytes at the end is a back-reference. Payloads
-of more than ``TILE_ROWS`` rows become several files, one after another.
+each byte is one green symbol; at most 16 different bytes become a palette with several pixels in a
+byte. Repeated stretches and the run at the end are back-references. Payloads of more than
+``TILE_ROWS`` rows become several files, one after another. A colour cache, a predictor or
+cross-colour would only cost here; the decoder has them, and tests write them.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ DISTANCE_MAP = (
     (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 CACHE_FACTOR = 0x1E35A7BD
+LEAST_MATCH = 32  #: bytes of a repeated stretch from which on the encoder refers back to it
+MOST_DISTANCE = (1 << 20) - 120  #: what the 40 distance symbols reach
 
 
 class Damaged(ValueError):
@@ -157,8 +161,10 @@ def _walk(bits: Bits, code: Prefix, most: int) -> np.ndarray:
     left unread. All bit positions of a window are looked up together; the walk takes four codes at
     a step, and what lies between is filled in afterwards."""
     out: list[np.ndarray] = []
+    window = 1 << 11  # small at first: a back-reference may be near
     while most:
-        n = min(bits.end - bits.at, 1 << 18, most * code.width)
+        window = min(window << 1, 1 << 18)
+        n = min(bits.end - bits.at, window, most * code.width)
         if n <= 0:
             break
         first = bits.at >> 3
@@ -551,45 +557,123 @@ def _length_symbol(n: int) -> tuple[int, int, int]:
     return 2 * high + second, n & ((1 << (high - 1)) - 1), high - 1
 
 
+def repeats(flat: np.ndarray, least: int = LEAST_MATCH) -> list[tuple[int, int, int]]:
+    """(start, length, distance) of stretches that stand before, in order and apart; the run at the end
+    is always one. Windows of 16 bytes are sorted by a hash, and where neighbours in the text follow
+    neighbours in it a stretch goes on; each is compared before it counts."""
+    n = len(flat)
+    changes = np.flatnonzero(flat != flat[-1])
+    tail = int(changes[-1]) + 2 if len(changes) else 1
+    out: list[tuple[int, int, int]] = []
+    if tail > 2 * least:
+        data = flat[:tail].tobytes()
+        eight = np.ndarray((tail - 7,), "<u8", data, strides=(1,))
+        key = (eight[:-8] * np.uint64(0x9E3779B97F4A7C15)) ^ ((eight[8:] ^ (eight[8:] >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9))
+        order = np.argsort(key, kind="stable")
+        same = key[order[1:]] == key[order[:-1]]
+        if same.any():
+            at, before = order[1:][same], order[:-1][same]
+            by = np.argsort(at)
+            at, distance = at[by], (at - before)[by]
+            first = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(distance) != 0)]))
+            last = np.concatenate([first[1:], [len(at)]]) - 1
+            kept = np.flatnonzero((last - first + 16 >= least) & (distance[first] <= MOST_DISTANCE))
+            end = 0
+            for start, stop, d in zip(at[first[kept]].tolist(), (at[last[kept]] + 16).tolist(), distance[first[kept]].tolist(), strict=True):
+                start, stop = max(start, end), min(stop, tail)
+                if stop - start >= least and np.array_equal(flat[start:stop], flat[start - d : stop - d]):
+                    out.append((start, stop - start, d))
+                    end = stop
+    if tail < n:
+        out.append((tail, n - tail, 1))
+    return out
+
+
+def _put_single(out: Writer, symbol: int) -> None:
+    one = np.zeros(256, np.int64)
+    one[symbol] = 1
+    _put_code(out, one)
+
+
+def _put_pixels(out: Writer, flat: np.ndarray, alpha: int) -> None:
+    """The entropy-coded image whose greens are ``flat`` and whose reds and blues are 0."""
+    literals, told, at = [], [], 0
+    for start, length, d in repeats(flat):
+        literals.append(flat[at:start].astype(np.int64))
+        code = _length_symbol(2 if d == 1 else d + 120)  # the second short code is the pixel to the left
+        parts = [(_length_symbol(min(4096, length - i)), code) for i in range(0, length, 4096)]
+        told.append(parts)
+        at = start + length
+    rest = flat[at:].astype(np.int64)
+    of_lengths = [256 + x[0] for parts in told for x, _ in parts]
+    green = code_lengths(np.bincount(np.concatenate([*literals, rest, np.array(of_lengths, np.int64)]), minlength=280))
+    distances = [d[0] for parts in told for _, d in parts]
+    far = code_lengths(np.bincount(np.array(distances or [1], np.int64), minlength=40))
+    _put_code(out, green)
+    for only in (0, 0, alpha):
+        _put_single(out, only)
+    _put_code(out, far)
+    green_words, far_words = codewords(green), codewords(far)
+    # a code of one symbol has no bits
+    green_sizes = green * int((green > 0).sum() > 1)
+    far_sizes = far * int((far > 0).sum() > 1)
+    for own, parts in zip(literals, told, strict=True):
+        if len(own):
+            out.all(green_words[own], green_sizes[own])
+        for (s, extra, bits), (d, far_extra, far_bits) in parts:
+            out.put(int(green_words[256 + s]), int(green_sizes[256 + s]))
+            out.put(extra, bits)
+            out.put(int(far_words[d]), int(far_sizes[d]))
+            out.put(far_extra, far_bits)
+    if len(rest):
+        out.all(green_words[rest], green_sizes[rest])
+
+
+def _put_palette(out: Writer, colours: np.ndarray) -> None:
+    """The colour-indexing transform with grey colours, as differences."""
+    out.put(1, 1)
+    out.put(3, 2)
+    out.put(len(colours) - 1, 8)
+    out.put(0, 1)  # no colour cache
+    grey = np.diff(colours.astype(np.int64), prepend=0) % 256
+    alpha = np.array([255] + [0] * (len(colours) - 1))
+    codes = []
+    for values, size in ((grey, 280), (grey, 256), (grey, 256), (alpha, 256)):
+        lengths = code_lengths(np.bincount(values, minlength=size))
+        _put_code(out, lengths)
+        codes.append((codewords(lengths), lengths * int((lengths > 0).sum() > 1), values))
+    _put_single(out, 0)
+    for i in range(len(colours)):
+        for words, sizes, values in codes:
+            out.put(int(words[values[i]]), int(sizes[values[i]]))
+
+
 def encode_grey(samples: np.ndarray) -> bytes:
-    """A WebP file with the rows of ``samples`` (uint8, height x width) as a grey image."""
+    """A WebP file with the rows of ``samples`` (uint8, height x width) as a grey image: by a palette of
+    packed pixels where there are at most 16 values, else by subtract-green; stretches that stand before
+    are back-references."""
     height, width = samples.shape
-    flat = samples.ravel()
-    # the run at the end, with the distance of one pixel (code 2)
-    changes = np.flatnonzero(flat != flat[-1])
-    literal = int(changes[-1]) + 2 if len(changes) else 1
-    rest, runs = len(flat) - literal, []
-    while rest:
-        runs.append(min(4096, rest))
-        rest -= runs[-1]
-    symbols = flat[:literal].astype(np.int64)
-    told = [_length_symbol(n) for n in runs]
-    counts = np.bincount(np.concatenate([symbols, np.array([256 + s for s, _, _ in told], np.int64)]), minlength=280)
-    lengths = code_lengths(counts)
-    words = codewords(lengths)
     out = Writer()
     out.put(width - 1, 14)
     out.put(height - 1, 14)
     out.put(0, 1)
     out.put(0, 3)
-    out.put(1, 1)
-    out.put(2, 2)  # subtract green
-    out.put(0, 1)
+    colours = np.flatnonzero(np.bincount(samples.ravel(), minlength=256))
+    if len(colours) <= 16:
+        _put_palette(out, colours)
+        per = 8 if len(colours) <= 2 else 4 if len(colours) <= 4 else 2
+        index = np.searchsorted(colours, samples)
+        padded = np.zeros((height, -(-width // per) * per), np.int64)
+        padded[:, :width] = index
+        flat = (padded.reshape(height, -1, per) << (np.arange(per) * (8 // per))).sum(2).astype(np.uint8).ravel()
+    else:
+        out.put(1, 1)
+        out.put(2, 2)  # subtract green
+        flat = samples.ravel()
+    out.put(0, 1)  # no more transforms
     out.put(0, 1)  # no colour cache
     out.put(0, 1)  # no meta prefix codes
-    single = (lengths > 0).sum() == 1
-    _put_code(out, lengths)
-    for only in (0, 0, 255, 1):  # red, blue, alpha, distance
-        one = np.zeros(256, np.int64)
-        one[only] = 1
-        _put_code(out, one)
-    if not single:
-        out.all(words[symbols], lengths[symbols])
-    for s, extra, n in told:
-        if not single:
-            out.put(int(words[256 + s]), int(lengths[256 + s]))
-        if n:
-            out.put(extra, n)
+    _put_pixels(out, flat, 255)
     body = b"\x2f" + out.data()
     body += bytes(len(body) & 1)
     return b"RIFF" + struct.pack("<I", 12 + len(body)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body

@@ -258,3 +258,36 @@ def test_columns(odd, empty):
         assert r["payload_sha256"] == hashlib.sha256(padded).hexdigest() and r["tail_crc32"] == zlib.crc32(padded[-32:])
     assert len({(r["media_sha256"], r["feature"]) for r in rows if r["doc_id"] in (1, 2)}) == 1
     assert W.pixel_facts(W.image_columns(empty)).count() == 0
+
+
+def test_repeats():
+    """Every stretch stands before, they lie apart and in order, and long copies are found."""
+    draw = np.random.default_rng(2)
+    own = draw.integers(0, 256, 700, dtype=np.uint8)
+    for flat in (np.tile(own, 4), np.concatenate([own, own[100:400], own[::-1], own[50:90]]), np.tile(own[:33], 60), np.full(5000, 7, np.uint8), draw.integers(0, 2, 3000, dtype=np.uint8)):
+        found, end = W.repeats(flat), 0
+        for start, length, d in found:
+            assert start >= max(end, d) and d > 0 and (flat[start : start + length] == flat[start - d : start - d + length]).all()
+            end = start + length
+        assert end <= len(flat)
+    assert sum(n for _, n, _ in W.repeats(np.tile(own, 4))) == 2100
+    assert W.repeats(draw.permutation(256).astype(np.uint8)) == []
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 5, 16, 17, 200])
+def test_alphabets(size):
+    """Palettes of every width of packed pixels, and none beyond 16 colours."""
+    draw = np.random.default_rng(size)
+    payload = draw.choice(draw.permutation(256)[:size], 576 * 5).astype(np.uint8)
+    payload[:size] = np.unique(payload)[0] if size == 1 else payload[:size]
+    media = W.store(payload.tobytes())
+    assert W.load(media).tobytes() == payload.tobytes()
+    bits = W.Bits(media[21:])
+    bits.at = 32
+    assert (bits.read(1), bits.read(2)) == (1, 3 if len(np.unique(payload)) <= 16 else 2)
+
+
+def test_repeated_text_is_small():
+    line = b"a line that stands in this document again and again, word for word\n"
+    once, often = W.store(W.pad(line * 9)), W.store(W.pad(line * 900))
+    assert len(often) < len(once) + 200 and W.load(often).tobytes() == W.pad(line * 900)

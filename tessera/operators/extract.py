@@ -31,6 +31,8 @@ SCHEMAS = {
     "types": "path string, line int, kind string, name string, " + GENERICS + ", value string, field_types array<string>, attributes array<string>, is_pub boolean, in_block boolean, modifiers array<string>, variants array<string>",
     "loc": "path string, spec int, proof int, exec int, rust int, total int",
     "tokens": "path string, idx int, kind string, text string, start int, end int, depth int, in_block boolean",
+    "blocks": "path string, start int, end int, line_s int, line_e int, module string",
+    "paths": "path string, seq int, text string, line_s int, col_s int, line_e int, col_e int",
     "findings": "path string, line int, severity string, hole_type string, context string, countable boolean",
 }
 #: Words that may stand before ``fn``.
@@ -454,7 +456,60 @@ def _outside_findings(s: Source, lines: list[str], row: Callable) -> Iterator[di
             yield row(t, "E", "bare_impl")
 
 
-EXTRACTORS: dict[str, Callable[[str], Iterator[dict]]] = {"fns": fns, "impls": impls, "traits": traits, "types": types, "loc": loc, "tokens": token_rows, "findings": findings}
+def block_rows(text: str) -> Iterator[dict]:
+    """The extents of blocks between their braces, and the innermost module around each (EX11)."""
+    s = Source(text)
+    bodies = [(s.toks[i + 2].start, s.toks[match(s.toks, i + 2)].end, s.toks[i + 1].text) for i, t in enumerate(s.toks[:-2]) if t.text == "mod" and s.toks[i + 2].text == "{"]
+    for a, b in s.blocks:
+        around = [m for m in bodies if m[0] < a and b < m[1]]
+        yield {"start": a, "end": b, "line_s": s.lines.line(a), "line_e": s.lines.line(b), "module": max(around)[2] if around else None}
+
+
+def path_rows(text: str) -> Iterator[dict]:
+    """One path of ``tag{value}`` segments for each item of a block, with its span: lines from 1, columns from
+    0, the end after the last character (EX38). Functions stand below the trait or impl that has them; a
+    closing brace in a value is escaped. Parts of functions and statements have no paths of their own."""
+    s, seq = Source(text), 0
+    toks, owners = s.toks, []
+    modules = [(a, b, m) for r in block_rows(text) for a, b, m in [(r["start"], r["end"], r["module"])]]
+
+    def row(segments: list[str], first: int, last: int) -> dict:
+        nonlocal seq
+        seq += 1
+        a, b = toks[first], toks[min(last, len(toks) - 1)]
+        return {"seq": seq, "text": " ".join(segments), "line_s": s.line(a), "col_s": s.lines.column(a.start), "line_e": s.lines.line(b.end - 1), "col_e": s.lines.column(b.end - 1) + 1}
+
+    def tag(name: str, value: str) -> str:
+        return name + "{" + value.replace("}", "\\}") + "}"
+
+    for i, t in enumerate(toks):
+        if t.kind != "word" or not s.inside(t) or i + 1 >= len(toks):
+            continue
+        around = [o for o in owners if o[0] < i < o[1]]
+        base = [tag("module", "mod " + m) for a, b, m in modules if m and a <= t.start < b][:1]
+        named = toks[i + 1].kind == "word"
+        if t.text == "fn" and named and (f := s.signature(i)):
+            yield row([*base, *(around[-1][2] if around else []), tag("fn", "fn " + f["name"])], f["first"], f["end"])
+        elif t.text in ("struct", "enum", "type") and named and not around:
+            end = s.until(i + 2, "{", ";")
+            end = match(toks, end) if end < len(toks) and toks[end].text == "{" else end
+            name = {"struct": "struct_ident", "enum": "enum", "type": "type"}[t.text]
+            yield row([*base, tag(name, toks[i + 1].text if t.text == "struct" else f"{t.text} {toks[i + 1].text}")], s.before(i)[2], end)
+        elif t.text == "trait" and named or t.text == "impl" and toks[i - 1].text not in ("->", ":", "(", "<", ",", "&", "=", "+"):
+            head = s.impl_head(i) if t.text == "impl" else None
+            brace = head["brace"] if head else s.until(i + 1, "{", ";") if t.text == "trait" else len(toks)
+            if brace >= len(toks) or toks[brace].text != "{":
+                continue
+            if head:
+                segments = ["impl{}", *([tag("impl_trait", head["trait_name"])] if head["trait_name"] else []), tag("impl_type", head["for_type"])]
+            else:
+                segments = [tag("trait", "trait " + toks[i + 1].text)]
+            end = match(toks, brace)
+            owners.append((brace, end, segments))
+            yield row([*base, *segments], s.before(i)[2], end)
+
+
+EXTRACTORS: dict[str, Callable[[str], Iterator[dict]]] = {"fns": fns, "impls": impls, "traits": traits, "types": types, "loc": loc, "tokens": token_rows, "findings": findings, "blocks": block_rows, "paths": path_rows}
 NEEDS = {"fns": r"\bfn\b", "impls": r"\bimpl\b", "traits": r"\btrait\b"}
 
 
@@ -497,3 +552,15 @@ def comments(files: DataFrame) -> DataFrame:
     own = F.trim("text")
     kind = F.when(own.rlike("^///(?!/)"), "doc").when(F.startswith(own, F.lit("//!")), "inner").when(F.startswith(own, F.lit("//")), "plain")
     return lines(files).withColumn("kind", kind).where(F.col("kind").isNotNull()).select("path", "line_no", "text", "kind")
+
+
+def path_lines(paths: DataFrame) -> DataFrame:
+    """(path, seq, value): a line of a path file for each path (SK5); :func:`tessera.sources.files.spans_of_paths`
+    reads them back."""
+    value = F.format_string("file{%s} %s %d:%d-%d:%d", F.replace("path", F.lit("}"), F.lit("\\}")), "text", "line_s", "col_s", "line_e", "col_e")
+    return paths.select("path", "seq", value.alias("value"))
+
+
+def write_path_files(paths: DataFrame, folder: str) -> None:
+    """One directory of path lines for each source, in the order of the source (SK5)."""
+    path_lines(paths).repartition("path").sortWithinPartitions("path", "seq").select("path", "value").write.mode("overwrite").partitionBy("path").text(folder)

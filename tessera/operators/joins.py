@@ -18,6 +18,13 @@ def covered_and_gaps(usage: DataFrame, coverage: DataFrame, *keys: str) -> tuple
     return usage.join(known, list(keys), "left_semi"), usage.join(known, list(keys), "left_anti")
 
 
+def within(sets: DataFrame, key: str, item: str, known: DataFrame) -> DataFrame:
+    """The keys all of whose items are in ``known`` (item); a key with a null item only has none and counts."""
+    items = sets.where(F.col(item).isNotNull())
+    lacking = items.join(known.select(F.col(known.columns[0]).alias(item)).distinct(), item, "left_anti").select(key).distinct()
+    return sets.select(key).distinct().join(lacking, key, "left_anti")
+
+
 def fallback_lookup(items: DataFrame, keys: list[Column], table: DataFrame, key: str, value: str, default: Column, name: str = "status") -> DataFrame:
     """``items`` with the value of the first of ``keys`` that the table has; one equi-join for each
     key against a deduplicated table, so nothing multiplies."""

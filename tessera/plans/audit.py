@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.lineage import cut
 from tessera.operators.aggregates import percent_floor
 from tessera.operators.extract import dependencies, facts
 from tessera.operators.joins import prefix_join
@@ -50,8 +51,8 @@ def next_targets(status: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def audit(files: DataFrame) -> dict[str, DataFrame]:
-    found = facts(files, "findings").persist()
-    status = file_status(found, files).persist()
+    found = cut(facts(files, "findings"))
+    status = cut(file_status(found, files))
     return {
         "findings": found, "status": status, "rollup": rollup(status), "by_type": found.groupBy("hole_type", "severity").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "hole_type"),
         "dependencies": holed_dependencies(status, files), "targets": next_targets(status, files),

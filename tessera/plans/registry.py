@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions.predicates import name_match, text_match
 from tessera.operators import aggregates, edits, joins, windows
 from tessera.operators.extract import facts
-from tessera.plans import coverage
+from tessera.plans import coverage, reviews
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -56,7 +56,7 @@ SELECT source, count(*) AS n_lines, count(*) FILTER (WHERE trim(line) = '') AS n
  count(*) FILTER (WHERE trim(line) <> '' AND NOT regexp_matches(trim(line), '^(//|/\\*|\\*)')) AS n_code,
  count(DISTINCT doc_id) AS n_docs FROM lines GROUP BY source""")
 def scan_lines_class(spark, sf_dir):
-    """Line scan and line classes, rolled up by source (SC1, EX44, PR23, AG22)."""
+    """Lines and their classes, rolled up by source (PR23)."""
     own = F.trim("line")
     comment, blank = own.rlike(r"^(//|/\*|\*)"), own == ""
     return lines_of(t(spark, sf_dir, "documents")).groupBy("source").agg(
@@ -94,7 +94,7 @@ def text_wildcard_and_or(spark, sf_dir):
 SELECT o_orderkey, o_orderstatus, n FROM o JOIN orders ON l_orderkey = o_orderkey
 WHERE n >= 2 AND list_contains(flags, 'R') AND list_contains(flags, 'N') AND most > 30 AND cheap AND o_orderpriority LIKE '%URGENT%'""")
 def fn_filter_conjunction(spark, sf_dir):
-    """A conjunction over array and struct members (PR9, PR10: size, contains, exists, text)."""
+    """A conjunction over array and struct members, with a text predicate (PR3); the filters of the pattern language run in src_search."""
     members = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_returnflag", "l_quantity", "l_discount")).alias("members"))
     flags = F.transform("members", lambda m: m["l_returnflag"])
     kept = members.where((F.size("members") >= 2) & F.array_contains(flags, "R") & F.array_contains(flags, "N") & F.exists("members", lambda m: m["l_quantity"] > 30) & F.exists("members", lambda m: m["l_discount"] > 0.05))
@@ -120,7 +120,7 @@ def def_union(spark, sf_dir):
 x AS (SELECT p_brand, p_partkey, EXISTS (SELECT 1 FROM used WHERE l_partkey = p_partkey) AS c FROM part)
 SELECT p_brand, count(*) FILTER (WHERE c) AS n_covered, count(*) FILTER (WHERE NOT c) AS n_gap, floor(count(*) FILTER (WHERE c) * 100 / count(*))::BIGINT AS percent FROM x GROUP BY p_brand""")
 def covered_gap_semi_anti(spark, sf_dir):
-    """Covered items and gaps (J1, J2, SE2, SE3, AG5, AG15)."""
+    """Covered items and gaps (J1, SE2, SE3, AG5)."""
     used = t(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
     covered, gaps = joins.covered_and_gaps(t(spark, sf_dir, "part").select("p_partkey", "p_brand"), used, "p_partkey")
     both = covered.select("p_brand", F.lit(1).alias("c")).unionByName(gaps.select("p_brand", F.lit(0).alias("c")))
@@ -131,7 +131,7 @@ def covered_gap_semi_anti(spark, sf_dir):
 @query("""SELECT d.doc_id, coalesce(CAST(l.quality AS VARCHAR), CAST(m.quality AS VARCHAR), 'unknown') AS status FROM documents d
 LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN labels m ON m.doc_id = d.doc_id % 100""")
 def lookup_fallback(spark, sf_dir):
-    """A lookup with fallback keys in order."""
+    """A lookup with fallback keys in order."""
     labels = t(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
     docs = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
     out = joins.fallback_lookup(docs, [F.col("id"), F.col("id") % 100], labels, "doc_id", "quality", F.lit("unknown"))
@@ -151,7 +151,7 @@ d AS (SELECT DISTINCT split_part(path, '/', 1) AS dep FROM m)
 SELECT dep, count(*) AS n_modules, count(*) FILTER (WHERE page_id % 7 = 0) AS n_holed, count(*) FILTER (WHERE page_id % 7 = 0) = 0 AS clean
 FROM d JOIN m ON path = dep OR starts_with(path, dep || '/') GROUP BY dep""")
 def prefix_join_clean_deps(spark, sf_dir):
-    """Dependencies against modules at or below them, and which have only clean ones (J7, J8, J9, J22, AG1, AG3)."""
+    """Dependencies against modules at or below them, and which have only clean ones (J7, J8, AG1)."""
     m = t(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("path"))
     d = m.select(F.split("path", "/")[0].alias("dep")).distinct()
     holed = F.count_if(F.col("page_id") % 7 == 0)
@@ -211,7 +211,7 @@ def classification_patch(spark, sf_dir):
 @query("""SELECT user_id, event_type, count(*) AS n, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)::BIGINT AS n_errors, floor(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) * 100 / count(*))::BIGINT AS percent,
 grouping(user_id, event_type)::BIGINT AS level FROM events GROUP BY ROLLUP (user_id, event_type)""")
 def hole_rollup(spark, sf_dir):
-    """Findings from type to owner to all, with counts and cut percentages (AG1-AG5, SO6)."""
+    """Rows from type to owner to all, with counts and cut percentages (AG1, AG2, AG4, AG5)."""
     errors = F.count_if(F.col("event_type") == "error")
     return t(spark, sf_dir, "events").rollup("user_id", "event_type").agg(
         F.count("*").alias("n"), errors.alias("n_errors"), aggregates.percent_floor(errors, F.count("*")).alias("percent"), F.grouping_id().alias("level")
@@ -230,7 +230,7 @@ def priority_merge(spark, sf_dir):
 @query("""SELECT l_returnflag, count(*) AS n, count(*) FILTER (WHERE l_linestatus = 'O') AS n_open, count(*) FILTER (WHERE l_discount > 0.05) AS n_cheap, count(*) FILTER (WHERE l_tax = 0) AS n_untaxed,
 count(*) FILTER (WHERE l_quantity > 25 AND l_discount > 0.05) AS n_both, CASE WHEN count(*) FILTER (WHERE l_tax = 0) = 0 THEN 0.0 ELSE count(*) FILTER (WHERE l_linestatus = 'O')::DOUBLE / count(*) FILTER (WHERE l_tax = 0) END AS ratio FROM lineitem GROUP BY l_returnflag""")
 def cond_counts(spark, sf_dir):
-    """Conditional counts and a ratio guarded against nothing (AG7, AG27-AG29)."""
+    """Conditional counts and a ratio guarded against nothing (AG7)."""
     opened, untaxed = F.count_if(F.col("l_linestatus") == "O"), F.count_if(F.col("l_tax") == 0)
     return t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
         F.count("*").alias("n"), opened.alias("n_open"), F.count_if(F.col("l_discount") > 0.05).alias("n_cheap"), untaxed.alias("n_untaxed"),
@@ -255,7 +255,7 @@ UNION ALL SELECT g.rank + 1, b.item, b.gain, g.cumulative + b.gain, list_concat(
  SELECT u.item, count(*) AS gain, list(u.project) AS ps FROM u WHERE NOT list_contains(g.done, u.project) GROUP BY u.item ORDER BY gain DESC, item DESC LIMIT 1) b)
 SELECT rank::BIGINT AS rank, item, gain, cumulative FROM g WHERE rank > 0""")
 def greedy_touch(spark, sf_dir):
-    """Greedy cover: the item that touches most projects, again and again (AG12, AG14, T10, W5)."""
+    """Greedy cover: the item that touches most projects, again and again (AG12, T10, W5)."""
     return aggregates.greedy_touch(_usage(spark, sf_dir)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -267,7 +267,7 @@ UNION ALL SELECT g.rank + 1, b.item, b.gain, g.cumulative + b.gain, list_append(
  WHERE NOT list_contains(g.done, n.item) GROUP BY n.item, n.used ORDER BY gain DESC, used DESC, n.item LIMIT 1) b)
 SELECT rank::BIGINT AS rank, item, gain, cumulative FROM g WHERE rank > 0""")
 def greedy_full(spark, sf_dir):
-    """Greedy full support: the item that completes most projects (AG13, AG14, T11)."""
+    """Greedy full support: the item that completes most projects (AG13, T11)."""
     return aggregates.greedy_full(_usage(spark, sf_dir)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -284,13 +284,38 @@ def topk_remainder_bands(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT c_custkey, count(o_orderkey) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, sum(CASE WHEN o_orderstatus = 'P' THEN 1 END)::BIGINT AS p FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey)
-SELECT c_custkey, n, p, CASE WHEN n = 0 THEN 'Empty' WHEN o > 0 AND f = 0 THEN 'Blocked' WHEN f = n THEN 'Verified' WHEN o = 0 THEN 'Ported' ELSE 'Partial' END AS state FROM c""")
+SELECT c_custkey, n, p, CASE WHEN n = 0 THEN 'Empty' WHEN coalesce(p, 0) = n THEN 'Blocked' WHEN o = n THEN 'Ported' WHEN f = n THEN 'Verified' WHEN f > 0 THEN 'Partial' ELSE 'Blocked' END AS state FROM c""")
 def state_machine(spark, sf_dir):
-    """A group's state from its counts, missing totals staying missing (AG24, AG25, AG26)."""
-    o = t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("f"), F.count_if(F.col("o_orderstatus") == "O").alias("o"), F.sum(F.when(F.col("o_orderstatus") == "P", 1)).alias("p"))
-    n, f, opened = (F.coalesce(c, F.lit(0)) for c in ("n", "f", "o"))
-    state = F.when(n == 0, "Empty").when((opened > 0) & (f == 0), "Blocked").when(f == n, "Verified").when(opened == 0, "Ported").otherwise("Partial")
-    return t(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", n.alias("n"), "p", state.alias("state"))
+    """A group's state from its counts, by the review's own rule, missing totals staying missing (AG24, AG25, AG26)."""
+    count = lambda status: F.count_if(F.col("o_orderstatus") == status)
+    o = t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), count("F").alias("f"), count("O").alias("o"), F.sum(F.when(F.col("o_orderstatus") == "P", 1)).alias("p"))
+    n, f, opened, pending = (F.coalesce(c, F.lit(0)) for c in ("n", "f", "o", "p"))
+    return t(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", n.alias("n"), "p", reviews.state(f, opened, pending).alias("state"))
+
+
+@query(f"""WITH c AS ({ORACLE_SQL['greedy_touch']}), n AS (SELECT count(DISTINCT l_suppkey) AS total FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 48),
+g AS (SELECT target, ceil(target * total / 100.0)::BIGINT AS needed FROM n, (SELECT unnest([50, 70, 80, 90, 95, 99, 100]) AS target))
+SELECT target::BIGINT AS target, needed, min(rank) AS rank FROM g LEFT JOIN c ON cumulative >= needed GROUP BY target, needed""")
+def cover_milestones(spark, sf_dir):
+    """The first rank of a greedy cover that reaches each share of all projects (AG14, FN25)."""
+    usage = _usage(spark, sf_dir)
+    found = aggregates.milestones(aggregates.greedy_touch(usage), usage.select("project").distinct().count(), (50, 70, 80, 90, 95, 99, 100))
+    return found.select(F.col("target").cast("bigint").alias("target"), "needed", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("""WITH k AS (SELECT DISTINCT p_brand, p_type FROM part WHERE p_size < 40), u AS (SELECT DISTINCT l_suppkey, p_brand, p_type FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49),
+m AS (SELECT u.*, k.p_type IS NOT NULL AS c FROM u LEFT JOIN k USING (p_brand, p_type))
+SELECT p_brand AS name, count(DISTINCT p_type) FILTER (WHERE c) AS n_covered, count(DISTINCT p_type) FILTER (WHERE NOT c) AS n_gap FROM m GROUP BY p_brand UNION ALL SELECT 'within', count(*), 0 FROM (SELECT l_suppkey FROM m GROUP BY l_suppkey HAVING bool_and(c))""")
+def covered_members(spark, sf_dir):
+    """Members of each type with and without a specification, by two keys, and who needs none of the gaps (J2, SE5)."""
+    part = t(spark, sf_dir, "part")
+    used = t(spark, sf_dir, "lineitem").where("l_quantity > 49").join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "p_brand", "p_type").distinct()
+    known = part.where("p_size < 40").select("p_brand", "p_type").distinct()
+    covered, gaps = joins.covered_and_gaps(used.select("p_brand", "p_type").distinct(), known, "p_brand", "p_type")
+    both = covered.withColumn("c", F.lit(1)).unionByName(gaps.withColumn("c", F.lit(0))).groupBy("p_brand").agg(F.sum("c").alias("n_covered"), F.sum(1 - F.col("c")).alias("n_gap"))
+    pair = F.concat_ws("|", "p_brand", "p_type")
+    whole = joins.within(used.select("l_suppkey", pair.alias("item")), "l_suppkey", "item", known.select(pair.alias("item")))
+    return both.select(F.col("p_brand").alias("name"), "n_covered", "n_gap").unionByName(whole.agg(F.lit("within").alias("name"), F.count("*").alias("n_covered"), F.lit(0).cast("bigint").alias("n_gap")))
 
 
 # -- windows
@@ -325,7 +350,7 @@ def brace_depth(spark, sf_dir):
 @query("""SELECT event_id, coalesce(max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) = 1, false) AS error_before,
 max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) = 1 AS purchase_ahead FROM events""")
 def lookback_lookahead(spark, sf_dir):
-    """Flags over rows back and ahead: function modes and accepted findings (W9, PR18, T25, T28)."""
+    """Flags over rows back and ahead."""
     keys, order = ["user_id"], ["ts", "event_id"]
     back = windows.window_flag(t(spark, sf_dir, "events"), keys, order, F.col("event_type") == "error", 10, -1, "error_before")
     return windows.window_flag(back, keys, order, F.col("event_type") == "purchase", 0, 2, "purchase_ahead").select("event_id", "error_before", "purchase_ahead")
@@ -337,7 +362,7 @@ def lookback_lookahead(spark, sf_dir):
 @query(r"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="?([^"> ]+)', 1)) AS href FROM pages)
 SELECT DISTINCT page_id, href, CASE WHEN contains(href, '/') THEN regexp_replace(href, '/[^/]*$', '') ELSE '' END AS parent, regexp_replace(href, '^.*/', '') AS last FROM h""")
 def dep_regex_extract(spark, sf_dir):
-    """Dependencies by regular expression, their last segment dropped (EX21, EX24, EX25, FN6, SE4)."""
+    """Links by regular expression with their parent and last segment (FN6, SE4); dependencies of sources are in src_dependencies."""
     h = t(spark, sf_dir, "pages").select("page_id", F.explode(F.expr("""regexp_extract_all(html, r'href="?([^"> ]+)', 1)""")).alias("href"))
     parent = F.when(F.contains("href", F.lit("/")), F.regexp_replace("href", "/[^/]*$", "")).otherwise("")
     return h.distinct().select("page_id", "href", parent.alias("parent"), F.element_at(F.split("href", "/"), -1).alias("last"))
@@ -345,7 +370,7 @@ def dep_regex_extract(spark, sf_dir):
 
 @query("""SELECT class, count(*) AS n, min(p_name) AS first_name FROM (SELECT p_name, CASE WHEN contains(lower(p_name), 'box') THEN 'sequence' WHEN contains(lower(p_name), 'red') THEN 'set' WHEN contains(lower(p_name), 'e') THEN 'map' ELSE 'other' END AS class FROM part) GROUP BY class""")
 def axiom_class(spark, sf_dir):
-    """Classes by the first keyword that is found, and their counts (FN13, AG20, AG21, T14, T15)."""
+    """Classes by the first keyword that is found, and their counts (AG20); classes of axioms are in src_axioms."""
     name = F.lower("p_name")
     kind = F.when(F.contains(name, F.lit("box")), "sequence").when(F.contains(name, F.lit("red")), "set").when(F.contains(name, F.lit("e")), "map").otherwise("other")
     return t(spark, sf_dir, "part").select("p_name", kind.alias("class")).groupBy("class").agg(F.count("*").alias("n"), F.min("p_name").alias("first_name"))
@@ -353,13 +378,13 @@ def axiom_class(spark, sf_dir):
 
 @query("""SELECT event_type, count(*) AS n, count(json_extract_string(props, '$.k')) AS n_k, min(length(props)) AS shortest FROM events GROUP BY event_type""")
 def json_section_totals(spark, sf_dir):
-    """Totals of JSON members by section (FN24, AG19)."""
+    """Totals of JSON members by section (FN24)."""
     return t(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count(F.get_json_object("props", "$.k")).alias("n_k"), F.min(F.length("props")).cast("bigint").alias("shortest"))
 
 
 @query(r"""SELECT p_partkey, replace(p_type, ' ', '::') AS module, split_part(p_type, ' ', 1) AS chapter, CASE WHEN length(p_name) > 12 THEN left(p_name, 9) || '...' ELSE p_name END AS snippet, format('{:,}', p_partkey * 1000) AS shown, try_cast(regexp_extract(p_brand, '(\d+)', 1) AS BIGINT) AS number FROM part""")
 def scalar_functions(spark, sf_dir):
-    """Paths to modules, chapters, snippets, separators, numbers in names (FN1, FN4, FN5, FN11, W13)."""
+    """Paths to modules, chapters, snippets, separators (FN1, FN4, FN5, FN11)."""
     return t(spark, sf_dir, "part").select(
         "p_partkey", F.replace("p_type", F.lit(" "), F.lit("::")).alias("module"), F.split("p_type", " ")[0].alias("chapter"),
         F.when(F.length("p_name") > 12, F.concat(F.left("p_name", F.lit(9)), F.lit("..."))).otherwise(F.col("p_name")).alias("snippet"),
@@ -370,7 +395,7 @@ def scalar_functions(spark, sf_dir):
 @query("""WITH a AS (SELECT s_nationkey AS k FROM supplier), b AS (SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000)
 SELECT 'both' AS side, k::BIGINT AS k FROM (SELECT k FROM a INTERSECT SELECT k FROM b) UNION ALL SELECT 'only suppliers', k FROM (SELECT k FROM a EXCEPT SELECT k FROM b)""")
 def set_operations(spark, sf_dir):
-    """Intersection and difference (SE2, SE3, SE5)."""
+    """Intersection and difference (SE2, SE3)."""
     a = t(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("bigint").alias("k"))
     b = t(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").cast("bigint").alias("k"))
     return a.intersect(b).select(F.lit("both").alias("side"), "k").unionByName(a.subtract(b).select(F.lit("only suppliers").alias("side"), "k"))
@@ -390,18 +415,6 @@ def edit_fold(spark, sf_dir):
     return edits.apply_edits(docs, own).select(F.col("path").cast("bigint").alias("doc_id"), "content")
 
 
-@query("""SELECT page_id, len(regexp_extract_all(html, '[A-Za-z_][A-Za-z0-9_]*')) AS n_words FROM pages WHERE NOT regexp_matches(html, '["'']|//|/[*]|[^\\x00-\\x7f]|[0-9]')
-UNION ALL SELECT item_id, len(regexp_extract_all(text, '[A-Za-z_]+')) FROM benchmark WHERE NOT regexp_matches(text, '["'']|//|/[*]|[^\\x00-\\x7f]|[0-9]')""")
-def lexer_words(spark, sf_dir):
-    """Words that the source lexer finds in texts without quotes, comments and digits (EX43, W3)."""
-    plain = ~F.col("content").rlike(r"[\"']|//|/[*]|[^\x00-\x7f]|[0-9]")
-    pages = t(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("content"))
-    items = t(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id")).alias("path"), F.col("text").alias("content"))
-    both = pages.unionByName(items).where(plain)
-    words = facts(both, "tokens").where("kind = 'word'").groupBy("path").agg(F.count("*").alias("n"))
-    return both.join(words, "path", "left").select(F.regexp_replace("path", "^b", "").cast("bigint").alias("page_id"), F.coalesce("n", F.lit(0)).alias("n_words"))
-
-
 @query(None)
 def lexer_tokens(spark, sf_dir):
     """Tokens by kind, comments left out, that the source lexer finds in every page and benchmark text (EX43, W3)."""

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def markdown(df: DataFrame, title: str, most: int = 1000) -> str:
-    """A table of at most ``most`` rows in the order of ``df``, and how many more there are (SK2)."""
+def markdown(df: DataFrame, title: str, most: int) -> str:
+    """A table of the first ``most`` rows, the caller's choice for a page, and how many more there are (SK2)."""
     rows = df.limit(most + 1).collect()
     head = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     body = ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|").replace("\n", " ") for v in r) + " |" for r in rows[:most]]

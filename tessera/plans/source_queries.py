@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from tessera.functions import text
 from tessera.lineage import cut
 from tessera.operators import edits, fixes
-from tessera.operators.extract import comments, dependencies, facts
+from tessera.operators.extract import comments, dependencies, facts, path_lines
 from tessera.plans import audit, coverage, inventory, minimize, reviews, style, triggers
 from tessera.plans.generated import FILES_SQL, FINDINGS_SQL, FNS_SQL, LIBRARY_SQL, LINES_SQL, library, sources
 from tessera.plans.registry import query
 from tessera.plans.search import fact_tables, search
-from tessera.sources.files import markdown_table, scanned, spans_of_paths, usage_log
+from tessera.sources.files import lines, markdown_table, scanned, spans_of_paths, usage_log
 from tessera.sources.projects import commented_modules, gated_modules, kind_of, loc_rollup, module_files, projects
 
 
@@ -600,3 +600,67 @@ def src_style(spark, sf_dir):
     """The 25 style rules over every file: how often each fails (PR28, EX39, J21, W1, W10, SO11)."""
     rows = style.style(sources(spark, sf_dir))
     return rows.groupBy("path", F.col("rule").cast("bigint").alias("rule")).agg(F.count_if(~F.col("ok")).alias("n_bad"))
+
+
+# -- paths, blocks and compiler items
+
+
+@query(f"""WITH {LINES_SQL}, l AS (SELECT path, pad, k, text, line_no - pad AS b FROM lines), n AS (SELECT path, b, length(text) AS n FROM l)
+, p AS (SELECT path, pad, k, 8 AS a, 8 AS z, 'struct_ident{{S' || (k % 9) || '}}' AS text FROM files UNION ALL SELECT path, pad, k, 9, 9, 'enum{{enum E' || (k % 4) || '}}' FROM files UNION ALL SELECT path, pad, k, 10, 10, 'type{{type T' || (k % 8) || '}}' FROM files
+ UNION ALL SELECT path, pad, k, 12, 15, 'trait{{trait R' || (k % 10) || '}}' FROM files UNION ALL SELECT path, pad, k, 16, 18, 'impl{{}} impl_trait{{R' || (k % 10) || '}} impl_type{{S' || (k % 9) || '<T>}}' FROM files
+ UNION ALL SELECT path, pad, k, 13, 13, 'trait{{trait R' || (k % 10) || '}} fn{{fn inv}}' FROM files UNION ALL SELECT path, pad, k, 14, 14, 'trait{{trait R' || (k % 10) || '}} fn{{fn size}}' FROM files
+ UNION ALL SELECT path, pad, k, 17, 17, 'impl{{}} impl_trait{{R' || (k % 10) || '}} impl_type{{S' || (k % 9) || '<T>}} fn{{fn inv}}' FROM files
+ UNION ALL SELECT path, pad, k, 19, 19, CASE WHEN k % 3 = 0 THEN 'impl{{}} impl_trait{{Send}} impl_type{{E' ELSE 'impl{{}} impl_type{{E' END || (k % 4) || '}}' FROM files
+ UNION ALL SELECT path, pad, k, 20, 26, 'fn{{fn f_' || (k % 11) || '_' || c || '}}' FROM files UNION ALL SELECT path, pad, k, 28, 28, 'fn{{fn rec_' || (k % 12) || '}}' FROM files UNION ALL SELECT path, pad, k, 29, 29, 'fn{{fn lemma_' || (k % 6) || '_len}}' FROM files
+ UNION ALL SELECT path, pad, k, 30, 30, 'fn{{fn ' || CASE WHEN k % 3 = 1 THEN 'plain' ELSE 'axiom_' || CASE WHEN k % 9 < 3 THEN 'seq' WHEN k % 9 < 6 THEN 'mul' ELSE 'zzz' END END || '_' || (k % 5) || '}}' FROM files
+ UNION ALL SELECT path, pad, k, 31, 31, 'fn{{fn ' || CASE WHEN k % 2 = 0 THEN 'wf_' ELSE 'ok_' END || (k % 4) || '}}' FROM files UNION ALL SELECT path, pad, k, 33, 33, 'fn{{fn main_' || (k % 3) || '}}' FROM files)
+, q AS (SELECT path, pad, k, a, z, text, CASE WHEN a IN (13, 14, 17) THEN 4 ELSE 0 END AS col_s, 0 AS less FROM p
+ UNION ALL SELECT path, pad, k, 19, 19, 'impl{{}} impl_type{{E' || (k % 4) || '}} fn{{fn ' || CASE WHEN k % 3 = 1 THEN 'help' ELSE 'new' END || '}}', 10, 2 FROM files WHERE k % 3 > 0
+ UNION ALL SELECT path, pad, k, 34, 34, 'impl{{}} impl_trait{{' || CASE k % 4 WHEN 0 THEN 'Debug' WHEN 1 THEN 'RwLockPredicate' ELSE 'View' END || '}} impl_type{{' || CASE WHEN k % 4 = 1 THEN 'E1' ELSE 'S' || (k % 9) || '<u8>' END || '}}', 0, 0 FROM files WHERE k % 4 < 3
+ UNION ALL SELECT path, pad, k, 34, 34, 'impl{{}} impl_trait{{RwLockPredicate}} impl_type{{E1}} fn{{fn inv}}', 30, 2 FROM files WHERE k % 4 = 1
+ UNION ALL SELECT path, pad, k, 34, 34, 'impl{{}} impl_trait{{View}} impl_type{{S' || (k % 9) || '<u8>}} fn{{fn view}}', 41, 2 FROM files WHERE k % 4 = 2)
+SELECT q.path, text, q.pad + a - CASE WHEN a = 8 AND k % 6 = 0 THEN 1 WHEN a = 28 AND k % 4 < 2 THEN 1 ELSE 0 END AS line_s, col_s::BIGINT AS col_s, q.pad + z AS line_e, n.n - less AS col_e FROM q JOIN n ON n.path = q.path AND n.b = q.z""")
+def src_paths(spark, sf_dir):
+    """Paths of items with their spans, written as lines and read back (EX38, SK5, SC17, FN8, FN19)."""
+    lines_of = path_lines(facts(sources(spark, sf_dir), "paths"))
+    back = spans_of_paths(lines_of.select("path", F.concat("value", F.lit("\n")).alias("content")))
+    item = F.regexp_replace("text", r"^file\{[^}]*\} ", "")
+    return back.select("path", item.alias("text"), *(F.col(c).cast("bigint").alias(c) for c in ("line_s", "col_s", "line_e", "col_e")))
+
+
+@query(f"""WITH {LINES_SQL}, s AS (SELECT path, pad, sum(CASE WHEN line_no <= pad + 5 THEN strlen(text) + 1 ELSE 0 END) + 8 AS a, sum(CASE WHEN line_no <= pad + 34 THEN strlen(text) + 1 ELSE 0 END) AS b FROM lines GROUP BY path, pad)
+SELECT path, pad + 6 AS line_s, pad + 35 AS line_e, a::BIGINT - 1 AS byte_s, b::BIGINT AS byte_e, '' AS module FROM s""")
+def src_blocks(spark, sf_dir):
+    """Extents of blocks, as lines and UTF-8 bytes (EX10, EX11, FN8, FN9)."""
+    files = sources(spark, sf_dir)
+    found = facts(files, "blocks").join(files.select("path", "content"), "path")
+    byte = text.byte_offset(F.col("content"), F.col("line_e"), F.lit(0))
+    return found.select("path", F.col("line_s").cast("bigint").alias("line_s"), F.col("line_e").cast("bigint").alias("line_e"), (text.byte_offset(F.col("content"), F.col("line_s"), F.lit(6)) + 1).cast("bigint").alias("byte_s"), byte.cast("bigint").alias("byte_e"), F.coalesce("module", F.lit("")).alias("module"))
+
+
+@query("""SELECT DISTINCT CASE WHEN s_suppkey % 3 = 2 THEN 'trait' ELSE 'type' END AS kind, CASE s_suppkey % 3 WHEN 0 THEN 'nat' WHEN 1 THEN 'Ghost<T>' ELSE 'Sealed' END AS name,
+CASE s_suppkey % 3 WHEN 0 THEN 'Natural number (non-negative integer, >= 0)' WHEN 1 THEN 'Ghost wrapper - data exists only in proofs, erased at runtime' ELSE 'Sealed trait pattern - prevents external implementations' END AS description,
+CASE s_suppkey % 3 WHEN 0 THEN 'mathematical' WHEN 1 THEN 'wrapper' END AS category FROM supplier""")
+def compiler_items(spark, sf_dir):
+    """Types and traits of the compiler from its table of items (EX28)."""
+    content = """concat('  ("verus::verus_builtin::', CASE s_suppkey % 3 WHEN 0 THEN 'nat' WHEN 1 THEN 'Ghost' ELSE 'private::Sealed' END, '", VerusItem::Builtin', if(s_suppkey % 3 = 2, 'Trait', 'Type'), '(x)),\\n("verus::verus_builtin::private::Hidden", VerusItem::BuiltinType(y))')"""
+    return inventory.builtins(spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("concat('f', s_suppkey) AS path", f"{content} AS content"))
+
+
+@query("""WITH x AS (SELECT p_partkey AS k, p_name AS n FROM part) SELECT 'f' || k AS path, CASE k % 3 WHEN 0 THEN 'AAAA-cccc' || n WHEN 1 THEN 'bbbb-cccc' || n ELSE 'aXX-cccc' || n END AS content FROM x""")
+def repaint_spans(spark, sf_dir):
+    """Spans replaced from the largest on, what overlaps left out (ED3, FN20)."""
+    files = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("f"), "p_partkey").alias("path"), F.concat(F.when(F.col("p_partkey") % 3 == 1, "bbbb-cccc").otherwise("aaaa-cccc"), "p_name").alias("content"), "p_partkey")
+    spans = [(0, 4, "AAAA", 0), (2, 5, "zzz", 0), (1, 4, "XX", 2), (3, 5, "z", 2)]
+    each = F.explode(F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(new).alias("text"), F.lit(m).alias("m")) for a, b, new, m in spans)))
+    return fixes.repainted(files, files.select("path", "p_partkey", each.alias("x")).where("x.m = p_partkey % 3").select("path", "x.start", "x.end", "x.text"))
+
+
+@query("""SELECT 'f' || p_partkey AS path, CASE WHEN p_partkey % 2 = 0 THEN 'two' || chr(10) || 'three' || chr(10) || 'ONE' ELSE 'ONE' || chr(10) || 'two' || chr(10) || 'three' END AS content FROM part""")
+def move_and_transform(spark, sf_dir):
+    """Lines moved behind others, then a pattern replaced in the places of a search, the first of each file (ED1, ED2, PR29, SO12)."""
+    files = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("concat('f', p_partkey) AS path", "'one\\ntwo\\nthree' AS content", "p_partkey")
+    places = files.where("p_partkey % 2 = 0").select("path", F.lit(1).alias("first"), F.lit(1).alias("last"), F.lit(3).alias("target"))
+    files = edits.apply_edits(files, fixes.moved(places))
+    first = minimize.first_places(lines(files).select("path", F.col("line_no").alias("seq"), "text"), "text", "on")
+    return edits.apply_edits(files, fixes.transformed(files, first.select("path", F.col("seq").alias("line_no")), "^one$", "ONE"))

@@ -25,7 +25,7 @@ def read_files(spark: SparkSession, root: str, pattern: str = "*.rs", exclude: t
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     base = root.rstrip("/")
     path = F.regexp_replace("path", r"^\w+:/*", "/")
-    rel = F.expr("substring(clean, locate(base, clean) + length(base) + 1)")
+    rel = F.expr("if(endswith(clean, base), substring_index(clean, '/', -1), substring(clean, locate(base, clean) + length(base) + 1))")  # root may be one file
     out = raw.select(path.alias("clean"), F.lit(base).alias("base"), "content", "length").withColumn("rel_path", rel)
     kept = scanned(F.col("rel_path"), F.col("clean"), exclude, max_depth)
     name = F.element_at(F.split("rel_path", "/"), -1)

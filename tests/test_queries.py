@@ -134,3 +134,26 @@ def test_entry_imports():
     import __spark_entry__ as entry
 
     assert set(ORACLE_SQL) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_closure_of_a_long_chain_and_a_cycle(spark):
+    edges = [(i, i + 1) for i in range(1000)] + [(2000 + i, 2000 + (i + 1) % 60) for i in range(60)]
+    found = joins.closure(spark.createDataFrame(edges, "src bigint, dst bigint"), paths=False)
+    chain = found.where("dst <= 1000")
+    assert chain.count() == 1000 * 1001 // 2 and chain.where("depth <> dst - src").count() == 0
+    cycle = found.where("src >= 2000")
+    assert cycle.count() == 60 * 59 and cycle.where("depth <> pmod(dst - src, 60)").count() == 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tessera import __main__ as cli
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.rs").write_text("verus! {\nproof fn lemma_x_len() { assume(a); }\n} // verus!\n")
+    (tmp_path / "src" / "b.rs").write_text("fn plain() { }\n")
+    rows = {v: cli.view(args := cli.arguments([v, *(["proof fn lemma_.*"] if v == "search" else []), "-c", str(tmp_path / "src")]), cli.sources_of(spark, args)).collect() for v in cli.VIEWS}
+    assert [(r["kind"], r["name"], r["line"]) for r in rows["search"]] == [("fn", "lemma_x_len", 2)]
+    assert any("assume()" in r["value"] and "a.rs:2" in r["value"] for r in rows["audit"]) and any("not_verusified" in r["value"] for r in rows["audit"])
+    assert {r["content"] for r in rows["fix"]} == {"verus! {\nproof fn lemma_x_len() { accept(a); }\n} // verus!\n", "fn plain() { }\n"}
+    args = cli.arguments(["loc", "-f", str(tmp_path / "src" / "a.rs"), "-m", "a"])
+    assert [r["proof"] for r in cli.view(args, cli.sources_of(spark, args)).collect()] == [1]

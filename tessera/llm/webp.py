@@ -156,15 +156,14 @@ def _extra(symbol: int, bits: Bits) -> int:
 # -- entropy-coded images
 
 
-def _walk(bits: Bits, code: Prefix, most: int) -> np.ndarray:
+def _walk(bits: Bits, code: Prefix, most: int, window: int) -> np.ndarray:
     """Green literals from here on, at most ``most``, up to the first symbol of 256 or more, which is
-    left unread. All bit positions of a window are looked up together; the walk takes four codes at
+    left unread. All bit positions of a window, larger each time, are looked up together; the walk takes four codes at
     a step, and what lies between is filled in afterwards."""
     out: list[np.ndarray] = []
-    window = 1 << 11  # small at first: a back-reference may be near
     while most:
-        window = min(window << 1, 1 << 18)
         n = min(bits.end - bits.at, window, most * code.width)
+        window = min(window << 1, 1 << 18)
         if n <= 0:
             break
         first = bits.at >> 3
@@ -241,7 +240,8 @@ def _image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
             if green.only is not None and green.only < 256:
                 literals = np.full(stop - at, green.only, np.int32)
             else:
-                literals = _walk(bits, green, stop - at) if green.only is None else np.zeros(0, np.int32)
+                # where back-references of several distances are about, the next one may be near
+                literals = _walk(bits, green, stop - at, 1 << 18 if distance.only is not None else 1 << 12) if green.only is None else np.zeros(0, np.int32)
             if len(literals):
                 out[at : at + len(literals)] = np.uint32(alpha.only << 24 | red.only << 16 | blue.only) | literals.astype(np.uint32) << np.uint32(8)
                 at += len(literals)
@@ -559,29 +559,32 @@ def _length_symbol(n: int) -> tuple[int, int, int]:
 
 def repeats(flat: np.ndarray, least: int = LEAST_MATCH) -> list[tuple[int, int, int]]:
     """(start, length, distance) of stretches that stand before, in order and apart; the run at the end
-    is always one. Windows of 16 bytes are sorted by a hash, and where neighbours in the text follow
-    neighbours in it a stretch goes on; each is compared before it counts."""
+    is always one. Of the windows of 16 bytes those are compared whose hash ends in zeros, one in eight or so,
+    whichever text they stand in; what two equal ones begin is then followed byte by byte to both sides."""
     n = len(flat)
     changes = np.flatnonzero(flat != flat[-1])
     tail = int(changes[-1]) + 2 if len(changes) else 1
     out: list[tuple[int, int, int]] = []
     if tail > 2 * least:
         data = flat[:tail].tobytes()
-        eight = np.ndarray((tail - 7,), "<u8", data, strides=(1,))
-        key = (eight[:-8] * np.uint64(0x9E3779B97F4A7C15)) ^ ((eight[8:] ^ (eight[8:] >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9))
-        order = np.argsort(key, kind="stable")
-        same = key[order[1:]] == key[order[:-1]]
+        eight = np.ndarray((tail - 7,), "<u8", data, strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)
+        key = eight[:-8] ^ (eight[8:] >> np.uint64(7))
+        some = np.flatnonzero((key >> np.uint64(40)) & np.uint64(7) == 0)
+        own = key[some]
+        order = np.argsort(own, kind="stable")
+        same = own[order[1:]] == own[order[:-1]]
         if same.any():
-            at, before = order[1:][same], order[:-1][same]
+            at, before = some[order[1:][same]], some[order[:-1][same]]
             by = np.argsort(at)
-            at, distance = at[by], (at - before)[by]
-            first = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(distance) != 0)]))
-            last = np.concatenate([first[1:], [len(at)]]) - 1
-            kept = np.flatnonzero((last - first + 16 >= least) & (distance[first] <= MOST_DISTANCE))
             end = 0
-            for start, stop, d in zip(at[first[kept]].tolist(), (at[last[kept]] + 16).tolist(), distance[first[kept]].tolist(), strict=True):
-                start, stop = max(start, end), min(stop, tail)
-                if stop - start >= least and np.array_equal(flat[start:stop], flat[start - d : stop - d]):
+            for p, q in zip(at[by].tolist(), before[by].tolist(), strict=True):
+                d = p - q
+                if p + 16 <= end or d > MOST_DISTANCE:
+                    continue
+                start = max(p, end)
+                stop = start + _alike(flat, start, start - d, tail - start)
+                start -= _alike(flat[::-1], n - start, n - start + d, start - max(end, d))
+                if stop - start >= least:
                     out.append((start, stop - start, d))
                     end = stop
     if tail < n:
@@ -589,6 +592,19 @@ def repeats(flat: np.ndarray, least: int = LEAST_MATCH) -> list[tuple[int, int,
     return out
 
 
+def _alike(flat: np.ndarray, a: int, b: int, most: int) -> int:
+    """How many values from a and from b on are equal, at most ``most``."""
+    done, size = 0, 64
+    while done < most:
+        size = min(size, most - done)
+        differ = flat[a + done : a + done + size] != flat[b + done : b + done + size]
+        if differ.any():
+            return done + int(differ.argmax())
+        done += size
+        size *= 4
+    return done
+
+
 def _put_single(out: Writer, symbol: int) -> None:
     one = np.zeros(256, np.int64)
     one[symbol] = 1

@@ -513,20 +513,24 @@ EXTRACTORS: dict[str, Callable[[str], Iterator[dict]]] = {"fns": fns, "impls": i
 NEEDS = {"fns": r"\bfn\b", "impls": r"\bimpl\b", "traits": r"\btrait\b"}
 
 
-def facts(files: DataFrame, kind: str) -> DataFrame:
-    """Rows of one kind for all of ``files`` (path, content); a null content gives none."""
-    schema = SCHEMAS[kind]
-    make = EXTRACTORS[kind]
-
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+def facts(files: DataFrame, kind: str, *columns: str) -> DataFrame:
+    """Rows of one kind for all of ``files`` (path, content); a null content gives none. With ``columns`` only
+    those are made into Arrow columns and leave Python."""
+    whole = StructType.fromDDL(SCHEMAS[kind])
+    schema = StructType([f for f in whole if f.name in columns or f.name == "path"]) if columns else whole
+    arrow, make = to_arrow_schema(schema), EXTRACTORS[kind]
+    names = [n for n in arrow.names if n != "path"]
 
     def run(batches):
-        names = arrow.names
         for b in batches:
-            rows = []
+            paths, found = [], {n: [] for n in names}
             for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                rows += [{k: r.get(k) for k in names} | {"path": path} for r in make(content)]
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                n = 0
+                for n, r in enumerate(make(content), 1):
+                    for c in names:
+                        found[c].append(r.get(c))
+                paths += [path] * n
+            yield pa.RecordBatch.from_arrays([pa.array(paths if f.name == "path" else found[f.name], f.type) for f in arrow], schema=arrow)
 
     needed = files.where(F.col("content").isNotNull())
     if kind in NEEDS:

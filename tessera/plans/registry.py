@@ -422,7 +422,7 @@ def lexer_tokens(spark, sf_dir):
     items = t(spark, sf_dir, "benchmark").select(F.concat(F.lit("benchmark/"), F.col("item_id")).alias("path"), F.col("text").alias("content"))
     both = pages.unionByName(items)
     kinds = ("word", "number", "text", "char", "lifetime", "sign")
-    counts = facts(both, "tokens").groupBy("path").agg(*(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds))
+    counts = facts(both, "tokens", "kind").groupBy("path").agg(*(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds))
     return both.select("path").join(counts, "path", "left").fillna(0)
 
 
@@ -437,8 +437,8 @@ def exclusion_impact(spark, sf_dir):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by user and type with subtotals: the audit's finding, project and global rollup."""
-    return hole_rollup(spark, sf_dir)
+    """The audit of the generated tree: findings rolled up from file to project to all."""
+    return QUERIES["src_audit_rollup"](spark, sf_dir)
 
 
 import tessera.plans.source_queries  # noqa: E402, F401  registers its queries here

@@ -262,7 +262,7 @@ def test_counts(files: DataFrame) -> DataFrame:
     """(path, n_tests, n_macros): ``#[test]`` attributes and macro calls, comments and strings left out (EX43)."""
     from tessera.operators.extract import facts
 
-    toks = facts(files, "tokens")
+    toks = facts(files, "tokens", "idx", "kind", "text")
     w = Window.partitionBy("path").orderBy("idx")
     ahead = [F.lead("text", i).over(w) for i in (1, 2, 3)]
     test = (F.col("text") == "#") & (ahead[0] == "[") & (ahead[1] == "test") & (ahead[2] == "]")

@@ -150,7 +150,7 @@ def src_audit_targets(spark, sf_dir):
 count(*) FILTER (WHERE n_requires > 0) AS requires_anywhere, count(*) FILTER (WHERE n_ensures > 0) AS ensures_anywhere FROM fns GROUP BY mode""")
 def src_clauses(spark, sf_dir):
     """Requires and ensures by mode (AG27, T24)."""
-    return reviews.clause_coverage(facts(sources(spark, sf_dir), "fns"))
+    return reviews.clause_coverage(facts(sources(spark, sf_dir), "fns", "mode", "requires", "ensures", "body_text"))
 
 
 @query(f"""WITH {FNS_SQL}, a AS (SELECT path, count(*) FILTER (WHERE mode = 'spec') AS n_spec, count(*) FILTER (WHERE mode = 'exec') AS n_exec, count(*) FILTER (WHERE mode = 'exec' AND has_proof_block) AS with_proof,
@@ -184,7 +184,7 @@ def src_function_reviews(spark, sf_dir):
 @query(f"""WITH {FNS_SQL} SELECT name, count(*) AS n, false AS in_library, CASE WHEN contains(name, 'mul') THEN 'numeric' WHEN contains(name, 'seq') THEN 'set_theoretic' ELSE 'machine' END AS class FROM fns WHERE mode = 'axiom' GROUP BY name""")
 def src_axioms(spark, sf_dir):
     """Axioms once by name, with their classes (EX23, FN13, AG21, AG41, T13-T15)."""
-    return reviews.axioms(facts(sources(spark, sf_dir), "fns"))
+    return reviews.axioms(facts(sources(spark, sf_dir), "fns", "name", "modifiers"))
 
 
 @query(f"""WITH {LINES_SQL} SELECT 'ghost' AS what, path, line_no, 'ghost abc' AS detail FROM lines WHERE contains(text, 'let ghost abc')
@@ -220,7 +220,7 @@ def src_broadcast_use(spark, sf_dir):
 def src_unused_specs(spark, sf_dir):
     """Spec functions that nothing uses, over all types that define the name (J18, AG38)."""
     files = sources(spark, sf_dir)
-    return reviews.unused_spec_fns(facts(files, "fns"), facts(files, "tokens"))
+    return reviews.unused_spec_fns(facts(files, "fns", "name", "mode"), facts(files, "tokens", "kind", "text"))
 
 
 # -- the library's inventory

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import per_worker, shared_folder, slices
 
-CACHE = 200_000  #: stretches of text in a generation of what a worker remembers; it has two
+CACHE = 20_000  #: stretches of text in a generation of what a worker remembers; it has two
 LONGEST_KEPT = 40  #: characters of a stretch that is remembered, which with CACHE bounds the bytes
 ASCII_PARTS = re.compile("[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
 SIGNS = frozenset(".,;:!?)\"")
@@ -109,14 +109,17 @@ class Encoder(dict):
         stretches = coded.dictionary.to_pylist()
         self._learn_plain(stretches)
         found = [*map(self.__getitem__, stretches), self.end]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
         ids = pa.array(np.frombuffer(b"".join(found), "<i4"))
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), ids)
+        del found, stretches
         # the end id, the last of the lists, behind the stretches of each text
         ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
-        at = np.insert(coded.indices.to_numpy(zero_copy_only=False), ends, len(found) - 1)
-        last = np.cumsum(sizes[at])[ends + np.arange(len(ends))]
-        return lists.take(pa.array(at)).flatten().to_numpy(), np.diff(last, prepend=0)
+        at = np.insert(coded.indices.to_numpy(zero_copy_only=False), ends, len(sizes) - 1)
+        del split, coded
+        first = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])[:-1]
+        own = np.add.reduceat(sizes[at], first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+        return lists.take(pa.array(at)).flatten().to_numpy(), own
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, stripe_bytes: int = 16 << 20, index_rows: int = 1000) -> None:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import per_worker, shared_folder, slices
 
-CACHE = 20_000  #: stretches of text in a generation of what a worker remembers; it has two
+CACHE = 50_000  #: stretches that a worker remembers from one batch to the next, the most frequent ones
 LONGEST_KEPT = 40  #: characters of a stretch that is remembered, which with CACHE bounds the bytes
 ASCII_PARTS = re.compile("[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
 SIGNS = frozenset(".,;:!?)\"")
@@ -58,23 +58,29 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         super().__init__({"": b""})
-        self.older: dict[str, bytes] = {}
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.pieces = self.library.model.tokenize
         self.end = array("i", [end_id]).tobytes()
 
     def __missing__(self, w: str) -> bytes:
-        ids = self.older.get(w)
-        if ids is None:
-            ids = self._encode(w)
+        ids = self._encode(w)
         if len(w) <= LONGEST_KEPT:
             self[w] = ids
         return ids
 
+    def _keep(self, stretches: list[str], found: list[bytes], counts: np.ndarray) -> None:
+        """Forgets all but the stretches that were met most often, of equals all or none."""
+        least = 2
+        if len(counts) > CACHE:
+            least = max(least, int(np.partition(counts, -CACHE)[-CACHE]) + 1)
+        self.clear()
+        self.update((stretches[i], found[i]) for i in np.flatnonzero(counts >= least).tolist() if len(stretches[i]) <= LONGEST_KEPT)
+        self[""] = b""
+
     def _learn_plain(self, stretches: list[str]) -> None:
         """The commonest new stretches, small ASCII letters only, all at once."""
-        new = [w for w in stretches if w not in self and w not in self.older and w.isascii() and w.isalpha() and w.islower() and len(w) <= LONGEST_KEPT]
+        new = [w for w in stretches if w not in self and w.isascii() and w.isalpha() and w.islower() and len(w) <= LONGEST_KEPT]
         pieces = self.pieces
         self.update(zip(new, [array("i", [x.id for x in pieces(w)]).tobytes() for w in new], strict=True))
 
@@ -99,10 +105,6 @@ class Encoder(dict):
     def batch(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, one after another, and their numbers. Each
         distinct stretch of the batch is looked up once."""
-        if len(self) > CACHE:  # what is met again comes back from the generation before
-            self.older = dict(self)
-            self.clear()
-            self[""] = b""
         texts = pc.fill_null(pa.array(texts, pa.string()), "")
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = split.flatten().dictionary_encode()
@@ -112,6 +114,8 @@ class Encoder(dict):
         sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
         ids = pa.array(np.frombuffer(b"".join(found), "<i4"))
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), ids)
+        if len(self) > CACHE:
+            self._keep(stretches, found, np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(stretches)))
         del found, stretches
         # the end id, the last of the lists, behind the stretches of each text
         ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
@@ -129,7 +133,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, st
         encoder = per_worker(("tokens", tokenizer, end_id), lambda: Encoder(tokenizer, end_id))
         part, first = TaskContext.get().partitionId(), 0
         for b in batches:
-            for some in slices(b, "text", 10_000, 16 << 20):
+            for some in slices(b, "text", 10_000, 8 << 20):
                 ids, sizes = encoder.batch(some.column("text"))
                 offsets = np.concatenate([[0], np.cumsum(sizes)])
                 yield pa.RecordBatch.from_arrays(

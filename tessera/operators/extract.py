@@ -28,7 +28,7 @@ SCHEMAS = {
     "has_unsafe_block boolean, has_assume boolean, has_assume_new boolean, in_block boolean, location struct<kind:string,owner:string>, signature string, start int",
     "impls": "path string, line int, is_unsafe boolean, " + GENERICS + ", trait_name string, for_type string, attributes array<string>, body_types array<string>, " + METHODS + ", body_text string, in_block boolean",
     "traits": "path string, line int, name string, " + GENERICS + ", bounds array<string>, attributes array<string>, body_types array<string>, " + METHODS + ", n_default int, body_text string",
-    "types": "path string, line int, kind string, name string, " + GENERICS + ", value string, field_types array<string>, attributes array<string>, is_pub boolean, in_block boolean, modifiers array<string>, variants array<string>",
+    "types": "path string, line int, kind string, name string, " + GENERICS + ", value string, field_types array<string>, attributes array<string>, is_pub boolean, in_block boolean, modifiers array<string>, variants array<string>, has_inv_field boolean, has_inv_fn boolean",
     "loc": "path string, spec int, proof int, exec int, rust int, total int",
     "tokens": "path string, idx int, kind string, text string, start int, end int, depth int, in_block boolean",
     "blocks": "path string, start int, end int, line_s int, line_e int, module string",
@@ -281,7 +281,7 @@ def types(text: str) -> Iterator[dict]:
             continue
         words, attributes, _ = s.before(i)
         params, j = s.type_parameters(i + 2)
-        own, value, variants = [], None, []
+        own, value, variants, fields_at = [], None, [], (i, i)
         if t.text == "type":
             if j >= len(s.toks) or s.toks[j].text != "=":
                 continue
@@ -292,7 +292,8 @@ def types(text: str) -> Iterator[dict]:
             if j < len(s.toks) and s.toks[j].text == "where":
                 j = s.until(j + 1, "{", ";")
             if j < len(s.toks) and s.toks[j].text in "{(":
-                inner = s.text[s.toks[j].end : s.toks[match(s.toks, j)].start]
+                fields_at = (j, match(s.toks, j))
+                inner = s.text[s.toks[j].end : s.toks[fields_at[1]].start]
                 inner = "\n".join(re.sub(r"//.*", "", x) for x in inner.split("\n"))
                 if t.text == "enum":
                     for variant in split_top(re.sub(r"#\[[^\]]*\]", "", inner)):
@@ -301,7 +302,11 @@ def types(text: str) -> Iterator[dict]:
                         own += _fields(m[1]) if m else []
                 else:
                     own = _fields(inner)
-        yield {"line": s.line(t), "kind": {"type": "alias"}.get(t.text, t.text), "name": s.toks[i + 1].text, "generics": params, "value": value, "field_types": own, "attributes": attributes, "is_pub": "pub" in words, "in_block": s.inside(t), "modifiers": [w for w in words if w != "pub"], "variants": variants}
+        # an invariant as a field, or as a function named after the type within the next 200 tokens (AG31)
+        inv_field = any("inv" in x.text and x.kind == "word" and s.toks[n + 1].text == ":" for n, x in enumerate(s.toks[fields_at[0] : fields_at[1]], fields_at[0]))
+        low = s.toks[i + 1].text.lower()
+        inv_fn = any(x.text == "fn" and n + 1 < len(s.toks) and low in s.toks[n + 1].text and "inv" in s.toks[n + 1].text for n, x in enumerate(s.toks[i : i + 200], i))
+        yield {"has_inv_field": inv_field, "has_inv_fn": inv_fn, "line": s.line(t), "kind": {"type": "alias"}.get(t.text, t.text), "name": s.toks[i + 1].text, "generics": params, "value": value, "field_types": own, "attributes": attributes, "is_pub": "pub" in words, "in_block": s.inside(t), "modifiers": [w for w in words if w != "pub"], "variants": variants}
 
 
 def loc(text: str) -> Iterator[dict]:

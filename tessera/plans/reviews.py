@@ -74,6 +74,11 @@ def invariants(fns: DataFrame) -> DataFrame:
     return fns.groupBy("path").agg(F.sum(count_of(r"\b(?:while|for|loop)\b")).alias("n_loops"), F.sum(count_of(r"\b(?:while|for|loop)\b[^{};]*\binvariant\b")).alias("n_with_invariant"))
 
 
+def datatype_invariants(types: DataFrame) -> DataFrame:
+    """By file and kind: datatypes, and those with an invariant as a field or as a function (AG31)."""
+    return types.where("kind in ('struct', 'enum')").groupBy("path", "kind").agg(F.count("*").alias("n"), F.count_if("has_inv_field").alias("n_with_field"), F.count_if("has_inv_fn").alias("n_with_fn"))
+
+
 def termination(fns: DataFrame) -> DataFrame:
     """Functions that call themselves and have no decreases clause (AG32)."""
     calls = F.regexp_like(F.col("body_text"), F.concat(F.lit(r"\b"), F.col("name"), F.lit(r"\s*\(")))

@@ -576,13 +576,14 @@ def module_status(spark, sf_dir):
 # -- rewrites and rules
 
 
-@query(f"""WITH {LINES_SQL}, e AS (SELECT path, line_no, CASE WHEN k % 5 = 0 AND line_no = pad + 24 THEN '    accept(n > 0);' WHEN line_no = pad + 6 THEN text || chr(10) || 'broadcast use {{vstd::seq_lib::group_seq_properties, vstd::seq_lib::group_to_multiset_ensures, vstd::set::group_set_axioms, vstd::set_lib::group_set_lib_default}};' ELSE text END AS text FROM lines WHERE line_no <> pad + 37)
+@query(f"""WITH {LINES_SQL}, e AS (SELECT path, line_no, CASE WHEN k % 5 = 0 AND line_no = pad + 24 THEN '    proof {{ accept(n > 0); }};' WHEN k % 5 = 4 AND line_no = pad + 24 THEN '    proof {{ accept(false); }};' WHEN k % 4 = 1 AND line_no = pad + 27 THEN text || ' // accept hole'
+ WHEN line_no = pad + 6 THEN text || chr(10) || 'broadcast use {{vstd::seq_lib::group_seq_properties, vstd::seq_lib::group_to_multiset_ensures, vstd::set::group_set_axioms, vstd::set_lib::group_set_lib_default}};' || CASE WHEN k % 5 = 0 THEN chr(10) || 'use crate::accept::x;' ELSE '' END ELSE text END AS text FROM lines WHERE line_no <> pad + 37)
 SELECT path, sha256(string_agg(text, chr(10) ORDER BY line_no) || chr(10)) AS sha FROM e GROUP BY path""")
 def src_edits(spark, sf_dir):
-    """Separators deleted, groups inserted, assumptions accepted, one edit after another; then all of a file's lines are marked and restored (ED4, ED6, ED7, ED10, PR19, PR24)."""
+    """Separators deleted, groups and imports inserted, holes accepted, one edit after another; then all of a file's lines are marked and restored (ED4, ED6, ED7, ED10, PR19, PR24)."""
     files = sources(spark, sf_dir).select("path", "content")
     files = edits.apply_edits(files, fixes.delete_separators(files))
-    files = edits.apply_edits(files, fixes.accept_assumes(files, facts(files, "findings")))
+    files = edits.apply_edits(files, fixes.accept_assumes(files, facts(files, "findings"), "use crate::accept::x;"))
     files = cut(edits.apply_edits(files, fixes.insert_broadcast(files, reviews.recommended_groups(files))))
     marked = edits.apply_edits(files, fixes.comment_out(files, files.select("path", F.lit(1).alias("first"), F.lit(1 << 20).alias("last"))))
     files = edits.apply_edits(marked, fixes.restore(marked))

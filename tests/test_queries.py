@@ -154,6 +154,6 @@ def test_command_line(spark, tmp_path, capsys):
     rows = {v: cli.view(args := cli.arguments([v, *(["proof fn lemma_.*"] if v == "search" else []), "-c", str(tmp_path / "src")]), cli.sources_of(spark, args)).collect() for v in cli.VIEWS}
     assert [(r["kind"], r["name"], r["line"]) for r in rows["search"]] == [("fn", "lemma_x_len", 2)]
     assert any("assume()" in r["value"] and "a.rs:2" in r["value"] for r in rows["audit"]) and any("not_verusified" in r["value"] for r in rows["audit"])
-    assert {r["content"] for r in rows["fix"]} == {"verus! {\nproof fn lemma_x_len() { accept(a); }\n} // verus!\n", "fn plain() { }\n"}
+    assert {r["content"] for r in rows["fix"]} == {"verus! {\nproof fn lemma_x_len() { proof { accept(a); }; }\n} // verus!\n", "fn plain() { }\n"}
     args = cli.arguments(["loc", "-f", str(tmp_path / "src" / "a.rs"), "-m", "a"])
     assert [r["proof"] for r in cli.view(args, cli.sources_of(spark, args)).collect()] == [1]

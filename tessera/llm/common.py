@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 from typing import TypeVar
 
@@ -14,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.lineage import SCRATCH, shared_folder
+
 T = TypeVar("T")
 #: What separates words everywhere in this subpackage: ASCII space and the control range tab to CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,24 +55,11 @@ def digest128(*columns: Column) -> Column:
     return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit("second seed"), *columns).alias("b"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors see. Where that is unset, a local
-    master gets a temporary folder; a cluster is refused, as its machines would not see each other's."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.conf.get("spark.master", "")
-        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
-            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
-        root = tempfile.mkdtemp(prefix="tessera-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Cuts lineage by writing to the shared folder and reading back; survives lost executors. With
     ``rows``, a bound on the number of narrow rows, no more files are written than these fill."""
     path = shared_folder(df.sparkSession)
-    (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_OF_A_FILE)))).write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_OF_A_FILE)))).write.options(**SCRATCH).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -31,7 +31,8 @@ def _small_star(edges: DataFrame, n: int) -> DataFrame:
 
 def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(u, label) for every vertex of ``edges`` (u bigint, v bigint): the least vertex it is connected
-    with. ``rows`` is a bound on the number of edges, if one is known.
+    with. ``rows`` is a bound on the number of edges, if one is known, of distinct edges that are written
+    already and have two ends.
 
     Cases: edges with a null end and loops link nothing; repeated edges count once; vertices without an
     edge to another one have no row; empty edges give no rows; other columns are not read."""
@@ -40,7 +41,7 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
         r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).collect()[0]
         return r["n"], r["s"]
 
-    now = cut(edges.select("u", "v").where(F.col("u") != F.col("v")).distinct(), rows)
+    now = edges.select("u", "v") if rows is not None else cut(edges.select("u", "v").where(F.col("u") != F.col("v")).distinct())
     before, at = None, state(now)
     while at != before and at[0]:
         before = at

@@ -61,7 +61,7 @@ def boilerplate(hashed: DataFrame, most_sites: int = 10, margin: float = 0.15) -
     near = held.join(rated.where(~sure).select("a", "b"), ["a", "b"], "left_semi")
     # each site once for a line before the count, so that a frequent line is small before it moves
     exact = near.groupBy("a", "b", "site").agg(F.lit(1).alias("one")).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") > most_sites)
-    return cut(rated.where(sure).select("a", "b").union(exact.select("a", "b")))
+    return cut(rated.where(sure).select("a", "b").union(exact.select("a", "b")), rated.count())
 
 
 def remove_lines(docs: DataFrame, hashed: DataFrame, lines: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def remove_lines(docs: DataFrame, hashed: DataFrame, lines: DataFrame) -> DataFr
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64("text").alias("key"))
     whole = F.split(F.col("row.text"), "\n")
     kept = F.filter(whole, lambda x: ~F.array_contains(F.col("gone"), line_hash(x)))
-    found = rows.join(cut(gone).hint("shuffle_hash"), "key", "left").select("row", "gone", F.when(F.col("gone").isNotNull(), kept).alias("kept"))
+    found = rows.join(cut(gone, hashed.count()).hint("shuffle_hash"), "key", "left").select("row", "gone", F.when(F.col("gone").isNotNull(), kept).alias("kept"))
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join("kept", "\n"))
     added = {
         "line_dedup_total": F.coalesce(F.size(whole), F.lit(0)),

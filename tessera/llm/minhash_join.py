@@ -209,7 +209,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, reca
         return pa.table({"id": ids, "head": ids[label], "links": linked @ m, "texts": linked.sum(1).astype(np.int64)})
 
     compared = cut(with_text.groupBy("comp", "i", "j").applyInArrow(compare, "id bigint, head bigint, links bigint, texts bigint"))
-    joined = components(compared.where("id != head").select(F.col("id").alias("u"), F.col("head").alias("v")), compared.count()).select(F.col("u").alias("id"), "label")
+    linked = cut(compared.where("id != head").select(F.col("id").alias("u"), F.col("head").alias("v")).distinct(), compared.count())
+    joined = components(linked, linked.count()).select(F.col("u").alias("id"), "label")
     links = compared.groupBy("id").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     known = classes.drop("bands").join(links, "id", "left").join(joined, "id", "left").withColumn("label", F.coalesce("label", "id"))
     known = cut(known, n_docs)
@@ -238,18 +239,20 @@ def _dealt(members: DataFrame, stars: DataFrame, buckets: DataFrame, heads: Data
     def parts(n: str, chars: str):
         return F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(chars) / BLOCK_CHARS)).cast("int")
 
+    n = members.count()
+
     def sized(rows: DataFrame, by: str) -> DataFrame:
         of = rows.groupBy(by).agg(F.count("*").alias("n_of"), F.sum("n_chars").alias("chars_of")).where("n_of > 1")
-        return cut(of.select(by, parts("n_of", "chars_of").alias("parts")))
+        return cut(of.select(by, parts("n_of", "chars_of").alias("parts")), n)
 
     kept = ["id", "comp", "m", "rep", "rep_hash"]
     sizes = sized(members, "comp")
     small = members.join(sizes.where("parts = 1"), "comp", "left_semi").select(*kept, F.lit(0).cast("bigint").alias("block"))
     large = members.join(sizes.where("parts > 1"), "comp").join(stars.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("star")), "id", "left")
-    large = cut(large.withColumn("star", F.least("id", F.coalesce("star", "id"))))
+    large = cut(large.withColumn("star", F.least("id", F.coalesce("star", "id"))), n)
     split = sized(large, "star").select("star", F.col("parts").alias("split"))
     own = F.when(F.col("split") > 1, F.xxhash64("star", F.pmod(F.xxhash64("id"), F.col("split")))).otherwise(F.xxhash64(F.lit("bin"), "comp", F.pmod(F.xxhash64("star"), F.col("parts"))))
-    large = cut(large.join(split, "star", "left").select(*kept, own.alias("block")))
+    large = cut(large.join(split, "star", "left").select(*kept, own.alias("block")), n)
     held = buckets.join(heads, ["band", "value"], "left_semi").join(large.select("id", "comp", "block"), "id").select("band", "value", "comp", "block").distinct()
     held = cut(held)
     met = held.alias("x").join(held.alias("y"), ["band", "value"]).where("x.block <= y.block").select(F.col("x.comp").alias("comp"), F.col("x.block").alias("i"), F.col("y.block").alias("j")).distinct()
@@ -266,7 +269,7 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     # as a struct the key equals where both ids are null, and one shuffle serves the join and the groups
     found = near_duplicates(docs, **options).where("is_kept").select("has_grams", "doc_id", "text_hash").distinct()
     bare = found.where("not has_grams").groupBy("text_hash").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("x")).select("x.doc_id", "text_hash")
-    kept = cut(found.where("has_grams").select("doc_id", "text_hash").unionByName(bare).select(F.struct("doc_id", "text_hash").alias("key")))
+    kept = cut(found.where("has_grams").select("doc_id", "text_hash").unionByName(bare).select(F.struct("doc_id", "text_hash").alias("key")), docs.count())
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_hash")).alias("key"))
     told = F.xxhash64(*(F.col("row").getField(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()))
     return rows.join(kept.hint("shuffle_hash"), "key", "left_semi").groupBy("key").agg(F.min_by("row", told).alias("row")).select("row.*")

@@ -99,6 +99,7 @@ def copies(docs: DataFrame, seed: int = 0, leaf: int = 2_000, fan: int = 64, wei
     source, size, source_size, target, copies. Leaves hold about ``leaf`` documents."""
     rows = docs.select("doc_id", "source", size_in_words().alias("size"), row_key(docs, seed).alias("key"))
     rows = cut(rows)
+    n_rows = rows.count()
     sources = cut(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
     goal = targets(sources.select("source", "source_size"), weights, most)
     # as a struct the source equals where both are null
@@ -129,7 +130,7 @@ def copies(docs: DataFrame, seed: int = 0, leaf: int = 2_000, fan: int = 64, wei
         return frame
 
     def settled(frame: DataFrame) -> DataFrame:
-        return cut(frame.groupBy("source", "node").applyInPandas(level, fields))
+        return cut(frame.groupBy("source", "node").applyInPandas(level, fields), n_rows)
 
     now = settled(due.select(*(f.split()[0] for f in fields.split(", ")[:-1])))
     done = [now.where(~F.col("open"))]
@@ -152,7 +153,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     n = copies(docs, **options).groupBy("key").agg(F.sum("copies").alias("total"), F.count("*").alias("rows")).where("total > 0")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), row_key(docs, options.get("seed", 0)).alias("key"))
     at = F.row_number().over(Window.partitionBy("key").orderBy("key"))
-    found = rows.join(cut(n).hint("shuffle_hash"), "key").withColumn("at", at)
+    found = rows.join(cut(n, docs.count()).hint("shuffle_hash"), "key").withColumn("at", at)
     each = F.floor(F.col("total") / F.col("rows")) + F.when(F.col("at") <= F.col("total") % F.col("rows"), 1).otherwise(0)
     return found.withColumn("n", each).where("n > 0").select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n")))).select("row.*")
 

@@ -9,6 +9,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Write options of scratch tables: no checksum files beside those on a mounted folder, no marker of success.
+#: Other file systems take no notice.
+SCRATCH = {
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false",
+}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir. Where that is unset, a local master gets a temporary
     folder; a cluster is refused, as its machines would not see each other's."""
@@ -25,5 +32,5 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back; survives lost executors."""
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**SCRATCH).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -56,6 +56,7 @@ LINES = (
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(project, path, rel_path, dir, stem, content, n_bytes) of the generated tree."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS k", "split(p_name, ' ')[0] AS c")
+    part = part.repartition(spark.sparkContext.defaultParallelism)  # a few keys a file of ``part`` are many files of the tree
     text = "concat(repeat('// pad\\n', cast(k % 4 AS int)), concat_ws('\\n', " + ", ".join(LINES) + "), '\\n')"
     rel = "concat('proj', k % 5, '/src/Chap', k % 7, '/m', k, '.rs')"
     out = part.selectExpr("concat('proj', k % 5) AS project", f"concat('/w/', {rel}) AS path", f"{rel} AS rel_path", "concat('proj', k % 5, '/src/Chap', k % 7) AS dir", "concat('m', k) AS stem", f"{text} AS content")

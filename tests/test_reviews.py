@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions.lexer import code_texts, is_text, is_word, tokens
 from tessera.operators.extract import facts
 from tessera.plans import coverage, reviews
 from tessera.plans.registry import QUERIES
@@ -86,6 +87,14 @@ def test_query_of_function_reviews_reads_sources_once(spark, sf_dir):
     assert plan.count("MapInArrow") == 1 and "Join" not in plan
 
 
+@pytest.mark.parametrize("text", [SOURCE, SPECS, "", "a /* b */ c", "a /* b /* c */ d */ e /// f", "/*/ a */ b", "a /* left open", 'r"a \\" b', 'br#"a" b"# c', 'r#type x', "b'\"' 'a 'b' b\"c\\\"d\" e", '/// "one\nfn f() { "two /* three" } // r"four', '"left open', "\x1cx\u2003y\xa0²3 1.5 a..=b <==> ==> '"])
+def test_texts_without_objects_are_those_of_tokens(text):
+    every = tokens(text)
+    own = [t for t in every if t.kind != "comment"]
+    assert code_texts(text) == ([t.text for t in own], [t.start for t in own], [(t.text, t.start) for t in every if t.text.startswith("///")])
+    assert all(t.end - t.start == len(t.text) and is_word(t.text) == (t.kind == "word") and is_text(t.text) == (t.kind == "text") for t in own)
+
+
 def test_file_reviews(files):
     assert rows(reviews.triggers(files).where("n_quantifiers > 0"), "n_quantifiers", "n_with_triggers") == [(1, 1)]
     assert rows(reviews.broadcast_use(files), "name", "n") == [("vstd::map::group_map_axioms", 1), ("vstd::set::group_set_axioms", 1)]
